@@ -9,6 +9,7 @@ whatever the number of samples.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -150,12 +151,19 @@ def corner_table(model: FaceModel) -> DataFrame:
 
 
 def landmark_table(model: FaceModel) -> DataFrame:
-    """Each landmark with its three corners' vertex rows packed in one array.
+    """Each landmark with its three corners: (lmk, corners, mix, share, weight).
 
-    Only vertices that some landmark uses are kept, so a landmark query never decodes the others.
+    ``corners`` packs the corners' vertex rows. ``mix`` is corner weight times skin weight, three
+    numbers per joint, ``share`` their sum per joint, ``weight`` the sum of the corner weights. Only
+    vertices that some landmark uses are kept, so a landmark query never decodes the others.
     """
     packed = F.sort_array(F.collect_list(F.struct("k", "b", *AXES, "bx", "by", "bz", "w")))
-    return corner_table(model).join(vertex_table(model), "v").groupBy("lmk").agg(packed.alias("corners"))
+    table = corner_table(model).join(vertex_table(model), "v").groupBy("lmk").agg(packed.alias("corners"))
+    joints = range(model.n_joints)
+    mix = array_sql(f"corners[{k}].b * corners[{k}].w[{j}]" for j in joints for k in range(3))
+    share = array_sql(" + ".join(f"mix[{3 * j + k}]" for k in range(3)) for j in joints)
+    weight = " + ".join(f"corners[{k}].b" for k in range(3))
+    return run_steps(table, [{"mix": mix}, {"share": share, "weight": weight}])
 
 
 # --- fan-out to vertices ------------------------------------------------------------------------
@@ -269,17 +277,24 @@ def decode_landmarks(params: DataFrame, model: FaceModel, layout: Layout, key: s
         rows = _indexed(rows, LANDMARK_COUNT, "lmk")
         extra = []
     table = broadcast_if_small(landmark_table(model), LANDMARK_COUNT, 3 * vertex_bytes(model))
-    blended, corners = {}, []
-    for k in range(3):
-        point = [f"_p{k}{a}" for a in AXES]
-        blended.update(zip(point, _blend(f"corners[{k}].")))
-        corners.append(_skinned(point, model.n_joints, f"corners[{k}].w"))
-    # The translation moves every corner, so it counts once per corner weight.
-    points = [
-        " + ".join(f"corners[{k}].b * ({corners[k][i]} + shift[{i}])" for k in range(3)) + f" AS {a}"
-        for i, a in enumerate(AXES)
-    ]
-    return run_steps(rows.join(table, "lmk"), [blended]).selectExpr(key, *keep, "lmk", *points, *extra)
+    # Skinning is linear, so the corners are mixed per joint before the joint motions apply.
+    blended = {f"_p{k}{a}": text for k in range(3) for a, text in zip(AXES, _blend(f"corners[{k}]."))}
+    mixed = array_sql(
+        product_sql([f"mix[{3 * j + k}]" for k in range(3)], [f"_p{k}{a}" for k in range(3)])
+        for j in range(model.n_joints) for a in AXES
+    )
+    points = []
+    for i, a in enumerate(AXES):
+        terms = [
+            product_sql(
+                [f"transforms[{12 * j + 4 * i + c}]" for c in range(4)],
+                [*[f"_u[{3 * j + c}]" for c in range(3)], f"share[{j}]"],
+            )
+            for j in range(model.n_joints)
+        ]
+        # The translation moves every corner, so it counts once per corner weight.
+        points.append(f"{' + '.join(terms)} + weight * shift[{i}] AS {a}")
+    return run_steps(rows.join(table, "lmk"), [blended, {"_u": mixed}]).selectExpr(key, *keep, "lmk", *points, *extra)
 
 
 def project(df: DataFrame, camera: Camera = Camera(), out: Sequence[str] = ("sx", "sy")) -> DataFrame:
@@ -291,6 +306,7 @@ def project(df: DataFrame, camera: Camera = Camera(), out: Sequence[str] = ("sx"
 # --- dense form ---------------------------------------------------------------------------------
 
 
+@lru_cache(maxsize=16)
 def _model_arrays(model: FaceModel, landmarks: bool) -> dict[str, np.ndarray]:
     """Model tables as matrices for the Arrow batches; size is checked before anything is collected."""
     count = 3 * LANDMARK_COUNT if landmarks else model.n_vertices
@@ -377,9 +393,13 @@ def unroll_points(df: DataFrame, index: str = "lmk", points: str = "points") ->
     return df.select(*rest, F.posexplode(points).alias(index, "_p")).select(*rest, index, "_p.x", "_p.y", "_p.z")
 
 
-def decode(params: DataFrame, model: FaceModel, layout: Layout, key: str = "sid", dense: bool = False,
+def decode(params: DataFrame, model: FaceModel, layout: Layout, key: str = "sid", dense: bool = True,
            on_missing: str = "raise") -> tuple[DataFrame, DataFrame]:
-    """Vertices (key, v, x, y, z) and landmarks (key, lmk, x, y, z) of a batch of parameter rows."""
+    """Vertices (key, v, x, y, z) and landmarks (key, lmk, x, y, z) of a batch of parameter rows.
+
+    The dense form is several times faster; the native one needs no Python and no model that fits a
+    broadcast.
+    """
     if dense:
         verts = unroll_points(decode_dense(params, model, layout, key, landmarks=False), "v")
         if model.lmk_embed is None:

@@ -127,3 +127,58 @@ def with_total(terms: DataFrame, weights: Mapping[str, float] | str, by: Sequenc
     """Term table with the total as one more term."""
     total = total_loss(terms, weights, by).select(*by, F.lit("total").alias("term"), "value")
     return total.unionByName(terms.select(*by, "term", "value"))
+
+
+def active_terms(*weights: Mapping[str, float]) -> list[str]:
+    """Regularizers that at least one weight map computes."""
+    return [t for t in REGULARIZERS if any(is_active(t, w) for w in weights)]
+
+
+def with_sample_sums(params: DataFrame, active: Sequence[str]) -> DataFrame:
+    """Add each active regularizer's sum and element count of the row, two numbers per term."""
+    return params.select("*", *[
+        column for t in active for column in (
+            group_error(REGULARIZERS[t]).alias(f"{t}_sq"), F.size(REGULARIZERS[t]).alias(f"{t}_n")
+        )
+    ])
+
+
+def sample_sum_columns(active: Sequence[str]) -> list[str]:
+    return [f"{t}_{part}" for t in active for part in ("sq", "n")]
+
+
+def fused_terms(rows: DataFrame, active: Sequence[str], by: Sequence[str], index: str = "lmk") -> DataFrame:
+    """All terms of a group in one aggregate over landmark rows, one column per term.
+
+    Rows carry sx, sy, tx, ty and the sample's regularizer sums, which count at the first landmark
+    only; a sample without landmarks comes as one row with a null index.
+    """
+    first = F.coalesce(F.col(index), F.lit(0)) == 0
+    gaps = [F.col("sx") - F.col("tx"), F.col("sy") - F.col("ty")]
+    squares = gaps[0] * gaps[0] + gaps[1] * gaps[1]
+    terms = [mean_of(F.sum(squares), F.count(squares) * 2).alias("landmark")]
+    for t in REGULARIZERS:
+        if t in active:
+            total, count = (F.sum(F.when(first, F.col(f"{t}_{part}"))) for part in ("sq", "n"))
+            terms.append(mean_of(total, count).alias(t))
+        else:
+            terms.append(F.lit(0.0).alias(t))
+    return rows.groupBy(*by).agg(*terms)
+
+
+def unpivot_terms(wide: DataFrame, weights: Mapping[str, float] | str, by: Sequence[str]) -> DataFrame:
+    """Long term table (by, term, value) with the weighted total, from one column per term.
+
+    With a weight map column, a regularizer that the row's map does not weigh counts as 0.
+    """
+    names = ["landmark", *REGULARIZERS]
+    chosen = F.col(weights) if isinstance(weights, str) else weights
+    values = {t: F.col(t) for t in names}
+    if isinstance(weights, str):
+        for t in REGULARIZERS:
+            weighed = F.coalesce(F.try_element_at(chosen, F.lit(t)), F.lit(0.0)) > 0
+            values[t] = F.when(weighed, F.col(t)).otherwise(0.0)
+    weighted = [weight_of(F.lit(t), chosen) * values[t] for t in names]
+    values = {"total": sum(weighted[1:], weighted[0]), **values}
+    pairs = F.array(*[F.struct(F.lit(t).alias("term"), v.alias("value")) for t, v in values.items()])
+    return wide.select(*by, F.inline(pairs))

@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meshframe.session import broadcast_if_small
-
 # Names under which an array of landmark vertex indices is looked for, in order.
 INDEX_KEYS = (
     "static_landmark_vertex_ids", "vertex_ids_68", "landmark_vertex_ids", "landmark_indices",
@@ -41,25 +39,21 @@ def contract(profiles: DataFrame, candidates: Sequence[str] = INDEX_KEYS, file:
     shape = F.col("shape")
     flat = (F.size(shape) == 1) & (F.get(shape, F.lit(0)) == n)
     wide = (F.size(shape) == 2) & (F.get(shape, F.lit(0)) == n) & (F.get(shape, F.lit(1)) == 3)
-    ranked = profiles.sparkSession.createDataFrame(
-        [(k, i) for i, k in enumerate(candidates)], "key string, prio int"
-    )
-    prio = F.when(flat, F.col("prio"))
-    per_file = (
-        profiles.join(broadcast_if_small(ranked, len(candidates), 64), "key", "left")
-        .groupBy(file)
-        .agg(
-            F.min_by(F.struct("key", "dtype"), prio).alias("_best"),
-            F.bool_or((F.col("key") == BARY_KEYS[0]) & flat).alias("_face"),
-            F.bool_or((F.col("key") == BARY_KEYS[1]) & wide).alias("_bary"),
-        )
+    names = F.array(*[F.lit(k) for k in candidates])
+    # Rank and type share one number, so the aggregate keeps fixed-width state: rank first, integers first.
+    rank = F.array_position(names, F.col("key"))
+    other_type = F.when(F.lower("dtype").isin(*INTEGER_TYPES), 0).otherwise(1)
+    per_file = profiles.groupBy(file).agg(
+        F.min(F.when(flat & (rank > 0), rank * 2 + other_type)).alias("_best"),
+        F.bool_or((F.col("key") == BARY_KEYS[0]) & flat).alias("_face"),
+        F.bool_or((F.col("key") == BARY_KEYS[1]) & wide).alias("_bary"),
     )
     bary = F.coalesce(F.col("_face") & F.col("_bary"), F.lit(False))
     verdict = F.when(F.col("_best").isNotNull(), "indices").when(bary, "barycentric").otherwise("missing")
     return per_file.select(
         file,
-        F.col("_best.key").alias("key"),
-        F.lower("_best.dtype").isin(*INTEGER_TYPES).alias("is_integer"),
+        F.get(names, (F.shiftright("_best", 1) - 1).cast("int")).alias("key"),
+        (F.col("_best") % 2 == 0).alias("is_integer"),
         bary.alias("bary_ok"),
         verdict.alias("status"),
     )

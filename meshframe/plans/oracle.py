@@ -212,8 +212,8 @@ def _stage_rows() -> str:
         start += stage.epochs
     return f"""stages(stage, name, start, epochs, lr, weights) AS (VALUES {', '.join(rows)}),
 settings AS (
-  SELECT start + k AS epoch, stage, name, k AS stage_epoch, lr, weights, start + k IN (0, 15, 29) AS verbose,
-         k = 0 OR (k + 1) % 5 = 0 OR k = epochs - 1 AS progress
+  SELECT start + k AS epoch, stage, name, k AS stage_epoch, lr, weights, start + k IN (0, 15, 29) AS verbose_mark,
+         k = 0 OR (k + 1) % 5 = 0 OR k = epochs - 1 AS progress_mark
   FROM stages, range(10) a(k) WHERE k < epochs)"""
 
 
@@ -312,7 +312,7 @@ SELECT sid AS file, CAST(l AS INTEGER) AS lmk, CAST((sid * 3 + l * 5) % 23 AS IN
 FROM chosen, range(68) a(l) WHERE n = 68""",
     "embedding_rejects": _with(EMB, CATALOG) + """
 SELECT sid AS file, convention, 'face index shape' AS reason FROM chosen WHERE n <> 68""",
-    "land_corpus": """SELECT doc_id AS stem, CASE WHEN lang = 'en' AND quality IS NULL THEN 2 ELSE 1 END AS copies, quality AS points
+    "land_corpus": """SELECT doc_id AS stem, CASE WHEN lang = 'en' AND quality IS NULL THEN 2::BIGINT ELSE 1 END AS copies, quality AS points
 FROM documents LEFT JOIN labels USING (doc_id)""",
     "obj_lines": _with(EMB, VALS, MODEL, SHAPED, f"verts AS ({_xyz('shaped', 'sid, v')})") + """
 SELECT sid, 0 AS section, CAST(v AS INTEGER) AS ord, printf('v %.6f %.6f %.6f', x, y, z) AS line FROM verts UNION ALL
@@ -428,6 +428,7 @@ FROM screen JOIN truth USING (sid, lmk) JOIN emb USING (sid) GROUP BY label""",
     "total_loss": _with(EMB, VALS, BATCHED, BVALS, f"terms AS ({_terms('bvals', 'batch', _ACTIVE)})") + f"""
 SELECT batch, {r6(f"sum({_weight_case({k: v for k, v in _WEIGHTS.items() if k != 'reg_transl'})} * value)", 'value')}
 FROM terms GROUP BY batch""",
+    "term_table": _batch_losses(),
     "batch_losses": _batch_losses(),
     "batch_losses_native": _batch_losses(),
     "staged_losses": _with(*STAGED) + f" SELECT epoch, batch, term, {r6('value', 'value')} FROM staged",
@@ -437,8 +438,8 @@ FROM staged GROUP BY epoch, term
 UNION ALL SELECT 'Hyperparameters/learning_rate_epoch', CAST(epoch + 1 AS BIGINT), {r6('lr')} FROM settings
 WHERE epoch IN (SELECT epoch FROM staged)""",
     "with_settings": _with(EVENT_TERMS, SETTINGS) + """
-SELECT batch AS event_id, e.epoch, stage, name, CAST(stage_epoch AS INTEGER) AS stage_epoch, lr, verbose, progress,
-  weights['landmark'] AS landmark_weight
+SELECT batch AS event_id, e.epoch, stage, name, CAST(stage_epoch AS INTEGER) AS stage_epoch, lr,
+  verbose_mark, progress_mark, weights['landmark'] AS landmark_weight
 FROM event_terms e LEFT JOIN settings s ON s.epoch = e.epoch""",
     "last_batch": _with(EVENT_TERMS) + f"""
 SELECT epoch, term, max(batch) AS last_batch, {r6('arg_max(value, batch)', 'last_value')}, {r6('avg(value)', 'mean_value')}

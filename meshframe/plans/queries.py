@@ -411,7 +411,7 @@ def landmarks(spark: SparkSession, folder: str) -> DataFrame:
 def landmarks_of_vertices(spark: SparkSession, folder: str) -> DataFrame:
     """Landmarks gathered from all decoded vertices."""
     model = small_model(spark)
-    verts = geometry.decode_vertices(groups(spark, folder), model, COMPACT_LAYOUT)
+    verts, _ = geometry.decode(groups(spark, folder), model, COMPACT_LAYOUT)
     return rounded(geometry.landmarks3d(verts, model), *"xyz")
 
 
@@ -427,12 +427,12 @@ def screen_points(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def decode(spark: SparkSession, folder: str) -> DataFrame:
-    verts, _ = geometry.decode(groups(spark, folder), small_model(spark), COMPACT_LAYOUT)
+    verts, _ = geometry.decode(groups(spark, folder), small_model(spark), COMPACT_LAYOUT, dense=False)
     return rounded(verts, *"xyz")
 
 
 def decode_dense(spark: SparkSession, folder: str) -> DataFrame:
-    verts, _ = geometry.decode(groups(spark, folder), small_model(spark), COMPACT_LAYOUT, dense=True)
+    verts, _ = geometry.decode(groups(spark, folder), small_model(spark), COMPACT_LAYOUT)
     return rounded(verts, *"xyz")
 
 
@@ -473,6 +473,14 @@ def regularizer(term: str) -> Query:
     return query
 
 
+def term_table(spark: SparkSession, folder: str) -> DataFrame:
+    """Terms and total per batch, the landmark errors given as a table of their own."""
+    cut = with_truth(params.split_vector(batched(spark, folder), "coeffs", COMPACT_LAYOUT))
+    rows = training.landmark_rows(cut, small_model(spark), COMPACT_LAYOUT, ["batch"])
+    terms = losses.loss_terms(cut, FIRST_WEIGHTS, ["batch"], rows)
+    return rounded(losses.with_total(terms, FIRST_WEIGHTS, ["batch"]), "value")
+
+
 def loss_gate(spark: SparkSession, folder: str) -> DataFrame:
     """Terms of a weight map with a zero, a missing and a perceptual weight."""
     weights = {"reg_shape": 1.0, "reg_detail": 0.0, "reg_transl": 2.0, "reg_global_pose": 0.5, "perceptual": 1.0}
@@ -527,7 +535,8 @@ def event_terms(spark: SparkSession, folder: str) -> DataFrame:
 def with_settings(spark: SparkSession, folder: str) -> DataFrame:
     rows = reporting.with_settings(event_terms(spark, folder), STAGES)
     return rows.select(
-        F.col("batch").alias("event_id"), "epoch", "stage", "name", "stage_epoch", "lr", "verbose", "progress",
+        F.col("batch").alias("event_id"), "epoch", "stage", "name", "stage_epoch", "lr",
+        F.col("verbose").alias("verbose_mark"), F.col("progress").alias("progress_mark"),
         F.col("weights").getItem("landmark").alias("landmark_weight"),
     )
 
@@ -620,8 +629,8 @@ def reconcile(spark: SparkSession, folder: str) -> DataFrame:
     """Landmarks by both routes, with some rows missing or moved on the stored side."""
     model = small_model(spark)
     cut = groups(spark, folder)
-    direct = geometry.decode_landmarks(cut, model, COMPACT_LAYOUT)
-    gathered = geometry.landmarks3d(geometry.decode_vertices(cut, model, COMPACT_LAYOUT), model)
+    verts, direct = geometry.decode(cut, model, COMPACT_LAYOUT)
+    gathered = geometry.landmarks3d(verts, model)
     stored = direct.filter("NOT (sid % 50 = 7 AND lmk = 0)").withColumn(
         "x", F.when(F.expr("sid % 20 = 3 AND lmk = 5"), F.col("x") + 0.25).otherwise(F.col("x"))
     )
@@ -688,6 +697,7 @@ QUERIES: dict[str, Query] = {
     "landmark_mse_joined": landmark_mse_joined,
     **{term: regularizer(term) for term in losses.REGULARIZERS},
     "loss_gate": loss_gate,
+    "term_table": term_table,
     "total_loss": total_loss,
     "batch_losses": batch_losses,
     "batch_losses_native": batch_losses_native,

@@ -9,56 +9,68 @@ from pyspark.sql import functions as F
 
 from meshframe.functions.camera import Camera
 from meshframe.operators.geometry import decode_dense, decode_landmarks, project
-from meshframe.operators.losses import REGULARIZERS, is_active, loss_terms, with_total
+from meshframe.operators.losses import (
+    active_terms, fused_terms, sample_sum_columns, unpivot_terms, with_sample_sums,
+)
 from meshframe.operators.params import Layout, check_width, split_vector
-from meshframe.operators.reporting import Stage, last_batch, metric_rows, rate_rows, with_settings
+from meshframe.operators.reporting import Stage, last_batch, with_settings
 from meshframe.sources.assets import FaceModel
 
 
-def landmark_rows(params: DataFrame, model: FaceModel, layout: Layout, by: Sequence[str], truth: str = "truth",
+def landmark_rows(params: DataFrame, model: FaceModel, layout: Layout, keep: Sequence[str], truth: str = "truth",
                   key: str = "sid", camera: Camera = Camera(), dense: bool = True) -> DataFrame:
-    """Screen landmarks beside their truth: (by, key, lmk, sx, sy, tx, ty).
+    """Screen landmarks beside their truth: (keep, key, lmk, sx, sy, tx, ty).
 
     The truth travels as one array in the sample's row and is unrolled together with the prediction,
     so no landmark-level join is needed.
     """
     if dense:
-        rows = decode_dense(params, model, layout, key, keep=[*by, truth]).select(
-            *by, key, F.posexplode(F.arrays_zip("points", F.col(truth).alias("truth"))).alias("lmk", "_p")
-        ).select(*by, key, "lmk", "_p.points.x", "_p.points.y", "_p.points.z",
-                 F.col("_p.truth.x").alias("tx"), F.col("_p.truth.y").alias("ty"))
+        rows = decode_dense(params, model, layout, key, keep=[*keep, truth]).select(
+            *keep, key, F.posexplode_outer(F.arrays_zip("points", F.col(truth).alias("truth"))).alias("lmk", "_p")
+        ).select(*keep, key, "lmk", "_p.points.x", "_p.points.y", "_p.points.z",
+                 F.col("_p.truth.x").cast("double").alias("tx"), F.col("_p.truth.y").cast("double").alias("ty"))
     else:
-        rows = decode_landmarks(params, model, layout, key, keep=by, truth=truth)
-    return project(rows, camera).select(*by, key, "lmk", "sx", "sy", "tx", "ty")
+        rows = decode_landmarks(params, model, layout, key, keep=keep, truth=truth)
+    return project(rows, camera).select(*keep, key, "lmk", "sx", "sy", "tx", "ty")
+
+
+def _fused(samples: DataFrame, model: FaceModel, layout: Layout, active: Sequence[str], coeffs: str, truth: str,
+           by: Sequence[str], key: str, dense: bool) -> DataFrame:
+    """One pass over the samples and one shuffle of partial sums."""
+    params = split_vector(check_width(samples, coeffs, layout), coeffs, layout)
+    summed = with_sample_sums(params, active)
+    rows = landmark_rows(summed, model, layout, [*by, *sample_sum_columns(active)], truth, key, dense=dense)
+    return fused_terms(rows, active, by)
 
 
 def batch_losses(samples: DataFrame, model: FaceModel, layout: Layout, weights: Mapping[str, float],
                  coeffs: str = "coeffs", truth: str = "truth", by: Sequence[str] = ("batch",), key: str = "sid",
                  dense: bool = True) -> DataFrame:
     """Term table with the total of every batch, from samples with coefficients and true landmarks."""
-    params = split_vector(check_width(samples, coeffs, layout), coeffs, layout)
-    landmarks = landmark_rows(params, model, layout, by, truth, key, dense=dense)
-    return with_total(loss_terms(params, weights, by, landmarks), weights, by)
+    wide = _fused(samples, model, layout, active_terms(weights), coeffs, truth, by, key, dense)
+    return unpivot_terms(wide, weights, by)
 
 
 def staged_losses(samples: DataFrame, model: FaceModel, layout: Layout, stages: Sequence[Stage],
                   coeffs: str = "coeffs", truth: str = "truth", key: str = "sid", dense: bool = True) -> DataFrame:
     """Term table per (epoch, batch), weighted by each epoch's stage."""
     by = ("epoch", "batch")
-    params = split_vector(check_width(samples, coeffs, layout), coeffs, layout)
-    landmarks = landmark_rows(params, model, layout, by, truth, key, dense=dense)
-    # A term is computed when any stage weighs it; stages that do not gate it off again below.
-    active = {t: 1.0 for t in REGULARIZERS if any(is_active(t, s.weights) for s in stages)}
-    terms = with_settings(loss_terms(params, active, by, landmarks), stages).select(*by, "term", "value", "weights")
-    positive = F.coalesce(F.try_element_at("weights", "term"), F.lit(0.0)) > 0
-    gated = terms.withColumn(
-        "value", F.when(F.col("term").isin(*REGULARIZERS) & ~positive, 0.0).otherwise(F.col("value"))
-    )
-    return with_total(gated, "weights", by)
+    active = active_terms(*[s.weights for s in stages])
+    wide = _fused(samples, model, layout, active, coeffs, truth, by, key, dense)
+    return unpivot_terms(with_settings(wide, stages), "weights", by)
 
 
 def epoch_metrics(terms: DataFrame, stages: Sequence[Stage]) -> DataFrame:
-    """Scalar log (tag, step, value): last-batch terms and the learning rate of every logged epoch."""
-    last = last_batch(terms, ["epoch", "term"], "batch")
-    logged = with_settings(last.select("epoch").distinct(), stages).filter(F.col("lr").isNotNull())
-    return metric_rows(last).unionByName(rate_rows(logged))
+    """Scalar log (tag, step, value): last-batch terms and the learning rate of every logged epoch.
+
+    The rate of an epoch comes from its row of the total, so the losses are computed once.
+    """
+    last = with_settings(last_batch(terms, ["epoch", "term"], "batch"), stages)
+    rate = F.struct(
+        F.lit("Hyperparameters/learning_rate_epoch").alias("tag"),
+        (F.col("epoch") + 1).cast("bigint").alias("step"), F.col("lr").alias("value"),
+    )
+    tag = F.concat(F.lit("Loss/train_"), F.col("term"), F.lit("_epoch_last_batch"))
+    loss = F.struct(tag.alias("tag"), (F.col("epoch") + 1).cast("bigint").alias("step"), F.col("last_value").alias("value"))
+    logged = (F.col("term") == "total") & F.col("lr").isNotNull()
+    return last.select(F.inline(F.when(logged, F.array(loss, rate)).otherwise(F.array(loss))))

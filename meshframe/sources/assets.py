@@ -22,7 +22,7 @@ TABLES = ("template", "shape_basis", "pose_basis", "joint_reg", "skin", "faces")
 OPTIONAL_TABLES = ("expr_basis", "joints", "lmk_embed")
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, eq=False)
 class FaceModel:
     """Model tables with their sizes."""
 
