@@ -25,7 +25,10 @@ from meshframe.sources.assets import FaceModel
 
 AXES = ("x", "y", "z")
 LANDMARK_COUNT = 68
-_CHUNK_ROWS = 262_144
+# Vertices computed at once in a dense batch, so that intermediate arrays stay in cache, and the
+# fewest samples at once, so that a large basis is not re-read for every few of them.
+_CHUNK_ROWS = 16_384
+_CHUNK_SAMPLES = 32
 
 
 # --- per-sample columns -------------------------------------------------------------------------
@@ -322,24 +325,51 @@ def _model_arrays(model: FaceModel, landmarks: bool) -> dict[str, np.ndarray]:
     def lists(name: str, width: int) -> np.ndarray:
         return matrix_of(data.column(name).combine_chunks(), width)
 
+    joints = np.array([[row[a] for a in AXES] for row in model.joint_basis])
     arrays = {
         "base": np.stack([data.column(a).to_numpy() for a in AXES], axis=1),
         "basis": np.stack([lists(f"b{a}", model.n_coeffs) for a in AXES], axis=1),
         "weights": lists("w", model.n_joints),
+        "joint_base": joints[:, :, 0],
+        "joint_basis": joints[:, :, 1:].reshape(3 * model.n_joints, -1),
+        "parents": np.array(model.parents),
     }
     if landmarks:
         arrays["bary"] = data.column("b").to_numpy().reshape(-1, 3)
     return arrays
 
 
-def _dense_points(coeffs: np.ndarray, motions: np.ndarray, shift: np.ndarray, m: dict) -> np.ndarray:
+def _dense_motions(coeffs: np.ndarray, rots: np.ndarray, m: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Turn (samples, joints, 3, 3) and shift (samples, joints, 3) of every joint relative to rest."""
+    rest = (coeffs @ m["joint_basis"].T).reshape(len(coeffs), -1, 3) + m["joint_base"]
+    turns, places = rots.copy(), rest.copy()
+    for j, parent in enumerate(m["parents"]):
+        if parent >= 0:
+            turns[:, j] = turns[:, parent] @ rots[:, j]
+            step = (rest[:, j] - rest[:, parent])[:, :, None]
+            places[:, j] = places[:, parent] + (turns[:, parent] @ step)[:, :, 0]
+    return turns, places - (turns @ rest[..., None])[..., 0]
+
+
+def _dense_points(coeffs: np.ndarray, rots: np.ndarray, shift: np.ndarray, m: dict, uses_pose: bool) -> np.ndarray:
     """(samples, points, 3) of one chunk: blend, skin, translate, and mix corners for landmarks."""
+    turns, places = _dense_motions(coeffs, rots, m)
+    inputs = [coeffs]
+    if uses_pose:
+        inputs.append((rots[:, 1:5] - np.eye(3)).reshape(len(rots), -1))
     v = len(m["base"])
-    blended = (coeffs @ m["basis"].reshape(3 * v, -1).T).reshape(-1, v, 3) + m["base"]
-    skinning = (m["weights"] @ motions).reshape(-1, v, 3, 4)
-    points = (skinning[..., :3] @ blended[..., None])[..., 0] + skinning[..., 3] + shift[:, None, :]
+    blended = (np.concatenate(inputs, axis=1) @ m["basis"].reshape(3 * v, -1).T).reshape(-1, v, 3) + m["base"]
+    moves = np.concatenate([turns.reshape(len(rots), -1, 9), places], axis=2)
+    skinning = m["weights"] @ moves
+    points = skinning[..., 9:] + shift[:, None, :]
+    for a in range(3):
+        points[..., a] += (
+            skinning[..., 3 * a] * blended[..., 0]
+            + skinning[..., 3 * a + 1] * blended[..., 1]
+            + skinning[..., 3 * a + 2] * blended[..., 2]
+        )
     if "bary" in m:
-        points = (points.reshape(len(points), -1, 3, 3) * m["bary"][None, :, :, None]).sum(axis=2)
+        points = np.einsum("slkc,lk->slc", points.reshape(len(points), -1, 3, 3), m["bary"])
     return points
 
 
@@ -347,17 +377,20 @@ def decode_dense(params: DataFrame, model: FaceModel, layout: Layout, key: str =
                  keep: Sequence[str] = (), landmarks: bool = True) -> DataFrame:
     """Posed landmarks or vertices as one array of points per sample, by matrix products per Arrow batch.
 
-    Rotations and joint motions stay column arithmetic; only the dense products run in the batch.
+    Rotations stay column arithmetic; joint regression, joint motions and the dense products run in
+    the batch, where each is one product for all its samples.
     """
     if landmarks and model.lmk_embed is None:
         raise ValueError("the model has no landmark embedding")
-    spark = params.sparkSession
-    shared = spark.sparkContext.broadcast(_model_arrays(model, landmarks))
-    n_coeffs, n_joints = model.n_coeffs, model.n_joints
-    flat = posed(params, model, layout, [key, *keep]).select(
-        key, *keep, "coeffs", "transforms", "shift"
+    check_model(layout, model)
+    shared = params.sparkSession.sparkContext.broadcast(_model_arrays(model, landmarks))
+    n_coeffs, n_joints, uses_pose = model.n_shape + model.n_expr, model.n_joints, model.uses_pose
+    shift = array_sql(f"coalesce(get(transl, {a}), 0D)" for a in range(3))
+    flat = rotations(params, global_width=layout.width("global_pose")).selectExpr(
+        key, *keep, "concat(shape, expression) AS coeffs", "flatten(rots) AS rots", f"{shift} AS shift"
     )
     carried = [f for f in flat.schema.fields if f.name in (key, *keep)]
+    names = [f.name for f in carried]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in carried)
 
     def points_column(points: np.ndarray) -> pa.ListArray:
@@ -369,17 +402,17 @@ def decode_dense(params: DataFrame, model: FaceModel, layout: Layout, key: str =
 
     def run(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        step = max(1, _CHUNK_ROWS // len(m["base"]))
+        step = max(_CHUNK_SAMPLES, _CHUNK_ROWS // len(m["base"]))
         for record in records:
             for start in range(0, record.num_rows, step):
                 part = record.slice(start, step)
                 points = _dense_points(
                     matrix_of(part.column("coeffs"), n_coeffs),
-                    matrix_of(part.column("transforms"), n_joints * 12).reshape(-1, n_joints, 12),
+                    matrix_of(part.column("rots"), n_joints * 9).reshape(-1, n_joints, 3, 3),
                     matrix_of(part.column("shift"), 3),
                     m,
+                    uses_pose,
                 )
-                names = [f.name for f in carried]
                 yield pa.RecordBatch.from_arrays(
                     [*[part.column(n) for n in names], points_column(points)], names=[*names, "points"]
                 )

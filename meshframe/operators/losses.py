@@ -178,7 +178,10 @@ def unpivot_terms(wide: DataFrame, weights: Mapping[str, float] | str, by: Seque
         for t in REGULARIZERS:
             weighed = F.coalesce(F.try_element_at(chosen, F.lit(t)), F.lit(0.0)) > 0
             values[t] = F.when(weighed, F.col(t)).otherwise(0.0)
-    weighted = [weight_of(F.lit(t), chosen) * values[t] for t in names]
+    if isinstance(weights, str):
+        weighted = [weight_of(F.lit(t), chosen) * values[t] for t in names]
+    else:
+        weighted = [F.lit(float(weights.get(t, 1.0))) * values[t] for t in names]
     values = {"total": sum(weighted[1:], weighted[0]), **values}
     pairs = F.array(*[F.struct(F.lit(t).alias("term"), v.alias("value")) for t, v in values.items()])
     return wide.select(*by, F.inline(pairs))
