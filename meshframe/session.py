@@ -27,12 +27,14 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, name: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is set."""
+    """The cluster's checkpoint folder; a temporary one only in local mode and where none is set."""
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="meshframe-ckpt-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
