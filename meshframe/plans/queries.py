@@ -503,7 +503,9 @@ def batch_losses(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def batch_losses_native(spark: SparkSession, folder: str) -> DataFrame:
-    rows = with_truth(batched(spark, folder))
+    # Partitions are sized by bytes, and the native form spends far more time per byte than a scan.
+    cores = spark.sparkContext.defaultParallelism
+    rows = with_truth(batched(spark, folder).repartition(cores, "sid"))
     found = training.batch_losses(rows, small_model(spark), COMPACT_LAYOUT, FIRST_WEIGHTS, dense=False)
     return rounded(found, "value")
 
