@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from meshframe.functions.camera import Camera
 from meshframe.functions.rotations import IDENTITY3, rotation_stack
 from meshframe.functions.steps import array_sql, dot_sql, number_sql, numbers_sql, product_sql, run_steps
-from meshframe.operators.params import Layout, list_of, matrix_of
+from meshframe.operators.params import Layout, matrix_of
 from meshframe.session import BROADCAST_BYTES, broadcast_if_small, doubles
 from meshframe.sources.assets import FaceModel
 
