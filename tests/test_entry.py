@@ -1,8 +1,11 @@
 import __spark_entry__ as spark_entry
+from meshframe.plans.oracle import ORACLE
+from meshframe.plans.queries import QUERIES
 
 
 def test_every_query_has_sql():
-    assert set(spark_entry.queries()) == set(spark_entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(spark_entry.queries()) and set(spark_entry.oracle_sql()) <= set(spark_entry.queries())
 
 
 def test_flagship_runs(spark):
