@@ -143,7 +143,7 @@ def select_cutoffs(features: DataFrame, stratum: str, good: str, max_false_rejec
             F.collect_list(F.struct(worth.alias("worth"), (-F.col("j")).alias("lenient"))).alias("options"))
         .withColumn("best", F.array_max(F.filter(
             "options", lambda o: (-o["lenient"] < F.coalesce("stop", F.lit(n_cutoffs + 1))) & (o["worth"] > 0))))
-        .withColumn("cutoff", F.element_at(grid, -F.col("best.lenient")))
+        .withColumn("cutoff", F.get(grid, -F.col("best.lenient") - 1))
     )
     return chosen.groupBy("stratum").agg(
         *[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"max_{r}") for r in RULES])
