@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from meshframe.llm.mixing import op2_mixing
+from meshframe.llm.pii import op6_pii
 from meshframe.llm.quality import op9_quality
 from meshframe.llm.sharding import op8_sharding
 from meshframe.llm.url_filter import OP7_SQL, op7_url_filter
 
 QUERIES = {
     "op2_mixing": op2_mixing,
+    "op6_pii": op6_pii,
     "op7_url_filter": op7_url_filter,
     "op8_sharding": op8_sharding,
     "op9_quality": op9_quality,
