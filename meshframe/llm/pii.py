@@ -38,9 +38,9 @@ CONTEXT_CHARS = 40
 
 LABELERS = ("pattern", "check", "gazetteer", "context", "against")
 ROUNDS = 25
-# A span is added where the classifier is this sure and at least two labelers speak for it.
+# A span is added where the classifier is this sure and the labelers for it outnumber those against by so many.
 SURE = 0.95
-VOTES_FOR = 2
+MAJORITY = 3
 
 _BLOCK = 512
 
@@ -117,9 +117,10 @@ def _found(df: DataFrame, kind: str, pattern: str, loose: bool, worth: Column) -
         gap, after = F.get("_gaps", i), F.substring(F.get("_gaps", i + 1), 1, 1)
         start = F.get("_at", i) + F.length(gap)
         before = F.lower(F.right(gap, F.lit(CONTEXT_CHARS)))
-        valid = _valid(kind, m) if not loose else F.lit(kind == "ip")
+        valid = _valid(kind, m) if not loose or kind == "phone" else F.lit(kind == "ip") if kind != "email" else (
+            m.rlike(r"(?:\.|\(dot\)|\[dot\])\x20?[A-Za-z]{2,24}$"))
         votes = [
-            F.lit(-1 if loose else 1),
+            F.lit(0 if loose else 1),
             F.when(valid, 1).otherwise(-1),
             _gazetteer(kind, m),
             F.when(before.rlike(CONTEXT[kind]), 1).otherwise(0),
@@ -251,7 +252,7 @@ def decide(cands: DataFrame, model: DataFrame) -> DataFrame:
     """Adds ``spans``: the base spans and the candidates that the classifier accepts, by start and kind."""
     accepted = model.where(F.col("probability") >= SURE).agg(F.collect_set("code").alias("_accepted"))
     wanted = lambda c: c["base"] | (
-        (F.size(F.filter(c["votes"], lambda v: v == 1)) >= VOTES_FOR) & F.array_contains("_accepted", _code(c)))
+        (F.aggregate(c["votes"], F.lit(0), lambda s, v: s + v) >= MAJORITY) & F.array_contains("_accepted", _code(c)))
     return cands.join(F.broadcast(accepted)).withColumn("spans", F.filter("cands", wanted)).drop("_accepted")
 
 

@@ -32,12 +32,13 @@ def slot_records(records: DataFrame, key: Column, size: Column, tie: Column, sha
     """The records with ``_bytes`` and their virtual slot ``_slot``.
 
     The slot hashes the key alone. Slots that hold more than their share, as a key that repeats in a
-    third of all rows makes them, are cut into pieces by ``tie`` and, among equal rows, by the input
-    partition; there are at most shards * HOT_SHARE of them, so their list may be broadcast.
+    third of all rows makes them, are cut into pieces by ``tie`` and, as rows may be equal, by the place
+    in the input, which the pinned rows keep; there are at most shards * HOT_SHARE such slots, so their
+    list may be broadcast.
     """
     sized = pin(records.withColumns({
         "_bytes": size, "_slot": F.pmod(F.xxhash64(key), F.lit(SLOTS)).cast("int"),
-        "_piece": F.pmod(F.xxhash64(tie, F.spark_partition_id()), F.lit(PIECES)).cast("int"),
+        "_piece": F.pmod(F.xxhash64(tie, F.monotonically_increasing_id()), F.lit(PIECES)).cast("int"),
     }))
     per_slot = sized.groupBy("_slot").agg(F.sum("_bytes").alias("_sum"))
     total = per_slot.agg(F.sum("_sum").alias("_total"))
