@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from meshframe.llm.minhash import op10_near_dedup
 from meshframe.llm.mixing import op2_mixing
 from meshframe.llm.pii import op6_pii
 from meshframe.llm.quality import op9_quality
@@ -16,6 +17,7 @@ QUERIES = {
     "op7_url_filter": op7_url_filter,
     "op8_sharding": op8_sharding,
     "op9_quality": op9_quality,
+    "op10_near_dedup": op10_near_dedup,
 }
 ORACLE = {
     "op7_url_filter": OP7_SQL,
