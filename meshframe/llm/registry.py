@@ -7,12 +7,14 @@ from meshframe.llm.mixing import op2_mixing
 from meshframe.llm.pii import op6_pii
 from meshframe.llm.quality import op9_quality
 from meshframe.llm.sharding import op8_sharding
+from meshframe.llm.substring import op4_substring_dedup
 from meshframe.llm.tokens import op3_token_count
 from meshframe.llm.url_filter import OP7_SQL, op7_url_filter
 
 QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_token_count": op3_token_count,
+    "op4_substring_dedup": op4_substring_dedup,
     "op6_pii": op6_pii,
     "op7_url_filter": op7_url_filter,
     "op8_sharding": op8_sharding,
