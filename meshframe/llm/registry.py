@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from meshframe.llm.embeddings import OP1_SQL, op1_embedding_dedup
 from meshframe.llm.minhash import op10_near_dedup
 from meshframe.llm.mixing import op2_mixing
 from meshframe.llm.pii import op6_pii
@@ -12,6 +13,7 @@ from meshframe.llm.tokens import op3_token_count
 from meshframe.llm.url_filter import OP7_SQL, op7_url_filter
 
 QUERIES = {
+    "op1_embedding_dedup": op1_embedding_dedup,
     "op2_mixing": op2_mixing,
     "op3_token_count": op3_token_count,
     "op4_substring_dedup": op4_substring_dedup,
@@ -22,5 +24,6 @@ QUERIES = {
     "op10_near_dedup": op10_near_dedup,
 }
 ORACLE = {
+    "op1_embedding_dedup": OP1_SQL,
     "op7_url_filter": OP7_SQL,
 }
