@@ -122,10 +122,13 @@ def _kept(width: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunks(batches, "text", _CHUNK_BYTES):
             counts, removed, kept = [], [], []
-            for t, starts in zip(texts, batch.column(batch.schema.get_field_index("starts"))):
+            col = lambda name, batch=batch: batch.column(batch.schema.get_field_index(name))
+            for t, starts, copied in zip(texts, col("starts"), col("copied").to_pylist()):
                 found = words(t)
                 counts.append(len(found))
-                if starts.is_valid:
+                if copied and len(found) >= width:
+                    found = []
+                elif starts.is_valid:
                     at = starts.values.to_numpy(zero_copy_only=False)
                     edge = np.zeros(len(found) + 1, np.int64)
                     np.add.at(edge, at, 1)
@@ -152,20 +155,29 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
     Words are hashed once per text, and anchors only at the positions of a difference cover: of two equal
     windows some shift takes both to cover positions, so they share an anchor. Anchors that occur once
     end there. Only windows around the others are hashed whole, in 128 bits, and counted, which extends every
-    match to its full length. Texts are shuffled once, by a hash of the row, and all three joins with
-    them use that layout; a hash that is frequent in a slice of texts is shuffled once for the slice.
+    match to its full length. Of equal texts, whose windows all repeat, only the first goes through this, on behalf
+    of all. Texts are shuffled once, by a hash of the row, and all joins with them use that layout; a hash
+    that is frequent in a slice of texts is shuffled once for the slice.
     """
-    base = docs.select(
-        F.col(key).alias(key), F.col(text).cast("binary").alias("text"),
-        F.xxhash64(key, text).alias("k"), F.hash(key, text).alias("k2"),
-    ).repartition("k")
-    anchors = base.mapInArrow(_anchors(width), "g long, known boolean, times int, k long, at int")
+    rows = docs.select(F.col(key).alias(key), F.col(text).cast("binary").alias("text")).withColumns({
+        "k": F.xxhash64(key, "text"), "k2": F.hash(key, "text"), "t1": F.xxhash64("text"), "t2": F.xxhash64("text", F.lit(1))})
+    copies = rows.groupBy("t1", "t2").agg(F.count("*").alias("n"), F.min("k").alias("first")).where("n > 1").drop("n")
+    flags = (
+        rows.select("k", "k2", "t1", "t2").join(copies, ["t1", "t2"])
+        .groupBy("k").agg(F.collect_set(F.struct("k2", (F.col("k") == F.col("first")).alias("first"))).alias("flags"))
+    )
+    own_flags = F.filter("flags", lambda x: x["k2"] == F.col("k2"))
+    role = F.when(F.coalesce(F.size(own_flags), F.lit(-1)) < 1, "only").when(
+        F.exists(own_flags, lambda x: x["first"]), "first").otherwise("copy")
+    base = rows.select(key, "text", "k", "k2").repartition("k").join(flags.hint("shuffle_hash"), "k", "left").select(
+        key, "text", "k", "k2", role.alias("role"))
+    anchors = base.where("role <> 'copy'").mapInArrow(_anchors(width), "g long, known boolean, times int, k long, at int")
     shared = (
         anchors.withColumn("times", F.sum("times").over(Window.partitionBy("g", "known")))
         .where("times > 1 and k is not null")
         .groupBy("k").agg(F.collect_set("at").alias("anchors"))
     )
-    windows = base.join(shared.hint("shuffle_hash"), "k").mapInArrow(
+    windows = base.where("role <> 'copy'").join(shared.hint("shuffle_hash"), "k").mapInArrow(
         _windows(width), "g long, g2 long, known boolean, times int, k long, at int, k2 int")
     starts = (
         windows.withColumn("times", F.sum("times").over(Window.partitionBy("g", "g2", "known")))
@@ -173,7 +185,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
         .groupBy("k").agg(F.collect_set(F.struct("k2", "at")).alias("found"))
     )
     mine = F.transform(F.filter("found", lambda x: x["k2"] == F.col("k2")), lambda x: x["at"])
-    left = base.join(starts.hint("shuffle_hash"), "k", "left").select(key, "text", mine.alias("starts"))
+    left = base.join(starts.hint("shuffle_hash"), "k", "left").select(
+        key, "text", mine.alias("starts"), (F.col("role") != "only").alias("copied"))
     return left.mapInArrow(_kept(width, [key]), T.StructType([
         left.schema[key], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
         T.StructField("kept_sha256", T.StringType()), T.StructField("kept_text", T.BinaryType())]))
