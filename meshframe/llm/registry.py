@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from meshframe.llm.bpe import op5_byte_bpe
 from meshframe.llm.embeddings import OP1_SQL, op1_embedding_dedup
 from meshframe.llm.minhash import op10_near_dedup
 from meshframe.llm.mixing import op2_mixing
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_token_count": op3_token_count,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_byte_bpe": op5_byte_bpe,
     "op6_pii": op6_pii,
     "op7_url_filter": op7_url_filter,
     "op8_sharding": op8_sharding,
