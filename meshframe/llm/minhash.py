@@ -130,8 +130,12 @@ def _links(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return both.mapInArrow(_similar, "a long, b long, similarity double").where(F.col("similarity") >= threshold - 1e-9)
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row per row of ``docs``: key, class_id (the smallest key among the texts that links join) and kept.
+def _text_hashes(text: str) -> dict:
+    return {"t1": F.xxhash64(text), "t2": F.xxhash64(text, F.lit(1))}
+
+
+def _classes(docs: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
+    """One row per row of ``docs``: id, t1 and t2 (its text's hashes), class_id and kept.
 
     Texts link where the probability Jaccard similarity of their word shingles, weighted by how often
     each occurs, is at least ``threshold``. Equal texts are one class from the start and never form
@@ -146,10 +150,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     holds two components, so no link between two texts that share a band goes missing. All candidate pairs are
     verified on the whole sets.
     """
-    spark = docs.sparkSession
-    raw = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).withColumns({
-        "t1": F.xxhash64("text"), "t2": F.xxhash64("text", F.lit(1)),
-    })
+    raw = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).withColumns(_text_hashes("text"))
     worded = raw.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     signed = worded.where("id is not null").withColumn("text", F.col("text").cast("binary")).mapInArrow(
         _bands, "id long, t1 long, t2 long, bands array<long>")
@@ -190,13 +191,32 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
 
     classes = reps.select("t1", "t2", "id").join(groups, "id", "left").select(
         "t1", "t2", F.coalesce("component", "id").alias("class_id"))
-    out = raw.select("id", "t1", "t2").join(classes, ["t1", "t2"], "left")
     class_id = F.coalesce("class_id", "id")
-    return out.select(
-        F.col("id").alias(key), class_id.alias("class_id"),
+    return raw.select("id", "t1", "t2").join(classes, ["t1", "t2"], "left").select(
+        "id", "t1", "t2", class_id.alias("class_id"),
         F.coalesce(class_id.isNull() | (F.col("id") == class_id), F.lit(False)).alias("kept"))
 
 
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """One row per row of ``docs``: key, class_id (the smallest key among the texts that links join) and kept.
+
+    See ``_classes`` for what links and how. Null and empty texts have a class of their own.
+    """
+    return _classes(docs, key, text, threshold).withColumnRenamed("id", key).drop("t1", "t2")
+
+
+def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that stand for their class, whole; of rows equal in key and text one stays."""
+    at = {"_null": F.col("_id").isNull(), "_id": F.coalesce("_id", F.lit(0).cast("bigint"))}
+    kept = _classes(docs, key, text, threshold).where("kept").select(
+        F.col("id").alias("_id"), F.col("t1").alias("_t1"), F.col("t2").alias("_t2")).withColumns(at).distinct()
+    hashes = _text_hashes(text)
+    rows = docs.select(F.struct("*").alias("_row"), F.col(key).cast("long").alias("_id"),
+                       hashes["t1"].alias("_t1"), hashes["t2"].alias("_t2")).withColumns(at)
+    keys = ["_null", "_id", "_t1", "_t2"]
+    return rows.join(kept, keys).dropDuplicates(keys).select("_row.*")
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents; an empty table gives no rows."""
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -129,12 +129,13 @@ def mix(records: DataFrame, source: Column, size: Column, key: Column, weights:
     hash threshold. Thresholds come from nested histograms; nothing is sorted. Records whose ``key`` and
     source are equal share one hash and are taken alike. A null source is a source of its own; records
     of size 0 are taken as often as the whole source; an empty table gives none. ``key`` decides the
-    order, so reruns agree.
+    order, so reruns agree. The records are read twice, once for their sums and once to be marked, and never
+    shuffled.
     """
-    sized = pin(records.withColumns({
+    sized = records.withColumns({
         "_source": source, "size": size.cast("bigint"),
         "_hash": F.shiftrightunsigned(F.xxhash64(key), 64 - _HASH_BITS),
-    }))
+    })
     lumps = sized.groupBy(F.col("_source").alias("source"), F.col("_hash").alias("hash")).agg(F.sum("size").alias("size"))
     lumps = pin(lumps)
     sources = pin(

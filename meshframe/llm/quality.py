@@ -68,7 +68,10 @@ def text_features(df: DataFrame, text: str = "text") -> DataFrame:
     }).drop("_lines")
     df = _repeat_words(df, "_words", "n_repeat_words").drop("_words")
     part = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
+    # A filter on the verdict would be pushed below these steps and repeat their formulas many times over;
+    # it can't pass a projection with a row number that the verdict reads.
     return df.withColumns({
+        "_row_number": F.monotonically_increasing_id(),
         "symbol_share": part("n_symbols", "word_chars"), "upper_share": part("_upper", "word_chars"),
         "dup_line_share": part("n_dup_lines", "_n_lines"), "repeat_share": part("n_repeat_words", "n_words"),
         "base_failed": (F.col("n_words") < MIN_WORDS)
@@ -157,8 +160,8 @@ def judge(features: DataFrame, cutoffs: DataFrame, stratum: str) -> DataFrame:
     side = broadcast_if_small(cutoffs.withColumnRenamed("stratum", "_stratum"), cutoffs.count(), 128)
     return (
         features.join(side, F.col(stratum).eqNullSafe(F.col("_stratum")), "left")
-        .withColumn("kept", ~F.col("base_failed") & ~over)
-        .drop("_stratum", *[f"max_{r}" for r in RULES])
+        .withColumn("kept", ~F.col("base_failed") & ~over & (F.col("_row_number") >= 0))
+        .drop("_stratum", "_row_number", *[f"max_{r}" for r in RULES])
     )
 
 
