@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshframe.llm.common import components, pin, table
@@ -18,6 +18,7 @@ THRESHOLD = 0.8
 # A pair at the threshold meets in no band with probability (1 - 0.8 ** ROWS) ** BANDS = 7e-5.
 BANDS, ROWS = 24, 5
 _CHUNK_BYTES = 1 << 21
+_BLOCK_BYTES = 1 << 19
 _STEP = np.uint64(0xD1342543DE82EF95)
 
 
@@ -144,11 +145,10 @@ def _classes(docs: DataFrame, key: str, text: str, threshold: float) -> DataFram
 
     Copies collapse to their smallest key by one aggregate. Bands of the rest meet in buckets; in the
     first round each bucket's smallest key is compared with its other members, so pairs grow with
-    members, not with their square. Buckets whose members are then not all in one component go on:
-    members outside the bucket's largest component, few at first and eight times as many each
-    round, are compared with all that are in other components, and leave the bucket. It ends when no bucket
-    holds two components, so no link between two texts that share a band goes missing. All candidate pairs are
-    verified on the whole sets.
+    members, not with their square. Where a bucket's members are then not all in one component, those outside
+    its largest component are compared with all texts that such buckets connect, block by block, so no
+    link between two texts that share a band goes missing and no pair is emitted but the links. All
+    are verified on the whole sets.
     """
     raw = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).withColumns(_text_hashes("text"))
     worded = raw.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
@@ -167,27 +167,13 @@ def _classes(docs: DataFrame, key: str, text: str, threshold: float) -> DataFram
 
     pairs = members.where("id > lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
     links = pin(_links(pairs, sets, threshold))
-    # The leaders of the first round have met all others of their buckets.
-    open_rows, few = members.where("id > lead").select("bucket", "id"), 4
-    while True:
-        groups = pin(components(links.select("a", "b")))
-        placed = open_rows.join(groups, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
-        mixed = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
-        placed = pin(placed.join(mixed.select("bucket"), "bucket"))
-        if placed.isEmpty():
-            break
-        per = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-        largest = per.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("m")).select("bucket", F.col("m.component").alias("largest"))
-        stray = placed.join(largest, "bucket").where("component <> largest")
-        nth = F.row_number().over(Window.partitionBy("bucket").orderBy("id"))
-        leaders = pin(stray.withColumn("nth", nth).where(F.col("nth") <= few).select(
-            "bucket", F.col("id").alias("lead"), F.col("component").alias("of")))
-        pairs = leaders.join(placed, "bucket").where("component <> of").select(
-            F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")).distinct()
-        links = pin(links.union(_links(pairs, sets, threshold)))
-        open_rows = placed.join(
-            leaders.select("bucket", F.col("lead").alias("id")), ["bucket", "id"], "left_anti").select("bucket", "id")
-        few *= 8
+    groups = pin(components(links.select("a", "b")))
+    placed = members.select("bucket", "id").join(groups, "id", "left").select(
+        "bucket", "id", F.coalesce("component", "id").alias("component"))
+    mixed = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
+    placed = pin(placed.join(mixed.select("bucket"), "bucket"))
+    more = _block_links(placed, sets, threshold)
+    groups = pin(components(links.select("a", "b").union(more.select("a", "b"))))
 
     classes = reps.select("t1", "t2", "id").join(groups, "id", "left").select(
         "t1", "t2", F.coalesce("component", "id").alias("class_id"))
@@ -197,6 +183,75 @@ def _classes(docs: DataFrame, key: str, text: str, threshold: float) -> DataFram
         F.coalesce(class_id.isNull() | (F.col("id") == class_id), F.lit(False)).alias("kept"))
 
 
+def _block_similar(threshold: float):
+    def overlaps(a: list, b: list) -> Iterator[tuple[int, int, float]]:
+        """Index pairs and similarity of those that may reach the threshold: what they share must be
+        that part of either's weight. Texts whose shingles all occur once have the plain Jaccard similarity."""
+        sets = [[(np.frombuffer(x["shingles"], np.uint64), np.frombuffer(x["weights"], np.uint32)) for x in side] for side in (a, b)]
+        keys = np.concatenate([s for s, _ in sets[1]])
+        owner = np.repeat(np.arange(len(b)), [len(s) for s, _ in sets[1]])
+        order = np.argsort(keys, kind="stable")
+        keys, owner = keys[order], owner[order]
+        part = np.concatenate([w for _, w in sets[1]])[order].astype(np.float64)
+        total = np.array([w.sum() for _, w in sets[1]], np.float64)
+        plain = np.array([bool((w == 1).all()) for _, w in sets[1]])
+        group = np.array([x["component"] for x in b])
+        least = threshold - 1e-9
+        for i, (s, w) in enumerate(sets[0]):
+            lo, hi = np.searchsorted(keys, s, "left"), np.searchsorted(keys, s, "right")
+            size = hi - lo
+            at = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            theirs = np.bincount(owner[at], part[at], len(b))
+            ours = np.bincount(owner[at], np.repeat(w, size), len(b))
+            near = (ours >= least * w.sum()) & (theirs >= least * total) & (group != a[i]["component"])
+            flat = bool((w == 1).all())
+            for j in np.flatnonzero(near):
+                if flat and plain[j]:
+                    yield i, j, ours[j] / (w.sum() + total[j] - ours[j])
+                else:
+                    yield i, j, probability_jaccard(s, w, *sets[1][j])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n in range(batch.num_rows):
+                a, b = (batch.column(batch.schema.get_field_index(c))[n].as_py() for c in ("strays", "others"))
+                found = [(min(a[i]["id"], b[j]["id"]), max(a[i]["id"], b[j]["id"]), v)
+                         for i, j, v in overlaps(a, b) if v >= threshold - 1e-9]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()),
+                    pa.array([f[2] for f in found], pa.float64())], names=["a", "b", "similarity"])
+
+    return run
+
+
+def _block_links(placed: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links between components that meet in a bucket (rows bucket, id, component).
+
+    Of each bucket all but the largest component are strays. Buckets that share texts form a region; in it all
+    strays meet all texts, in blocks of some _BLOCK_BYTES, so a task holds two blocks whatever the region's
+    size, and a pair is looked at once however many buckets it shares.
+    """
+    per = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    largest = per.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("m")).select(
+        "bucket", F.col("m.component").alias("largest"))
+    stray = placed.join(largest, "bucket").where("component <> largest").select("id").distinct().withColumn("stray", F.lit(True))
+    lead = placed.groupBy("bucket").agg(F.min("id").alias("a"))
+    regions = components(placed.join(lead, "bucket").select("a", F.col("id").alias("b")))
+    texts = pin(
+        placed.select("id", "component").distinct()
+        .join(regions.select("id", F.col("component").alias("region")), "id").join(stray, "id", "left").join(sets, "id")
+        .dropDuplicates(["id"]))
+    entry = F.struct("id", "component", "shingles", "weights")
+
+    def blocks(rows: DataFrame, out: str) -> DataFrame:
+        count = rows.groupBy("region").agg(F.ceil(F.sum(F.length("shingles") + 64) / _BLOCK_BYTES).alias("blocks"))
+        return rows.join(count, "region").groupBy("region", F.pmod(F.xxhash64("id"), "blocks").alias("block")).agg(
+            F.collect_list(entry).alias(out)).drop("block")
+
+    pairs = blocks(texts.where("stray"), "strays").join(blocks(texts, "others"), "region")
+    return pairs.select("strays", "others").mapInArrow(_block_similar(threshold), "a long, b long, similarity double").distinct()
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of ``docs``: key, class_id (the smallest key among the texts that links join) and kept.
 
