@@ -27,6 +27,8 @@ COVERS = {
 }
 _CHUNK_BYTES = 1 << 21
 _SECOND = np.uint64(0x9FB21C651E98DF25)
+# Anchors only nominate windows, so 48 bits of their hashes do; windows are told apart by 96.
+_ANCHOR_BITS = np.uint64((1 << 48) - 1)
 
 
 def cover(width: int) -> tuple[int, int]:
@@ -43,23 +45,27 @@ def _repeated(parts: list[np.ndarray]) -> np.ndarray:
     return times[back] > 1
 
 
-def _rows(names: tuple[str, ...], keys: list[np.ndarray], more: dict[str, np.ndarray], known: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Occurrences for the shuffle. One that repeats within the slice needs no company: it gets a key of its own and
-    counts two, and a single marker (k null) tells the others, so a hot hash has one row per slice."""
-    place = mix(more["k"].view(np.uint64) + more["at"].astype(np.uint64) * _SECOND)
-    mark = np.unique(np.flatnonzero(known)) if known.any() else np.empty(0, np.int64)
-    if len(mark):
-        _, at = np.unique(keys[0][mark], return_index=True)
-        mark = mark[at]
-    n, extra = len(known), len(mark)
-    cols = [np.concatenate([np.where(known, place, key), key[mark]]).view(np.int64) for key in keys]
-    arrays = [pa.array(c) for c in cols]
-    arrays.append(pa.array(np.concatenate([known, np.zeros(extra, bool)])))
-    arrays.append(pa.array(np.concatenate([np.where(known, 2, 1), np.full(extra, 2)]).astype(np.int32)))
-    hidden = np.concatenate([np.zeros(n, bool), np.ones(extra, bool)])
-    for v in more.values():
-        arrays.append(pa.array(np.concatenate([v, np.zeros(extra, v.dtype)]), mask=hidden))
-    yield pa.RecordBatch.from_arrays(arrays, names=[*names, "known", "times", *more])
+def _rows(keys: dict[str, np.ndarray], k: np.ndarray, at: np.ndarray, k2: np.ndarray | None, known: np.ndarray) -> pa.RecordBatch:
+    """Occurrences for the shuffle: the hash, the row's key k, and a number that holds the place, whether the
+    occurrence is known to repeat (lowest bit) and, if given, k2 (upper half); -1 marks a marker.
+
+    An occurrence that repeats within the slice needs no company: it goes by a key of its own, and a single
+    marker tells the others, so a hot hash has one row per slice.
+    """
+    place = mix(k.view(np.uint64) + at.astype(np.uint64) * _SECOND)
+    mark = np.flatnonzero(known)
+    mark = mark[np.unique(keys["g"][mark], return_index=True)[1]]
+    number = at.astype(np.int64) * 2 + known
+    if k2 is not None:
+        number |= k2.astype(np.int64) << 32
+    columns = {}
+    for name, key in keys.items():
+        mine = (place >> np.uint64(64 - 8 * key.dtype.itemsize)).astype(key.dtype) if name != "g" else place
+        columns[name] = np.concatenate([np.where(known, mine, key), key[mark]])
+    columns["g"] = columns["g"].view(np.int64)
+    columns["k"] = np.concatenate([k, np.zeros(len(mark), np.int64)])
+    columns["p"] = np.concatenate([number, np.full(len(mark), -1)])
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], names=list(columns))
 
 
 def _anchors(width: int):
@@ -82,7 +88,7 @@ def _anchors(width: int):
                 rows.append(np.full(len(at), k, np.int64))
             if found:
                 h = np.concatenate(found)
-                yield from _rows(("g",), [h], {"k": np.concatenate(rows), "at": np.concatenate(places)}, _repeated(found))
+                yield _rows({"g": h & _ANCHOR_BITS}, np.concatenate(rows), np.concatenate(places), None, _repeated(found))
 
     return run
 
@@ -111,9 +117,8 @@ def _windows(width: int):
                 rows2.append(np.full(len(at), k2, np.int32))
             if first:
                 a, b = np.concatenate(first), np.concatenate(second)
-                yield from _rows(("g", "g2"), [a, b], {
-                    "k": np.concatenate(rows), "at": np.concatenate(places), "k2": np.concatenate(rows2)},
-                    _repeated([mix(a ^ mix(b))]))
+                yield _rows({"g": a, "g2": b.astype(np.uint32).view(np.int32)}, np.concatenate(rows), np.concatenate(places),
+                            np.concatenate(rows2), _repeated([mix(a ^ mix(b))]))
 
     return run
 
@@ -154,7 +159,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
 
     Words are hashed once per text, and anchors only at the positions of a difference cover: of two equal
     windows some shift takes both to cover positions, so they share an anchor. Anchors that occur once
-    end there. Only windows around the others are hashed whole, in 128 bits, and counted, which extends every
+    end there. Only windows around the others are hashed whole, in 96 bits, and counted, which extends every
     match to its full length. Of equal texts, whose windows all repeat, only the first goes through this, on behalf
     of all. Texts are shuffled once, by a hash of the row, and all joins with them use that layout; a hash
     that is frequent in a slice of texts is shuffled once for the slice.
@@ -171,20 +176,20 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
         F.exists(own_flags, lambda x: x["first"]), "first").otherwise("copy")
     base = rows.select(key, "text", "k", "k2").repartition("k").join(flags.hint("shuffle_hash"), "k", "left").select(
         key, "text", "k", "k2", role.alias("role"))
-    anchors = base.where("role <> 'copy'").mapInArrow(_anchors(width), "g long, known boolean, times int, k long, at int")
+    anchors = base.where("role <> 'copy'").mapInArrow(_anchors(width), "g long, k long, p long")
+    company = lambda *keys: F.count(F.lit(1)).over(Window.partitionBy(*keys))
     shared = (
-        anchors.withColumn("times", F.sum("times").over(Window.partitionBy("g", "known")))
-        .where("times > 1 and k is not null")
-        .groupBy("k").agg(F.collect_set("at").alias("anchors"))
+        anchors.withColumn("n", company("g")).where("p >= 0 and (n > 1 or p % 2 = 1)")
+        .groupBy("k").agg(F.collect_set(F.shiftright("p", 1).cast("int")).alias("anchors"))
     )
     windows = base.where("role <> 'copy'").join(shared.hint("shuffle_hash"), "k").mapInArrow(
-        _windows(width), "g long, g2 long, known boolean, times int, k long, at int, k2 int")
+        _windows(width), "g long, g2 int, k long, p long")
     starts = (
-        windows.withColumn("times", F.sum("times").over(Window.partitionBy("g", "g2", "known")))
-        .where("times > 1 and k is not null")
-        .groupBy("k").agg(F.collect_set(F.struct("k2", "at")).alias("found"))
+        windows.withColumn("n", company("g", "g2")).where("p <> -1 and (n > 1 or p & 1 = 1)")
+        .groupBy("k").agg(F.collect_set("p").alias("found"))
     )
-    mine = F.transform(F.filter("found", lambda x: x["k2"] == F.col("k2")), lambda x: x["at"])
+    mine = F.transform(F.filter("found", lambda p: F.shiftright(p, 32) == F.col("k2")),
+                       lambda p: F.shiftright(p.bitwiseAND(F.lit(0xFFFFFFFF)), 1).cast("int"))
     left = base.join(starts.hint("shuffle_hash"), "k", "left").select(
         key, "text", mine.alias("starts"), (F.col("role") != "only").alias("copied"))
     return left.mapInArrow(_kept(width, [key]), T.StructType([
