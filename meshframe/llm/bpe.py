@@ -23,12 +23,14 @@ from meshframe.llm.common import table
 from meshframe.llm.wordhash import chunks
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-# Frequent words whose ids are sent to all workers: a fixed bound of some 10 MB.
-HOT_WORDS = 1 << 18
+# Frequent words whose ids are sent to all workers: a fixed bound of some 20 MB.
+HOT_WORDS = 1 << 19
 # A task's tally of words is pruned of the rarest beyond this many.
 TALLY_WORDS = 1_000_000
 # Words that a task has seen less often are no candidates for the frequent ones.
-LOCAL_TIMES = 4
+LOCAL_TIMES = 2
+# Rare occurrences of a partition that are put together by text before they go back.
+BACK_ROWS = 400_000
 _CHUNK_BYTES = 1 << 21
 
 # The splitting pattern knows letters, numbers and white space; the latter in Unicode's definition.
@@ -236,22 +238,38 @@ def _split_docs(pattern: str, hot, key: str, key_type: pa.DataType):
 
 
 def _encode_rare(shared):
+    """Per text of a slice of the partition, one array of (d2, at, number of ids, ids) of its rare words."""
+    def by_text(d: list[np.ndarray], heads: list[bytes], tails: list[bytes]) -> pa.RecordBatch:
+        owner = np.concatenate(d)
+        order = np.argsort(owner, kind="stable")
+        head = b"".join(heads)
+        first = np.flatnonzero(np.diff(owner[order], prepend=owner[order[0]] - 1))
+        packed = [b"".join(head[8 * i:8 * i + 8] + tails[i] for i in part) for part in np.split(order, first[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(owner[order[first]]), pa.array(packed, pa.binary())], names=["owner", "found"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # All occurrences of a word are in this partition, so it is encoded once.
         ranks, known = rank_table(shared.value), {}
+        d, heads, tails = [], [], []
         for batch in batches:
             words = batch.column(batch.schema.get_field_index("word"))
-            rows = np.flatnonzero(words.is_valid().to_numpy(zero_copy_only=False))
-            ids = []
-            for w in words.take(pa.array(rows)).to_pylist():
+            part = batch.filter(words.is_valid())
+            if not part.num_rows:
+                continue
+            for w in part.column(part.schema.get_field_index("word")).to_pylist():
                 x = known.get(w)
                 if x is None:
-                    x = known[w] = np.array(encode_word(w.encode(), ranks), np.int32).tobytes()
-                ids.append(x)
-            part = batch.take(pa.array(rows))
-            yield pa.RecordBatch.from_arrays(
-                [*(part.column(part.schema.get_field_index(c)) for c in ("d", "d2", "at")), pa.array(ids, pa.binary())],
-                names=["d", "d2", "at", "ids"])
+                    ids = encode_word(w.encode(), ranks)
+                    x = known[w] = np.array([len(ids), *ids], np.int32).tobytes()
+                tails.append(x)
+            col = lambda name, part=part: part.column(part.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
+            d.append(col("d"))
+            heads.append(np.stack([col("d2"), col("at")], axis=1).astype(np.int32).tobytes())
+            if len(tails) >= BACK_ROWS:
+                yield by_text(d, heads, tails)
+                d, heads, tails = [], [], []
+        if tails:
+            yield by_text(d, heads, tails)
 
     return run
 
@@ -270,11 +288,15 @@ def _assemble(shared, hot, key: str):
             # Rare words of these texts get codes behind the frequent ones.
             rare, next_code = [], len(words.length)
             for c, d2, found in zip(codes, col("d2").to_pylist(), col("found").to_pylist()):
-                for x in found or ():
-                    if x["d2"] == d2:
-                        c[x["at"]] = next_code
-                        rare.append(np.frombuffer(x["ids"], np.int32))
-                        next_code += 1
+                for packed in found or ():
+                    values, i = np.frombuffer(packed, np.int32), 0
+                    while i < len(values):
+                        n = values[i + 2]
+                        if values[i] == d2:
+                            c[values[i + 1]] = next_code
+                            rare.append(values[i + 3:i + 3 + n])
+                            next_code += 1
+                        i += 3 + n
             length = np.concatenate([words.length, np.array([len(r) for r in rare], np.int64)])
             all_ids = np.concatenate([words.ids, *rare])
             start = np.concatenate([ends - words.length, len(words.ids) + np.cumsum(length[len(ends):]) - length[len(ends):]])
@@ -322,8 +344,8 @@ def encode_decode(docs: DataFrame, ranks_path: str, key: str = "doc_id", text: s
     # Texts go by their own hash, words by theirs.
     parts = rows.mapInArrow(_split_docs(pattern, hot, key, to_arrow_type(key_field.dataType)), schema).withColumn(
         "k", F.coalesce("k", F.xxhash64("word"))).repartition("k")
-    rare = parts.mapInArrow(_encode_rare(shared), "d long, d2 int, at int, ids binary").groupBy("d").agg(
-        F.collect_set(F.struct("d2", "at", "ids")).alias("found")).withColumnRenamed("d", "owner")
+    rare = parts.mapInArrow(_encode_rare(shared), "owner long, found binary").groupBy("owner").agg(
+        F.collect_list("found").alias("found"))
     joined = parts.join(rare.hint("shuffle_hash"), parts["k"] == rare["owner"], "left").drop("owner")
     return joined.mapInArrow(_assemble(shared, hot, key), T.StructType([
         key_field, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())]))
