@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import re
 import unicodedata
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -176,22 +177,32 @@ def _encode_words(shared):
 class HotWords:
     """Frequent words, numbered from 1 by falling frequency, with their ids behind one another."""
 
-    def __init__(self, rows: list):
-        rows = sorted(rows, key=lambda r: (-r["n"], r["word"]))
-        self.code = {r["word"]: i + 1 for i, r in enumerate(rows)}
-        self.length = np.array([0, *(len(r["ids"]) for r in rows)], np.int64)
-        self.ids = np.array([i for r in rows for i in r["ids"]], np.int32)
+    def __init__(self, rows: pa.Table):
+        rows = rows.sort_by([("n", "descending"), ("word", "ascending")]).combine_chunks()
+        self.code = {w: i + 1 for i, w in enumerate(rows.column("word").to_pylist())}
+        ids = rows.column("ids")
+        self.length = np.concatenate([[0], *(x.value_lengths().to_numpy(zero_copy_only=False) for x in ids.chunks)]).astype(np.int64)
+        self.ids = np.concatenate([np.empty(0, np.int32), *(x.flatten().to_numpy(zero_copy_only=False) for x in ids.chunks)])
+
+
+def _packed_sizes(codes: np.ndarray) -> np.ndarray:
+    """Bytes that each number takes when packed."""
+    size = np.ones(len(codes), np.int64)
+    for g in range(1, 5):
+        size += codes >= 1 << (7 * g)
+    return size
 
 
 def _pack(codes: np.ndarray) -> bytes:
-    """Codes in seven-bit groups, low ones first; frequent words take one byte."""
-    out = np.zeros((len(codes), 3), np.uint8)
-    for g in range(3):
+    """Numbers in seven-bit groups, low ones first, so small ones take one byte."""
+    size = _packed_sizes(codes)
+    groups = int(size.max(initial=1))
+    out = np.zeros((len(codes), groups), np.uint8)
+    for g in range(groups):
         out[:, g] = (codes >> (7 * g)) & 127
-    size = 1 + (codes >= 1 << 7).astype(np.int64) + (codes >= 1 << 14)
-    used = np.arange(3) < size[:, None]
-    out |= ((np.arange(3) < size[:, None] - 1) << 7).astype(np.uint8)
-    return out[used].tobytes()
+    place = np.arange(groups)
+    out |= ((place < size[:, None] - 1) << 7).astype(np.uint8)
+    return out[place < size[:, None]].tobytes()
 
 
 def _unpack(body: bytes) -> np.ndarray:
@@ -199,7 +210,7 @@ def _unpack(body: bytes) -> np.ndarray:
     ends = np.flatnonzero(raw < 128)
     starts = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
     codes = np.zeros(len(ends), np.int64)
-    for g in range(3):
+    for g in range(int((ends - starts).max(initial=0)) + 1):
         at = starts + g
         on = at <= ends
         codes[on] |= (raw[at[on]].astype(np.int64) & 127) << (7 * g)
@@ -222,7 +233,7 @@ def _split_docs(pattern: str, hot, key: str, key_type: pa.DataType):
                 words += [found[j] for j in holes]
                 places.append(holes)
                 owners.append(np.full(len(holes), i))
-                bodies.append(_pack(codes))
+                bodies.append(zlib.compress(_pack(codes), 1))
             owner = np.concatenate(owners)
             n, m = len(texts), len(owner)
             words_column = pa.array(words, pa.string())
@@ -238,19 +249,29 @@ def _split_docs(pattern: str, hot, key: str, key_type: pa.DataType):
 
 
 def _encode_rare(shared):
-    """Per text of a slice of the partition, one array of (d2, at, number of ids, ids) of its rare words."""
-    def by_text(d: list[np.ndarray], heads: list[bytes], tails: list[bytes]) -> pa.RecordBatch:
-        owner = np.concatenate(d)
-        order = np.argsort(owner, kind="stable")
-        head = b"".join(heads)
-        first = np.flatnonzero(np.diff(owner[order], prepend=owner[order[0]] - 1))
-        packed = [b"".join(head[8 * i:8 * i + 8] + tails[i] for i in part) for part in np.split(order, first[1:])]
-        return pa.RecordBatch.from_arrays([pa.array(owner[order[first]]), pa.array(packed, pa.binary())], names=["owner", "found"])
+    """Per text of a slice of the partition: d2, then place, number of ids and ids of each of its rare words, packed."""
+    def by_text(d: np.ndarray, d2: np.ndarray, at: np.ndarray, tails: list[np.ndarray]) -> pa.RecordBatch:
+        order = np.lexsort((d2, d))
+        d, d2 = d[order], d2[order]
+        first = np.flatnonzero((np.diff(d, prepend=d[0]) != 0) | (np.diff(d2, prepend=d2[0]) != 0) | (np.arange(len(d)) == 0))
+        opens = np.zeros(len(d), bool)
+        opens[first] = True
+        parts = []
+        for i, opening, check in zip(order.tolist(), opens.tolist(), (d2.astype(np.int64) & 0xFFFFFFFF).tolist()):
+            parts.append([check, at[i]] if opening else [at[i]])
+            parts.append(tails[i])
+        numbers = np.concatenate(parts).astype(np.int64)
+        lengths = np.array([len(tails[i]) for i in order]) + 1 + opens
+        bounds = np.concatenate([[0], np.cumsum(_packed_sizes(numbers))])
+        starts = bounds[(np.cumsum(lengths) - lengths)[first]]
+        packed = _pack(numbers)
+        blobs = [packed[a:b] for a, b in zip(starts, [*starts[1:], len(packed)])]
+        return pa.RecordBatch.from_arrays([pa.array(d[first]), pa.array(blobs, pa.binary())], names=["owner", "found"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # All occurrences of a word are in this partition, so it is encoded once.
         ranks, known = rank_table(shared.value), {}
-        d, heads, tails = [], [], []
+        columns, tails = ([], [], []), []
         for batch in batches:
             words = batch.column(batch.schema.get_field_index("word"))
             part = batch.filter(words.is_valid())
@@ -260,16 +281,15 @@ def _encode_rare(shared):
                 x = known.get(w)
                 if x is None:
                     ids = encode_word(w.encode(), ranks)
-                    x = known[w] = np.array([len(ids), *ids], np.int32).tobytes()
+                    x = known[w] = np.array([len(ids), *ids], np.int32)
                 tails.append(x)
-            col = lambda name, part=part: part.column(part.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
-            d.append(col("d"))
-            heads.append(np.stack([col("d2"), col("at")], axis=1).astype(np.int32).tobytes())
+            for values, name in zip(columns, ("d", "d2", "at")):
+                values.append(part.column(part.schema.get_field_index(name)).to_numpy(zero_copy_only=False))
             if len(tails) >= BACK_ROWS:
-                yield by_text(d, heads, tails)
-                d, heads, tails = [], [], []
+                yield by_text(*map(np.concatenate, columns), tails)
+                columns, tails = ([], [], []), []
         if tails:
-            yield by_text(d, heads, tails)
+            yield by_text(*map(np.concatenate, columns), tails)
 
     return run
 
@@ -284,19 +304,20 @@ def _assemble(shared, hot, key: str):
                 continue
             part = batch.take(pa.array(rows))
             col = lambda name, part=part: part.column(part.schema.get_field_index(name))
-            codes = [_unpack(bodies[i]) for i in rows]
+            codes = [_unpack(zlib.decompress(bodies[i])) for i in rows]
             # Rare words of these texts get codes behind the frequent ones.
             rare, next_code = [], len(words.length)
             for c, d2, found in zip(codes, col("d2").to_pylist(), col("found").to_pylist()):
-                for packed in found or ():
-                    values, i = np.frombuffer(packed, np.int32), 0
-                    while i < len(values):
-                        n = values[i + 2]
-                        if values[i] == d2:
-                            c[values[i + 1]] = next_code
-                            rare.append(values[i + 3:i + 3 + n])
-                            next_code += 1
-                        i += 3 + n
+                for values in map(_unpack, found or ()):
+                    if values[0] != d2 & 0xFFFFFFFF:
+                        continue
+                    listed, i = values.tolist(), 1
+                    while i < len(listed):
+                        n = listed[i + 1]
+                        c[listed[i]] = next_code
+                        rare.append(values[i + 2:i + 2 + n].astype(np.int32))
+                        next_code += 1
+                        i += 2 + n
             length = np.concatenate([words.length, np.array([len(r) for r in rare], np.int64)])
             all_ids = np.concatenate([words.ids, *rare])
             start = np.concatenate([ends - words.length, len(words.ids) + np.cumsum(length[len(ends):]) - length[len(ends):]])
@@ -331,7 +352,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, key: str = "doc_id", text: s
         shared = spark.sparkContext.broadcast(f.read())
     frequent = frequent_words(docs, text, pattern)
     hot = spark.sparkContext.broadcast(HotWords(
-        frequent.mapInArrow(_encode_words(shared), "word string, n long, ids array<int>").collect()))
+        frequent.mapInArrow(_encode_words(shared), "word string, n long, ids array<int>").toArrow()))
     rows = docs.select(
         F.xxhash64(key, text).alias("d"), F.hash(key, text).alias("d2"), F.col(text).alias("text"), F.col(key).alias(key))
     key_field = rows.schema[key]
@@ -343,7 +364,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, key: str = "doc_id", text: s
 
     # Texts go by their own hash, words by theirs.
     parts = rows.mapInArrow(_split_docs(pattern, hot, key, to_arrow_type(key_field.dataType)), schema).withColumn(
-        "k", F.coalesce("k", F.xxhash64("word"))).repartition("k")
+        "k", F.coalesce("k", F.hash("word").cast("bigint"))).repartition("k")
     rare = parts.mapInArrow(_encode_rare(shared), "owner long, found binary").groupBy("owner").agg(
         F.collect_list("found").alias("found"))
     joined = parts.join(rare.hint("shuffle_hash"), parts["k"] == rare["owner"], "left").drop("owner")

@@ -44,7 +44,7 @@ def test_words_and_ids(library):
 def test_packing():
     import numpy as np
 
-    codes = np.array([0, 1, 127, 128, 16383, 16384, (1 << 18) + 5, 0])
+    codes = np.array([0, 1, 127, 128, 16383, 16384, (1 << 18) + 5, (1 << 32) - 1, 0])
     assert bpe._unpack(bpe._pack(codes)).tolist() == codes.tolist()
     assert bpe._unpack(bpe._pack(codes[:0])).tolist() == []
 
