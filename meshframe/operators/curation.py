@@ -62,11 +62,24 @@ def pending(df: DataFrame, images: DataFrame, landmarks: DataFrame, key: str) ->
     return df.join(done, key, "left_anti")
 
 
-def name_rows(df: DataFrame, order: Sequence[str | Column], out: str = "stem", prefix: str = "thumb_") -> DataFrame:
-    """Sequential names with at least five digits, in the given order."""
-    return number_rows(df, order, "_n").select(
-        *df.columns, F.format_string(f"{prefix}%05d", F.col("_n")).alias(out)
-    )
+def require_unique(df: DataFrame, key: str) -> None:
+    """Fail where a key repeats; repeats collapse before the shuffle."""
+    if not df.groupBy(key).count().where("count > 1").isEmpty():
+        raise ValueError(f"{key} repeats")
+
+
+def name_rows(df: DataFrame, order: Sequence[str | Column], out: str = "stem", prefix: str = "thumb_",
+              key: str | None = None) -> DataFrame:
+    """Sequential names with at least five digits, in the given order.
+
+    With a unique ``key``, which the order then consists of, only the key is numbered and joined back, so that wide
+    rows (image bytes) are not sorted; a key that repeats is an error.
+    """
+    name = F.format_string(f"{prefix}%05d", F.col("_n")).alias(out)
+    if key is None:
+        return number_rows(df, order, "_n").select(*df.columns, name)
+    require_unique(df, key)
+    return df.join(number_rows(df.select(key), order, "_n").select(key, name), key)
 
 
 def first_detection(df: DataFrame, key: str, pos: str, images: DataFrame | None = None) -> DataFrame:
@@ -121,13 +134,15 @@ def shuffle_key(key: str, seed: int, epoch: int) -> Column:
 
 
 def batches(df: DataFrame, key: str, size: int = BATCH_SIZE, seed: int = 42, epoch: int = 0,
-            unique: bool = True) -> DataFrame:
+            unique: bool = False) -> DataFrame:
     """Random order per epoch cut into batches; the last partial batch is kept.
 
-    A unique key (the pair manifest's) is numbered alone and joined back to the other columns;
-    with ``unique=False`` whole rows are numbered, so repeated keys keep every row.
+    Whole rows are numbered, so repeated keys keep every row once. With ``unique=True`` the key (the pair
+    manifest's) is numbered alone and joined back to the other columns; a key that repeats is then an error.
     """
     narrow = unique and len(df.columns) > 1
+    if narrow:
+        require_unique(df, key)
     keyed = df.select(key) if narrow else df
     others = [c for c in keyed.columns if c != key]
     numbered = number_rows(keyed.withColumn("_h", shuffle_key(key, seed, epoch)), ["_h", key], "_n").select(

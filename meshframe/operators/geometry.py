@@ -35,6 +35,7 @@ _CHUNK_SAMPLES = 32
 
 
 def check_model(layout: Layout, model: FaceModel) -> None:
+    model.verify()
     for name, width in (("shape", model.n_shape), ("expression", model.n_expr)):
         if layout.width(name) != width:
             raise ValueError(f"{name}: {layout.width(name)} coefficients for a basis of width {width}")
@@ -194,23 +195,67 @@ def _skinned(point: Sequence[str], n_joints: int, weights: str = "w", transforms
     ]
 
 
-def shape_verts(params: DataFrame, model: FaceModel, key: str = "sid") -> DataFrame:
+def shape_verts(params: DataFrame, model: FaceModel, key: str = "sid", dense: bool = True) -> DataFrame:
     """Template plus shape and expression offsets: (key, v, x, y, z)."""
-    coeffs = F.concat("shape", "expression").alias("coeffs")
-    table = broadcast_if_small(
-        vertex_table(model, ("shape", "expression")).drop("w"), model.n_vertices, vertex_bytes(model)
-    )
-    df = _indexed(params.select(key, coeffs), model.n_vertices, "v").join(table, "v")
+    model.verify()
+    parts = ("shape", "expression")
+    rows = params.select(key, F.concat(*parts).alias("coeffs"))
+    if dense:
+        return unroll_points(_dense_offsets(rows, vertex_table(model, parts), model, "coeffs", key), "v")
+    table = broadcast_if_small(vertex_table(model, parts).drop("w"), model.n_vertices, vertex_bytes(model))
+    df = _indexed(rows, model.n_vertices, "v").join(table, "v")
     return df.selectExpr(key, "v", *[f"{c} AS {a}" for a, c in zip(AXES, _blend())])
 
 
-def pose_offset(df: DataFrame, model: FaceModel, key: str = "sid", rots: str = "rots") -> DataFrame:
+def pose_offset(df: DataFrame, model: FaceModel, key: str = "sid", rots: str = "rots", dense: bool = True) -> DataFrame:
     """Pose-dependent offset of every vertex; zero when the basis does not fit the feature."""
-    rows = _indexed(pose_feature(df, rots).select(key, "pose_feature"), model.n_vertices, "v")
+    model.verify()
+    rows = pose_feature(df, rots).select(key, "pose_feature")
     if not model.uses_pose:
-        return rows.select(key, "v", *[F.lit(0.0).alias(a) for a in AXES])
+        return _indexed(rows, model.n_vertices, "v").select(key, "v", *[F.lit(0.0).alias(a) for a in AXES])
+    if dense:
+        flat = model.pose_basis.select("v", *[F.lit(0.0).alias(a) for a in AXES], *[F.col(f"p{a}").alias(f"b{a}") for a in AXES])
+        return unroll_points(_dense_offsets(rows, flat, model, "pose_feature", key), "v")
     table = broadcast_if_small(model.pose_basis, model.n_vertices, vertex_bytes(model))
-    return rows.join(table, "v").selectExpr(key, "v", *[f"{dot_sql('pose_feature', f'p{a}')} AS {a}" for a in AXES])
+    return _indexed(rows, model.n_vertices, "v").join(table, "v").selectExpr(
+        key, "v", *[f"{dot_sql('pose_feature', f'p{a}')} AS {a}" for a in AXES])
+
+
+def _dense_offsets(rows: DataFrame, table: DataFrame, model: FaceModel, coeffs: str, key: str) -> DataFrame:
+    """Base point plus basis times coefficients for all vertices, one matrix product per Arrow batch and block.
+
+    ``table`` is (v, x, y, z, bx, by, bz); result is (key, points).
+    """
+    context, shared = rows.sparkSession.sparkContext, []
+    for start, stop in point_blocks(model, False):
+        data = table.where(F.col("v").between(start, stop - 1)).orderBy("v").toArrow()
+        base = np.stack([data.column(a).to_numpy() for a in AXES], axis=1)
+        lists = [data.column(f"b{a}").combine_chunks() for a in AXES]
+        width = len(lists[0].flatten()) // max(len(base), 1)
+        shared.append(context.broadcast((base, np.stack([matrix_of(x, width) for x in lists], axis=1))))
+    key_field = rows.schema[key]
+
+    def run(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = [b.value for b in shared]
+        step = max(_CHUNK_SAMPLES, _CHUNK_ROWS // sum(len(base) for base, _ in blocks))
+        for record in records:
+            for start in range(0, record.num_rows, step):
+                part = record.slice(start, step)
+                x = matrix_of(part.column(coeffs), blocks[0][1].shape[2])
+                points = np.concatenate([
+                    (x @ basis.reshape(-1, basis.shape[2]).T).reshape(len(x), -1, 3) + base for base, basis in blocks
+                ], axis=1)
+                yield pa.RecordBatch.from_arrays([part.column(key), _points_column(points)], names=[key, "points"])
+
+    return rows.mapInArrow(run, f"`{key}` {key_field.dataType.simpleString()}, points array<struct<x:double,y:double,z:double>>")
+
+
+def _points_column(points: np.ndarray) -> pa.ListArray:
+    samples, count, _ = points.shape
+    structs = pa.StructArray.from_arrays(
+        [pa.array(np.ascontiguousarray(points[..., a]).reshape(-1)) for a in range(3)], names=list(AXES)
+    )
+    return pa.ListArray.from_arrays(pa.array(np.arange(samples + 1, dtype=np.int32) * count), structs)
 
 
 def skin(verts: DataFrame, transforms: DataFrame, model: FaceModel, key: str = "sid") -> DataFrame:
@@ -256,7 +301,8 @@ def landmarks3d(verts: DataFrame, model: FaceModel, key: str = "sid", on_missing
     """
     if model.lmk_embed is None:
         return no_landmarks(verts.select(key).distinct(), key, on_missing)
-    corners = broadcast_if_small(corner_table(model), 3 * LANDMARK_COUNT, 64)
+    model.verify()
+    corners = broadcast_if_small(corner_table(model), 3 * model.n_landmarks, 64)
     sums = [F.sum(F.col("b") * F.col(a)).alias(a) for a in AXES]
     return verts.join(corners, "v").groupBy(key, "lmk").agg(*sums)
 
@@ -273,13 +319,14 @@ def decode_landmarks(params: DataFrame, model: FaceModel, layout: Layout, key: s
     carried = [*keep, *([truth] if truth else [])]
     rows = posed(params, model, layout, [key, *carried])
     if truth:
-        points = F.posexplode(truth).alias("lmk", "_t")
+        # The outer form keeps a sample without truth, whose other terms still count.
+        points = F.posexplode_outer(truth).alias("lmk", "_t")
         rows = rows.select(key, *keep, "coeffs", "transforms", "shift", points)
         extra = ["CAST(_t.x AS double) AS tx", "CAST(_t.y AS double) AS ty"]
     else:
-        rows = _indexed(rows, LANDMARK_COUNT, "lmk")
+        rows = _indexed(rows, model.n_landmarks, "lmk")
         extra = []
-    table = broadcast_if_small(landmark_table(model), LANDMARK_COUNT, 3 * vertex_bytes(model))
+    table = broadcast_if_small(landmark_table(model), model.n_landmarks, 3 * vertex_bytes(model))
     # Skinning is linear, so the corners are mixed per joint before the joint motions apply.
     blended = {f"_p{k}{a}": text for k in range(3) for a, text in zip(AXES, _blend(f"corners[{k}]."))}
     mixed = array_sql(
@@ -297,7 +344,8 @@ def decode_landmarks(params: DataFrame, model: FaceModel, layout: Layout, key: s
         ]
         # The translation moves every corner, so it counts once per corner weight.
         points.append(f"{' + '.join(terms)} + weight * shift[{i}] AS {a}")
-    return run_steps(rows.join(table, "lmk"), [blended, {"_u": mixed}]).selectExpr(key, *keep, "lmk", *points, *extra)
+    joined = rows.join(table, "lmk", "left" if truth else "inner")
+    return run_steps(joined, [blended, {"_u": mixed}]).selectExpr(key, *keep, "lmk", *points, *extra)
 
 
 def project(df: DataFrame, camera: Camera = Camera(), out: Sequence[str] = ("sx", "sy")) -> DataFrame:
@@ -309,18 +357,26 @@ def project(df: DataFrame, camera: Camera = Camera(), out: Sequence[str] = ("sx"
 # --- dense form ---------------------------------------------------------------------------------
 
 
-@lru_cache(maxsize=16)
-def _model_arrays(model: FaceModel, landmarks: bool) -> dict[str, np.ndarray]:
-    """Model tables as matrices for the Arrow batches; size is checked before anything is collected."""
-    count = 3 * LANDMARK_COUNT if landmarks else model.n_vertices
-    if count * vertex_bytes(model) > BROADCAST_BYTES:
-        raise ValueError(f"model of {count} vertices is too large to broadcast, use the native form")
+def point_blocks(model: FaceModel, landmarks: bool, budget: int | None = None) -> list[tuple[int, int]]:
+    """Ranges of vertex or landmark ids whose tables stay within the budget, one point each at least."""
+    count = model.n_landmarks if landmarks else model.n_vertices
+    step = max(1, (budget or BROADCAST_BYTES) // (vertex_bytes(model) * (3 if landmarks else 1)))
+    return [(start, min(start + step, count)) for start in range(0, count, step)]
+
+
+@lru_cache(maxsize=64)
+def _model_arrays(model: FaceModel, landmarks: bool, start: int, stop: int) -> dict[str, np.ndarray]:
+    """Model tables of a range of ids as matrices for the Arrow batches; the range bounds what is collected."""
     table = vertex_table(model)
     if landmarks:
-        table = corner_table(model).join(table, "v").orderBy("lmk", "k")
+        table = corner_table(model).where(F.col("lmk").between(start, stop - 1)).join(table, "v").orderBy("lmk", "k")
     else:
-        table = table.orderBy("v")
+        table = table.where(F.col("v").between(start, stop - 1)).orderBy("v")
     data = table.toArrow()
+    # A point's id is its place in the arrays.
+    places = np.arange(start, stop)
+    if not np.array_equal(data.column("lmk" if landmarks else "v").to_numpy(), np.repeat(places, 3) if landmarks else places):
+        raise ValueError("every landmark needs three corners, every vertex one row")
 
     def lists(name: str, width: int) -> np.ndarray:
         return matrix_of(data.column(name).combine_chunks(), width)
@@ -383,7 +439,9 @@ def decode_dense(params: DataFrame, model: FaceModel, layout: Layout, key: str =
     if landmarks and model.lmk_embed is None:
         raise ValueError("the model has no landmark embedding")
     check_model(layout, model)
-    shared = params.sparkSession.sparkContext.broadcast(_model_arrays(model, landmarks))
+    # Blocks of points of bounded size, so that a large model changes the plan and not the outcome.
+    context = params.sparkSession.sparkContext
+    shared = [context.broadcast(_model_arrays(model, landmarks, *block)) for block in point_blocks(model, landmarks)]
     n_coeffs, n_joints, uses_pose = model.n_shape + model.n_expr, model.n_joints, model.uses_pose
     shift = array_sql(f"coalesce(get(transl, {a}), 0D)" for a in range(3))
     flat = rotations(params, global_width=layout.width("global_pose")).selectExpr(
@@ -393,28 +451,20 @@ def decode_dense(params: DataFrame, model: FaceModel, layout: Layout, key: str =
     names = [f.name for f in carried]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in carried)
 
-    def points_column(points: np.ndarray) -> pa.ListArray:
-        samples, count, _ = points.shape
-        structs = pa.StructArray.from_arrays(
-            [pa.array(np.ascontiguousarray(points[..., a]).reshape(-1)) for a in range(3)], names=list(AXES)
-        )
-        return pa.ListArray.from_arrays(pa.array(np.arange(samples + 1, dtype=np.int32) * count), structs)
-
     def run(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        step = max(_CHUNK_SAMPLES, _CHUNK_ROWS // len(m["base"]))
+        blocks = [b.value for b in shared]
+        step = max(_CHUNK_SAMPLES, _CHUNK_ROWS // sum(len(m["base"]) for m in blocks))
         for record in records:
             for start in range(0, record.num_rows, step):
                 part = record.slice(start, step)
-                points = _dense_points(
+                inputs = (
                     matrix_of(part.column("coeffs"), n_coeffs),
                     matrix_of(part.column("rots"), n_joints * 9).reshape(-1, n_joints, 3, 3),
                     matrix_of(part.column("shift"), 3),
-                    m,
-                    uses_pose,
                 )
+                points = np.concatenate([_dense_points(*inputs, m, uses_pose) for m in blocks], axis=1)
                 yield pa.RecordBatch.from_arrays(
-                    [*[part.column(n) for n in names], points_column(points)], names=[*names, "points"]
+                    [*[part.column(n) for n in names], _points_column(points)], names=[*names, "points"]
                 )
 
     return flat.mapInArrow(run, f"{schema}, points array<struct<x:double,y:double,z:double>>")

@@ -26,7 +26,6 @@ REGULARIZERS = {
     "reg_eye_pose": "eye_pose",
     "reg_detail": "detail",
 }
-TERMS = ("total", "pixel", "landmark", *REGULARIZERS)
 
 
 def mean_of(total: Column, count: Column) -> Column:
@@ -54,17 +53,32 @@ def regularizer(params: DataFrame, term: str, by: Sequence[str]) -> DataFrame:
 
 
 def pixel_l1(df: DataFrame, pred: str, truth: str, by: Sequence[str]) -> DataFrame:
-    """Mean absolute difference of two image arrays: (by, value)."""
-    gap = sum_abs_gap(F.col(pred), F.col(truth))
-    return df.groupBy(*by).agg(mean_of(F.sum(gap), F.sum(F.size(pred))).alias("value"))
+    """Mean absolute difference of two image arrays: (by, value).
+
+    Images of unequal lengths fail the job; a row without one of them does not count.
+    """
+    gap, count = image_gap(pred, truth)
+    return df.groupBy(*by).agg(mean_of(F.sum(gap), F.sum(count)).alias("value"))
+
+
+def image_gap(pred: str, truth: str) -> tuple[Column, Column]:
+    """Sum of absolute differences of a row's images and their number of elements; null without both."""
+    a, b = F.col(pred), F.col(truth)
+    both = a.isNotNull() & b.isNotNull()
+    message = F.concat(F.lit("images of "), F.size(a).cast("string"), F.lit(" and "), F.size(b).cast("string"), F.lit(" elements"))
+    fits = F.when(F.size(a) == F.size(b), sum_abs_gap(a, b)).otherwise(F.raise_error(message).cast("double"))
+    return F.when(both, fits), F.when(both, F.size(a))
 
 
 def landmark_mse(df: DataFrame, by: Sequence[str], pred: Sequence[str] = ("sx", "sy"),
                  truth: Sequence[str] = ("tx", "ty")) -> DataFrame:
-    """Mean squared coordinate difference of aligned landmark rows: (by, value)."""
+    """Mean squared coordinate difference of aligned landmark rows: (by, value).
+
+    Rows without a coordinate do not count.
+    """
     gaps = [F.col(p) - F.col(t) for p, t in zip(pred, truth)]
     squares = sum((g * g for g in gaps[1:]), gaps[0] * gaps[0])
-    return df.groupBy(*by).agg(mean_of(F.sum(squares), F.count("*") * len(gaps)).alias("value"))
+    return df.groupBy(*by).agg(mean_of(F.sum(squares), F.count(squares) * len(gaps)).alias("value"))
 
 
 def align_landmarks(pred: DataFrame, truth: DataFrame, key: str = "sid") -> DataFrame:
@@ -89,8 +103,8 @@ def loss_terms(params: DataFrame, weights: Mapping[str, float], by: Sequence[str
         else:
             sums[term] = F.lit(0.0)
     if images and weights.get("pixel", 1.0) > 0:
-        gap = sum_abs_gap(F.col(images[0]), F.col(images[1]))
-        sums["pixel"] = mean_of(F.sum(gap), F.sum(F.size(images[0])))
+        gap, count = image_gap(*images)
+        sums["pixel"] = mean_of(F.sum(gap), F.sum(count))
     if weights.get("perceptual", 0.0) > 0:
         sums["perceptual"] = F.lit(0.0)
     wide = params.groupBy(*by).agg(F.count("*").alias("_rows"), *[c.alias(t) for t, c in sums.items()])
@@ -130,16 +144,24 @@ def with_total(terms: DataFrame, weights: Mapping[str, float] | str, by: Sequenc
 
 
 def active_terms(*weights: Mapping[str, float]) -> list[str]:
-    """Regularizers that at least one weight map computes."""
-    return [t for t in REGULARIZERS if any(is_active(t, w) for w in weights)]
+    """Pixel term and regularizers that at least one weight map computes."""
+    return [t for t in ("pixel", *REGULARIZERS) if any(is_active(t, w) for w in weights)]
+
 
+def with_sample_sums(params: DataFrame, active: Sequence[str], images: tuple[str, str] | None = None) -> DataFrame:
+    """Add each active term's sum and element count of the row, two numbers per term.
+
+    The pixel term needs ``images``, the names of the predicted and the true image column.
+    """
+    def parts(term: str) -> tuple[Column, Column]:
+        if term != "pixel":
+            return group_error(REGULARIZERS[term]), F.size(REGULARIZERS[term])
+        if images is None:
+            raise ValueError("a pixel weight needs the image columns")
+        return image_gap(*images)
 
-def with_sample_sums(params: DataFrame, active: Sequence[str]) -> DataFrame:
-    """Add each active regularizer's sum and element count of the row, two numbers per term."""
     return params.select("*", *[
-        column for t in active for column in (
-            group_error(REGULARIZERS[t]).alias(f"{t}_sq"), F.size(REGULARIZERS[t]).alias(f"{t}_n")
-        )
+        column.alias(f"{t}_{part}") for t in active for part, column in zip(("sq", "n"), parts(t))
     ])
 
 
@@ -157,7 +179,7 @@ def fused_terms(rows: DataFrame, active: Sequence[str], by: Sequence[str], index
     gaps = [F.col("sx") - F.col("tx"), F.col("sy") - F.col("ty")]
     squares = gaps[0] * gaps[0] + gaps[1] * gaps[1]
     terms = [mean_of(F.sum(squares), F.count(squares) * 2).alias("landmark")]
-    for t in REGULARIZERS:
+    for t in (*(["pixel"] if "pixel" in active else []), *REGULARIZERS):
         if t in active:
             total, count = (F.sum(F.when(first, F.col(f"{t}_{part}"))) for part in ("sq", "n"))
             terms.append(mean_of(total, count).alias(t))
@@ -171,11 +193,13 @@ def unpivot_terms(wide: DataFrame, weights: Mapping[str, float] | str, by: Seque
 
     With a weight map column, a regularizer that the row's map does not weigh counts as 0.
     """
-    names = ["landmark", *REGULARIZERS]
+    names = [*(["pixel"] if "pixel" in wide.columns else []), "landmark", *REGULARIZERS]
     chosen = F.col(weights) if isinstance(weights, str) else weights
     values = {t: F.col(t) for t in names}
     if isinstance(weights, str):
-        for t in REGULARIZERS:
+        for t in names:
+            if t == "landmark":
+                continue
             weighed = F.coalesce(F.try_element_at(chosen, F.lit(t)), F.lit(0.0)) > 0
             values[t] = F.when(weighed, F.col(t)).otherwise(0.0)
     if isinstance(weights, str):
@@ -183,5 +207,8 @@ def unpivot_terms(wide: DataFrame, weights: Mapping[str, float] | str, by: Seque
     else:
         weighted = [F.lit(float(weights.get(t, 1.0))) * values[t] for t in names]
     values = {"total": sum(weighted[1:], weighted[0]), **values}
+    if not isinstance(weights, str) and weights.get("perceptual", 0.0) > 0:
+        # Listed, but never part of the total.
+        values["perceptual"] = F.lit(0.0)
     pairs = F.array(*[F.struct(F.lit(t).alias("term"), v.alias("value")) for t, v in values.items()])
     return wide.select(*by, F.inline(pairs))

@@ -17,15 +17,16 @@ _ROW_BITS = 33
 def number_rows(df: DataFrame, order: Sequence[str | Column], out: str = "n") -> DataFrame:
     """Zero-based ordinal of each row under ``order``.
 
-    Rows are range-partitioned by the order and then by a hash of the whole row, so that a sort key
-    shared by many rows spreads over several partitions. The sorted layout is checkpointed together
+    Rows are range-partitioned by the order, then by a hash of the whole row and its place in the input, so
+    that a sort key shared by many rows, and rows equal in all columns, spread over several partitions. The sorted layout is checkpointed together
     with each row's partition and position; the only data brought together afterwards is one count
     per partition, from which the partition offsets follow.
     """
     ensure_checkpoint_dir(df.sparkSession)
     columns = df.columns
     hashable = [f.name for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
-    keys = [*order, F.xxhash64(*hashable)]
+    df = df.withColumn("_salt", F.monotonically_increasing_id())
+    keys = [*order, F.xxhash64(*hashable), "_salt"]
     place = F.monotonically_increasing_id()
     laid_out = (
         df.repartitionByRange(*keys)

@@ -132,16 +132,18 @@ def score_head_dense(df: DataFrame, feat: str, weights: np.ndarray, bias: np.nda
                      key: str = "sid", out: str = "coeffs") -> DataFrame:
     """The same product, one matrix multiplication per Arrow batch, result as one array per row."""
     weights, bias = np.asarray(weights, dtype=np.float64), np.asarray(bias, dtype=np.float64)
-    if weights.nbytes > BROADCAST_BYTES:
-        raise ValueError(f"head of {weights.nbytes} bytes is too large to broadcast, use score_head")
-    shared = df.sparkSession.sparkContext.broadcast((weights, bias))
+    # Blocks of outputs of bounded size, so that a large head changes the plan and not the outcome.
+    step = max(1, BROADCAST_BYTES // max(8 * weights.shape[1], 1))
+    context = df.sparkSession.sparkContext
+    shared = [context.broadcast((weights[i:i + step], bias[i:i + step])) for i in range(0, len(weights), step)]
     rows = df.select(key, as_doubles(feat).alias("_f"))
     key_type = rows.schema[key].dataType.simpleString()
 
     def run(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, b = shared.value
+        blocks = [s.value for s in shared]
         for record in records:
-            y = matrix_of(record.column("_f"), w.shape[1]) @ w.T + b
+            x = matrix_of(record.column("_f"), blocks[0][0].shape[1])
+            y = np.concatenate([x @ w.T + b for w, b in blocks], axis=1)
             yield pa.RecordBatch.from_arrays([record.column(key), list_of(y)], names=[key, out])
 
     return rows.mapInArrow(run, f"{key} {key_type}, {out} array<double>")

@@ -204,6 +204,19 @@ SELECT batch, term, {r6('value', 'value')} FROM terms UNION ALL
 SELECT batch, 'total', {r6(f"sum({_weight_case(dict(_WEIGHTS))} * value)")} FROM terms GROUP BY batch"""
 
 
+def _image_losses() -> str:
+    """Losses with pixel and perceptual weights; samples without truth have no landmark error."""
+    pixel = """SELECT batch, 'pixel' AS term, avg(abs(a.x - b.x)) AS value
+  FROM bvals a JOIN vals b ON b.sid = a.sid AND b.i = 63 - a.i GROUP BY batch"""
+    seen = LMK_TERM.format(keys="batch").replace("GROUP BY ALL", "WHERE sid % 10 <> 3 GROUP BY ALL")
+    terms = f"terms AS ({_terms('bvals', 'batch', _ACTIVE)} UNION ALL {seen} UNION ALL {pixel})"
+    weights = {**dict(_WEIGHTS), "pixel": 0.5}
+    return _with(*SHOWN, BATCHED, BVALS, terms) + f"""
+SELECT batch, term, {r6('value', 'value')} FROM terms UNION ALL
+SELECT DISTINCT batch, 'perceptual', 0e0 FROM terms UNION ALL
+SELECT batch, 'total', {r6(f"sum({_weight_case(weights)} * value)")} FROM terms GROUP BY batch"""
+
+
 def _stage_rows() -> str:
     rows, start = [], 0
     for i, stage in enumerate(TRAINING_STAGES):
@@ -293,15 +306,30 @@ outcomes AS (
 
 def _resize_weights(name: str, src: int, dst: int) -> str:
     return f"""{name}_raw AS (
-  SELECT d, s, greatest(0e0, 1 - abs(s + 0.5e0 - (d + 0.5e0) * {src}e0 / {dst})) AS w FROM range({dst}) a(d), range({src}) b(s)),
+  SELECT d, s, greatest(0e0, 1 - abs(s + 0.5e0 - (d + 0.5e0) * {src}e0 / {dst}) / {max(src / dst, 1.0)!r}e0) AS w FROM range({dst}) a(d), range({src}) b(s)),
 {name} AS (SELECT d, s, w / sum(w) OVER (PARTITION BY d) AS w FROM {name}_raw)"""
 
 
 ORACLE: dict[str, str] = {
-    "scan_files": "SELECT * FROM (VALUES " + ", ".join(f"('{t}')" for t in (
-        "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
-        "embeddings", "pages", "benchmark", "labels", "conversations",
-    )) + ") t(stem)",
+    "scan_files": r"""WITH named AS (
+  SELECT regexp_extract(url, '^[^?#]*') AS path, CAST(length(html) AS BIGINT) AS length FROM pages),
+files AS (SELECT *, regexp_extract(path, '([^/]*)$', 1) AS name FROM named WHERE path LIKE '%.html')
+SELECT left(name, length(name) - 5) AS stem, min(path) AS path, arg_min(length, (path, length)) AS length
+FROM files WHERE left(name, 1) NOT IN ('_', '.') GROUP BY 1""",
+    "rgb": _with(EMB, """levels AS (
+  SELECT sid, sid % 3 AS kind, [1, 3, 4][sid % 3 + 1] AS ch, CASE sid % 3 WHEN 1 THEN 66 ELSE 64 END AS n,
+    list_transform(e, lambda x: ((CAST(floor(x * 1000) AS BIGINT) % 256) + 256) % 256) AS b FROM emb)""",
+    """fine AS (SELECT sid, ch, n, b, unnest(range(3 * n // ch)) AS i FROM levels WHERE sid % 10 NOT IN (8, 9))""") + """
+SELECT sid, CAST(NULL AS VARCHAR) AS reason, CAST(i AS INTEGER) AS i,
+  CAST(b[(CASE ch WHEN 1 THEN i // 3 ELSE (i // 3) * ch + 2 - i % 3 END) % 64 + 1] AS INTEGER) AS level FROM fine
+UNION ALL SELECT sid, CASE sid % 10 WHEN 9 THEN 'undecodable' ELSE '2 channels' END, NULL, NULL FROM levels WHERE sid % 10 IN (8, 9)""",
+    "model_tables": _with(EMB, """size AS (SELECT count(*) AS n FROM emb)""",
+    """corner AS (SELECT l AS lmk, k, (l * 5) % (n - 2) + k AS v,
+    (CASE k WHEN 0 THEN l % 3 + 1 WHEN 1 THEN l % 4 + 1 ELSE l % 5 + 1 END) / CAST(l % 3 + l % 4 + l % 5 + 3 AS DOUBLE) AS b
+  FROM size, range(70) a(l), range(3) d(k))""") + f"""
+SELECT CAST(lmk AS INTEGER) AS lmk, CAST(k AS INTEGER) AS k, CAST(v AS INTEGER) AS v, {r6('b', 'b')},
+  {", ".join(r6(f"e[{c + 1}] + list_sum(e[{4 + c}:{11 + c}]) + list_sum(e[{14 + c}:{17 + c}])", a) for c, a in enumerate("xyz"))},
+  12 AS width FROM corner JOIN emb ON sid = v""",
     "landmark_ingest": _with(EMB) + f"""
 SELECT sid, CAST(NULL AS VARCHAR) AS reason, CAST(q AS INTEGER) AS lmk, {r6('e[2 * q + 1]', 'x')}, {r6('e[2 * q + 2]', 'y')}
 FROM emb, range(32) a(q) WHERE sid % 10 <> 0
@@ -312,11 +340,11 @@ SELECT sid AS file, CAST(l AS INTEGER) AS lmk, CAST((sid * 3 + l * 5) % 23 AS IN
 FROM chosen, range(68) a(l) WHERE n = 68""",
     "embedding_rejects": _with(EMB, CATALOG) + """
 SELECT sid AS file, convention, 'face index shape' AS reason FROM chosen WHERE n <> 68""",
-    "land_corpus": """SELECT doc_id AS stem, CASE WHEN lang = 'en' AND quality IS NULL THEN 2::BIGINT ELSE 1 END AS copies, quality AS points
+    "land_corpus": """SELECT doc_id AS stem, 1::BIGINT AS copies, quality AS points
 FROM documents LEFT JOIN labels USING (doc_id)""",
     "obj_lines": _with(EMB, VALS, MODEL, SHAPED, f"verts AS ({_xyz('shaped', 'sid, v')})") + """
-SELECT sid, 0 AS section, CAST(v AS INTEGER) AS ord, printf('v %.6f %.6f %.6f', x, y, z) AS line FROM verts UNION ALL
-SELECT sid, 1, CAST(f AS INTEGER), printf('f %d %d %d', f + 1, f + 2, f + 3) FROM emb, range(23) a(f)""",
+SELECT sid, 0 AS section, CAST(v AS INTEGER) AS ord, printf('v %.6f %.6f %.6f', x, y, z) AS line FROM verts WHERE NOT (sid % 7 = 3 AND v = 0) UNION ALL
+SELECT sid, 1, CAST(f + 1 AS INTEGER), printf('f %d %d %d', f + 1, f + 2, f + 3) FROM emb, range(23) a(f)""",
     "metric_rows": _with(EVENT_TERMS, SETTINGS) + """
 SELECT 'Loss/train_' || term || '_epoch_last_batch' AS tag, CAST(epoch + 1 AS BIGINT) AS step, arg_max(value, batch) AS value
 FROM event_terms GROUP BY epoch, term
@@ -340,9 +368,9 @@ QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1""",
   count(*) FILTER (status NOT IN ('exists', 'ok')) AS skipped FROM outcomes""",
     "tally_by_status": _with(OUTCOMES) + " SELECT status, count(*) AS images FROM outcomes GROUP BY status",
     "prepare_images": _with(
-        EMB, _resize_weights("down", 4, 8), _resize_weights("across", 5, 8),
-        """px AS (SELECT sid, q // 15 AS r, (q % 15) // 3 AS k, q % 3 AS c,
-  ((CAST(floor(e[q + 1] * 1000) AS BIGINT) % 256) + 256) % 256 AS level FROM emb, range(60) a(q))""",
+        EMB, _resize_weights("down", 3, 8), _resize_weights("across", 8, 8),
+        """px AS (SELECT sid, q // 24 AS r, (q % 24) // 3 AS k, q % 3 AS c,
+  ((CAST(floor(e[q % 64 + 1] * 1000) AS BIGINT) % 256) + 256) % 256 AS level FROM emb, range(72) a(q))""",
         """resized AS (SELECT sid, c, down.d AS i, across.d AS j, sum(down.w * across.w * level) AS v
   FROM px JOIN down ON down.s = r AND down.w > 0 JOIN across ON across.s = k AND across.w > 0 GROUP BY ALL)""",
         """scaled AS (SELECT sid, CAST(c * 64 + i * 8 + j AS INTEGER) AS i,
@@ -354,6 +382,10 @@ SELECT sid, CAST(i AS INTEGER) AS i, {r6('least(greatest(x * [0.229e0, 0.224e0,
 FROM vals""",
     "rescale": f"SELECT event_id, {r6('hour(ts) * 1.75e0', 'x')}, {r6('value * 1.75e0', 'y')} FROM events",
     "batches": _with(BATCHED) + " SELECT sid, batch, slot FROM batched",
+    "batches_repeated": """WITH numbered AS (
+  SELECT conv_id, row_number() OVER (ORDER BY md5(CAST(conv_id AS VARCHAR) || '|42|0'), conv_id) - 1 AS n FROM conversations)
+SELECT CAST(n // 190 AS BIGINT) AS batch, count(*) AS n, count(DISTINCT n % 190) AS slots, CAST(sum(conv_id) AS BIGINT) AS keys
+FROM numbered GROUP BY 1""",
     "collate": _with(BATCHED) + """
 SELECT batch, CAST(count(*) AS INTEGER) AS n, string_agg(CAST(sid AS VARCHAR), ',' ORDER BY slot) AS sids,
   string_agg(CAST(label AS VARCHAR), ',' ORDER BY slot) AS labels
@@ -412,7 +444,7 @@ SELECT sid, CAST(lmk AS INTEGER) AS lmk, {r6('sx', 'sx')}, {r6('sy', 'sy')} FROM
 SELECT sid, CAST(v AS INTEGER) AS v, {r6('x', 'x')}, {r6('y', 'y')}, {r6('z', 'z')} FROM verts"""
        for name in ("decode", "decode_dense")},
     "pixel_l1": _with(EMB, VALS) + f"""
-SELECT a.label, {r6('avg(abs(a.x - b.x))', 'value')} FROM vals a JOIN vals b ON b.sid = a.sid + 1 AND b.i = a.i GROUP BY a.label""",
+SELECT a.label, {r6('avg(abs(a.x - b.x))', 'value')} FROM vals a JOIN vals b ON b.sid = (a.sid + 1) % (SELECT count(*) FROM emb) AND b.i = a.i GROUP BY a.label""",
     "landmark_mse": _with(*SHOWN) + f"""
 SELECT label, sid, {r6('sum((sx - tx) * (sx - tx) + (sy - ty) * (sy - ty)) / (2 * count(*))', 'value')}
 FROM screen JOIN truth USING (sid, lmk) JOIN emb USING (sid) GROUP BY label, sid""",
@@ -430,6 +462,8 @@ SELECT batch, {r6(f"sum({_weight_case({k: v for k, v in _WEIGHTS.items() if k !=
 FROM terms GROUP BY batch""",
     "term_table": _batch_losses(),
     "batch_losses": _batch_losses(),
+    "image_losses": _image_losses(),
+    "image_losses_native": _image_losses(),
     "batch_losses_native": _batch_losses(),
     "staged_losses": _with(*STAGED) + f" SELECT epoch, batch, term, {r6('value', 'value')} FROM staged",
     "epoch_metrics": _with(*STAGED) + f"""

@@ -81,7 +81,51 @@ def values_long(df: DataFrame, col: str, *keys: str, index: str = "i") -> DataFr
 
 
 def scan_files(spark: SparkSession, folder: str) -> DataFrame:
-    return files.scan_files(spark, folder, ".parquet").select("stem")
+    """The urls of pages as a file listing: those of web pages, one per stem."""
+    pages = table(spark, folder, "pages").select(
+        F.regexp_extract("url", "^[^?#]*", 0).alias("path"), F.length("html").cast("bigint").alias("length"))
+    return files.listed(pages, ".html")
+
+
+def rgb(spark: SparkSession, folder: str) -> DataFrame:
+    """Images of one, three and four channels from the vectors, some of them broken, as RGB levels."""
+    hexed = "lpad(hex(pmod(CAST(floor(x * 1000) AS bigint), 256)), 2, '0')"
+    images = samples(spark, folder).selectExpr(
+        "sid", "IF(sid % 10 = 9, -1, IF(sid % 3 = 0, 8, IF(sid % 3 = 1, 2, 4))) AS height",
+        "IF(sid % 3 = 0, 8, IF(sid % 3 = 1, 11, 4)) AS width",
+        "IF(sid % 10 = 8, 2, element_at(array(1, 3, 4), CAST(sid % 3 + 1 AS int))) AS nChannels",
+        f"unhex(array_join(transform(IF(sid % 3 = 1, concat(coeffs, slice(coeffs, 1, 2)), coeffs), x -> {hexed}), '')) AS data",
+    )
+    level = "CAST(conv(hex(substring(data, i + 1, 1)), 16, 10) AS int) AS level"
+    return files.to_rgb(images).selectExpr(
+        "sid", "reason", "data", "explode_outer(IF(data IS NULL, NULL, sequence(0, length(data) - 1))) AS i"
+    ).selectExpr("sid", "reason", "i", level)
+
+
+def model_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """A model whose tables come from the vectors, one vertex each, with 70 landmarks: their corners with
+    the template point plus the sum of the basis, which is cut to 8 shape and 4 expression columns."""
+    rows = samples(spark, folder).select(F.col("sid").cast("int").alias("v"), "coeffs")
+    n = rows.count()
+    axes = {a: c for c, a in enumerate("xyz")}
+
+    def basis(prefix: str, first: int, width: int) -> DataFrame:
+        return rows.select("v", *[F.slice("coeffs", first + c, width).alias(f"{prefix}{a}") for a, c in axes.items()])
+
+    ids = spark.range(n).select(F.col("id").cast("int").alias("i"))
+    face = ids.where(F.col("i") < n - 2).select(F.col("i").alias("f"), F.col("i").alias("a"), (F.col("i") + 1).alias("b"), (F.col("i") + 2).alias("c"))
+    share = [(F.col("i") % m + 1) / (F.col("i") % 3 + F.col("i") % 4 + F.col("i") % 5 + 3) for m in (3, 4, 5)]
+    model = assets.load_assets(spark, "", 8, 4, {
+        "template": rows.select("v", *[F.get("coeffs", F.lit(c)).alias(a) for a, c in axes.items()]),
+        "shape_basis": basis("b", 4, 10), "expr_basis": basis("b", 14, 6), "pose_basis": basis("p", 1, 36),
+        "joint_reg": rows.select((F.col("v") % 5).alias("j"), "v", F.lit(5.0 / max(n, 1)).alias("w")),
+        "skin": rows.select("v", F.slice("coeffs", 20, 5).alias("w")), "faces": face,
+        "lmk_embed": spark.range(70).select(F.col("id").cast("int").alias("i")).select(
+            F.col("i").alias("lmk"), (F.col("i") * 5 % (n - 2)).cast("int").alias("f"), *[s.alias(f"b{k}") for k, s in enumerate(share)]),
+    })
+    whole = {a: r6(F.col(a) + F.aggregate(f"b{a}", F.lit(0.0), lambda t, x: t + x)).alias(a) for a in axes}
+    corners = geometry.corner_table(model).join(geometry.vertex_table(model, ("shape", "expression")), "v")
+    return corners.select("lmk", "k", "v", r6("b").alias("b"), *whole.values(), F.size("bx").alias("width"))
 
 
 def landmark_ingest(spark: SparkSession, folder: str) -> DataFrame:
@@ -143,17 +187,18 @@ def land_corpus(spark: SparkSession, folder: str) -> DataFrame:
         table(spark, folder, "labels").dropDuplicates(["doc_id"]), "doc_id", "left"
     ).select(F.col("doc_id").alias("stem"), "lang", "n_chars", F.col("quality").alias("points"))
     sinks.land_corpus(docs.filter(F.col("lang") == "en"), path)
-    done = sinks.landed_keys(spark.read.parquet(path))
+    done = sinks.landed_keys(sinks.read_corpus(spark, path))
     sinks.land_corpus(curation.pending(docs, *done, "stem"), path)
-    return spark.read.parquet(path).groupBy("stem").agg(
+    return sinks.read_corpus(spark, path).groupBy("stem").agg(
         F.count("*").alias("copies"), F.max("points").alias("points")
     )
 
 
 def obj_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Mesh text, the face ids counted from one and some meshes without their first vertex."""
     model = small_model(spark)
-    verts = geometry.shape_verts(groups(spark, folder), model)
-    return sinks.obj_lines(verts, model.faces)
+    verts = geometry.shape_verts(groups(spark, folder), model).where("NOT (sid % 7 = 3 AND v = 0)")
+    return sinks.obj_lines(verts, model.faces.withColumn("f", F.col("f") + 1))
 
 
 def metric_rows(spark: SparkSession, folder: str) -> DataFrame:
@@ -186,7 +231,8 @@ def pending(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def name_rows(spark: SparkSession, folder: str) -> DataFrame:
-    return curation.name_rows(table(spark, folder, "documents").select("doc_id", "source"), ["doc_id"])
+    docs = table(spark, folder, "documents").select("doc_id", "source")
+    return curation.name_rows(docs, ["doc_id"], key="doc_id").select("doc_id", "source", "stem")
 
 
 def first_detection(spark: SparkSession, folder: str) -> DataFrame:
@@ -226,11 +272,11 @@ def tally_by_status(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def pixel_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """Small RGB images, 4 rows by 5 columns, from the first 60 coefficients."""
+    """Small RGB images, 3 rows by 8 columns, from all 64 coefficients and the first eight once more."""
     hexed = "lpad(hex(pmod(CAST(floor(x * 1000) AS bigint), 256)), 2, '0')"
     return samples(spark, folder).selectExpr(
-        "sid", "4 AS height", "5 AS width",
-        f"unhex(array_join(transform(slice(coeffs, 1, 60), x -> {hexed}), '')) AS data",
+        "sid", "3 AS height", "8 AS width",
+        f"unhex(array_join(transform(concat(coeffs, slice(coeffs, 1, 8)), x -> {hexed}), '')) AS data",
     )
 
 
@@ -257,6 +303,13 @@ def batches(spark: SparkSession, folder: str) -> DataFrame:
     return batched(spark, folder).select("sid", "batch", "slot")
 
 
+def batches_repeated(spark: SparkSession, folder: str) -> DataFrame:
+    """Turns in batches by their conversation, a key that repeats: every row is in one batch."""
+    turns = table(spark, folder, "conversations").select("conv_id", "turn")
+    return curation.batches(turns, "conv_id").groupBy("batch").agg(
+        F.count("*").alias("n"), F.count_distinct("slot").alias("slots"), F.sum("conv_id").alias("keys"))
+
+
 def collate(spark: SparkSession, folder: str) -> DataFrame:
     grouped = curation.collate(batched(spark, folder), ["sid", "label"])
     return grouped.select(
@@ -440,8 +493,9 @@ def decode_dense(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def pixel_l1(spark: SparkSession, folder: str) -> DataFrame:
+    """Each vector against the following one, the last against the first."""
     rows = samples(spark, folder)
-    following = rows.select((F.col("sid") - 1).alias("sid"), F.col("coeffs").alias("truth"))
+    following = rows.select(F.pmod(F.col("sid") - 1, F.lit(rows.count())).alias("sid"), F.col("coeffs").alias("truth"))
     return rounded(losses.pixel_l1(rows.join(following, "sid"), "coeffs", "truth", ["label"]), "value")
 
 
@@ -502,6 +556,20 @@ def batch_losses(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(training.batch_losses(rows, small_model(spark), COMPACT_LAYOUT, FIRST_WEIGHTS), "value")
 
 
+def image_losses(dense: bool) -> Query:
+    """Losses with a positive pixel weight, a perceptual one and some samples without true landmarks."""
+    weights = {**FIRST_WEIGHTS, "pixel": 0.5, "perceptual": 1.0}
+
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        rows = with_truth(batched(spark, folder)).withColumns({
+            "truth": F.when(F.col("sid") % 10 != 3, F.col("truth")), "shown": F.col("coeffs"), "seen": F.reverse("coeffs")})
+        found = training.batch_losses(
+            rows, small_model(spark), COMPACT_LAYOUT, weights, dense=dense, images=("shown", "seen"))
+        return rounded(found, "value")
+
+    return query
+
+
 def batch_losses_native(spark: SparkSession, folder: str) -> DataFrame:
     # Partitions are sized by bytes, and the native form spends far more time per byte than a scan.
     cores = spark.sparkContext.defaultParallelism
@@ -649,6 +717,8 @@ def dangling(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "scan_files": scan_files,
+    "rgb": rgb,
+    "model_tables": model_tables,
     "landmark_ingest": landmark_ingest,
     "resolve_embedding": resolve_embedding,
     "embedding_rejects": embedding_rejects,
@@ -668,6 +738,7 @@ QUERIES: dict[str, Query] = {
     "denormalize": denormalized,
     "rescale": rescale,
     "batches": batches,
+    "batches_repeated": batches_repeated,
     "collate": collate,
     "head_of_last_batch": head_of_last_batch,
     "split_vector": split_vector,
@@ -703,6 +774,8 @@ QUERIES: dict[str, Query] = {
     "total_loss": total_loss,
     "batch_losses": batch_losses,
     "batch_losses_native": batch_losses_native,
+    "image_losses": image_losses(dense=True),
+    "image_losses_native": image_losses(dense=False),
     "staged_losses": staged_losses,
     "epoch_metrics": epoch_metrics,
     "with_settings": with_settings,

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshframe.sources.assets import FaceModel, no_basis
+from meshframe.sources.assets import FaceModel, load_assets
 
 VERTICES, JOINTS, LANDMARKS = 25, 5, 68
 TREE = (-1, 0, 1, 1, 1)
@@ -71,14 +71,10 @@ def tables(spark: SparkSession, n_shape: int = 40, n_expr: int = 0, vertices: in
 @lru_cache(maxsize=8)
 def small_model(spark: SparkSession, n_shape: int = 40, n_expr: int = 0, parents: tuple[int, ...] = TREE,
                 vertices: int = VERTICES) -> FaceModel:
-    """The model with its known sizes filled in."""
+    """The model as load_assets makes it from these tables."""
     t = tables(spark, n_shape, n_expr, vertices)
-    return FaceModel(
-        template=t["template"], shape_basis=t["shape_basis"],
-        expr_basis=t["expr_basis"] if n_expr else no_basis(t["template"]), pose_basis=t["pose_basis"],
-        joint_reg=t["joint_reg"], skin=t["skin"], faces=t["faces"], lmk_embed=t["lmk_embed"],
-        parents=parents, n_vertices=vertices, n_shape=n_shape, n_expr=n_expr, n_pose=36,
-    )
+    tree = pa.table({"j": pa.array(range(len(parents)), pa.int32()), "parent": pa.array(parents, pa.int32())})
+    return load_assets(spark, "", n_shape, n_expr, {**t, "joints": spark.createDataFrame(tree)})
 
 
 def truth_points(sid: Column) -> Column:

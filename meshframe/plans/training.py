@@ -35,28 +35,32 @@ def landmark_rows(params: DataFrame, model: FaceModel, layout: Layout, keep: Seq
 
 
 def _fused(samples: DataFrame, model: FaceModel, layout: Layout, active: Sequence[str], coeffs: str, truth: str,
-           by: Sequence[str], key: str, dense: bool) -> DataFrame:
+           by: Sequence[str], key: str, dense: bool, images: tuple[str, str] | None) -> DataFrame:
     """One pass over the samples and one shuffle of partial sums."""
     params = split_vector(check_width(samples, coeffs, layout), coeffs, layout)
-    summed = with_sample_sums(params, active)
+    summed = with_sample_sums(params, active, images)
     rows = landmark_rows(summed, model, layout, [*by, *sample_sum_columns(active)], truth, key, dense=dense)
     return fused_terms(rows, active, by)
 
 
 def batch_losses(samples: DataFrame, model: FaceModel, layout: Layout, weights: Mapping[str, float],
                  coeffs: str = "coeffs", truth: str = "truth", by: Sequence[str] = ("batch",), key: str = "sid",
-                 dense: bool = True) -> DataFrame:
-    """Term table with the total of every batch, from samples with coefficients and true landmarks."""
-    wide = _fused(samples, model, layout, active_terms(weights), coeffs, truth, by, key, dense)
+                 dense: bool = True, images: tuple[str, str] | None = None) -> DataFrame:
+    """Term table with the total of every batch, from samples with coefficients and true landmarks.
+
+    A positive pixel weight needs ``images``, the names of the predicted and the true image column.
+    """
+    wide = _fused(samples, model, layout, active_terms(weights), coeffs, truth, by, key, dense, images)
     return unpivot_terms(wide, weights, by)
 
 
 def staged_losses(samples: DataFrame, model: FaceModel, layout: Layout, stages: Sequence[Stage],
-                  coeffs: str = "coeffs", truth: str = "truth", key: str = "sid", dense: bool = True) -> DataFrame:
+                  coeffs: str = "coeffs", truth: str = "truth", key: str = "sid", dense: bool = True,
+                  images: tuple[str, str] | None = None) -> DataFrame:
     """Term table per (epoch, batch), weighted by each epoch's stage."""
     by = ("epoch", "batch")
     active = active_terms(*[s.weights for s in stages])
-    wide = _fused(samples, model, layout, active, coeffs, truth, by, key, dense)
+    wide = _fused(samples, model, layout, active, coeffs, truth, by, key, dense, images)
     return unpivot_terms(with_settings(wide, stages), "weights", by)
 
 

@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,6 @@ from meshframe.session import doubles
 
 STAR_PARENTS = (-1, 0, 0, 0, 0)
 POSE_FEATURES = 36
-MAX_JOINTS = 64
 TABLES = ("template", "shape_basis", "pose_basis", "joint_reg", "skin", "faces")
 OPTIONAL_TABLES = ("expr_basis", "joints", "lmk_embed")
 
@@ -39,6 +39,52 @@ class FaceModel:
     n_shape: int
     n_expr: int
     n_pose: int
+    n_landmarks: int = 0
+
+    @cached_property
+    def problems(self) -> list[str]:
+        """What keeps the tables from being one model, found once and checked before anything is decoded.
+
+        Every other step relies on it: ids run from 0 without gaps or repeats, each vertex has one row in
+        every table, and references point at rows that exist.
+        """
+        n = {"vertex": self.n_vertices, "joint": self.n_joints}
+        checks: dict[str, DataFrame] = {}
+
+        def ids(name: str, df: DataFrame, col: str, count: int | None) -> None:
+            found = df.agg(F.count("*").alias("rows"), F.count_distinct(col).alias("ids"), F.min(col).alias("low"), F.max(col).alias("high"))
+            size = F.lit(count) if count is not None else F.col("rows")
+            fine = (F.col("rows") == size) & (F.col("ids") == size) & (size == 0) | (
+                (F.col("rows") == size) & (F.col("ids") == size) & (F.col("low") == 0) & (F.col("high") == size - 1))
+            checks[f"{name}: ids are not 0 to {'rows' if count is None else count} - 1, once each"] = found.where(~F.coalesce(fine, F.lit(False)))
+
+        def inside(name: str, df: DataFrame, cols: Sequence[str], count: int) -> None:
+            bad = [F.col(c).isNull() | (F.col(c) < 0) | (F.col(c) >= count) for c in cols]
+            checks[f"{name}: reference outside 0 to {count} - 1"] = df.where(reduce(or_, bad))
+
+        def width(name: str, df: DataFrame, cols: Sequence[str], size: int) -> None:
+            bad = [F.coalesce(F.size(c), F.lit(-1)) != size for c in cols]
+            checks[f"{name}: not {size} numbers"] = df.where(reduce(or_, bad))
+
+        for name in ("template", "skin", "shape_basis", "expr_basis", "pose_basis"):
+            ids(name, getattr(self, name), "v", n["vertex"])
+        width("skin", self.skin, ["w"], n["joint"])
+        width("shape_basis", self.shape_basis, ["bx", "by", "bz"], self.n_shape)
+        width("expr_basis", self.expr_basis, ["bx", "by", "bz"], self.n_expr)
+        if self.uses_pose:
+            width("pose_basis", self.pose_basis, ["px", "py", "pz"], self.n_pose)
+        inside("joint_reg vertices", self.joint_reg, ["v"], n["vertex"])
+        ids("faces", self.faces, "f", None)
+        inside("faces", self.faces, ["a", "b", "c"], n["vertex"])
+        if self.lmk_embed is not None:
+            ids("lmk_embed", self.lmk_embed, "lmk", self.n_landmarks)
+            checks["lmk_embed: landmark without its face"] = self.lmk_embed.join(self.faces, "f", "left_anti")
+        marked = [df.limit(1).select(F.lit(name).alias("problem")) for name, df in checks.items()]
+        return sorted(r["problem"] for r in reduce(DataFrame.unionAll, marked).collect())
+
+    def verify(self) -> None:
+        if self.problems:
+            raise ValueError("the model tables do not fit together: " + "; ".join(self.problems))
 
     @property
     def n_joints(self) -> int:
@@ -117,7 +163,10 @@ def tree_parents(parents: Mapping[int, int] | None, n_joints: int) -> tuple[int,
 
 def load_assets(spark: SparkSession, folder: str, n_shape: int, n_exp: int,
                 tables: Mapping[str, DataFrame] | None = None) -> FaceModel:
-    """Model from the Parquet tables of a folder, or from given DataFrames of the same schemas."""
+    """Model from the Parquet tables of a folder, or from given DataFrames of the same schemas.
+
+    All counts come from the tables; tables that do not fit together are refused with their faults.
+    """
     found: dict[str, DataFrame] = dict(tables or {})
     if tables is None:
         for name in TABLES:
@@ -135,13 +184,12 @@ def load_assets(spark: SparkSession, folder: str, n_shape: int, n_exp: int,
     pose_width = found["pose_basis"].agg(F.max(F.size("px"))).first()[0]
     shape_width = found["shape_basis"].agg(F.max(F.size("bx"))).first()[0]
     expr_width = found["expr_basis"].agg(F.max(F.size("bx"))).first()[0] if expr_given else n_exp
-    if skin_width > MAX_JOINTS:
-        raise ValueError(f"{skin_width} joints, at most {MAX_JOINTS} are supported")
     parents = None
     if "joints" in found:
         rows = found["joints"].orderBy("j").limit(skin_width).collect()
         parents = {r["j"]: r["parent"] for r in rows}
-    return FaceModel(
+    embed = found.get("lmk_embed")
+    model = FaceModel(
         template=template,
         shape_basis=cut_basis(found["shape_basis"], min(n_shape, shape_width)),
         expr_basis=cut_basis(found["expr_basis"], min(n_exp, expr_width)) if expr_given else no_basis(template),
@@ -149,13 +197,16 @@ def load_assets(spark: SparkSession, folder: str, n_shape: int, n_exp: int,
         joint_reg=found["joint_reg"].filter("w <> 0"),
         skin=found["skin"],
         faces=found["faces"],
-        lmk_embed=found.get("lmk_embed"),
+        lmk_embed=embed,
+        n_landmarks=0 if embed is None else embed.count(),
         parents=tree_parents(parents, skin_width),
         n_vertices=int(sizes["v"]),
         n_shape=min(n_shape, shape_width),
         n_expr=min(n_exp, expr_width) if expr_given else 0,
         n_pose=pose_width,
     )
+    model.verify()
+    return model
 
 
 # Key names of the two embedding conventions, preferred one first, and the index of

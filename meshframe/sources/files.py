@@ -34,10 +34,17 @@ def _binary_files(spark: SparkSession, folder: str, ext: str) -> DataFrame:
 def scan_files(spark: SparkSession, folder: str, ext: str) -> DataFrame:
     """Files of a folder ending in ``ext`` (case-sensitive, not recursive): (stem, path, length).
 
-    Contents are not read. Stems are unique; a missing folder is an error.
+    Contents are not read. Stems are unique; a missing folder is an error. Names that start with ``_`` or ``.``
+    are no data: Spark's file sources keep them for logs and half-written files and do not list them.
     """
-    files = _binary_files(spark, folder, ext).select("path", "length")
-    return files.select(stem_of(file_name("path")).alias("stem"), "path", "length").dropDuplicates(["stem"])
+    return listed(_binary_files(spark, folder, ext).select("path", "length"), ext)
+
+
+def listed(files: DataFrame, ext: str) -> DataFrame:
+    """Listing rows (path, length) that end in ``ext``, one per stem, the smallest path of equal stems."""
+    hidden = F.substring(file_name("path"), 1, 1).isin("_", ".")
+    named = files.where(F.endswith("path", F.lit(ext)) & ~hidden).select(stem_of(file_name("path")).alias("stem"), "path", "length")
+    return named.groupBy("stem").agg(F.min(F.struct("path", "length")).alias("_f")).select("stem", "_f.*")
 
 
 def decode_arrays(df: DataFrame, key: str = "stem", content: str = "content",
@@ -68,9 +75,15 @@ def decode_arrays(df: DataFrame, key: str = "stem", content: str = "content",
             for start in range(0, record.num_rows, _FILES_PER_BATCH):
                 part = record.slice(start, _FILES_PER_BATCH)
                 results = [read(blob) for blob in part.column(content).to_pylist()]
-                points = [None if a is None else [dict(zip(axes, p)) for p in a.tolist()] for a, _ in results]
+                good = [a for a, _ in results if a is not None]
+                flat = np.concatenate(good) if good else np.zeros((0, d), np.float32)
+                structs = pa.StructArray.from_arrays(
+                    [pa.array(np.ascontiguousarray(flat[:, i])) for i in range(d)], names=list(axes))
+                ends = np.cumsum([0, *(0 if a is None else n for a, _ in results)]).astype(np.int32)
+                missing = pa.array([a is None for a, _ in results], pa.bool_())
+                points = pa.ListArray.from_arrays(pa.array(ends), structs, mask=missing).cast(fields)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(key), pa.array(points, type=fields), pa.array([r for _, r in results], pa.string())],
+                    [part.column(key), points, pa.array([r for _, r in results], pa.string())],
                     names=[key, "points", "reason"],
                 )
 
@@ -85,36 +98,44 @@ def read_landmarks(spark: SparkSession, folder: str, ext: str = ".npy") -> DataF
 
 
 def to_rgb(df: DataFrame) -> DataFrame:
-    """Image-source rows (blue, green, red order; 1, 3 or 4 channels) with ``data`` in RGB, three channels.
+    """Image-source rows (blue, green, red order; 1, 3 or 4 channels) with ``data`` in RGB, three channels, and ``reason``.
 
-    Gray values are repeated and alpha is dropped.
+    Gray values are repeated and alpha is dropped. An image that can't be read, has another number of channels or
+    not the bytes of its size keeps its row, with null data and the reason.
     """
+    df = df.drop("reason")
     names = [c for c in df.columns]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-
-    def rgb(data: bytes, channels: int) -> bytes:
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", reason string"
+
+    def rgb(data: bytes | None, channels: int | None, height: int | None, width: int | None) -> tuple[bytes | None, str | None]:
+        if data is None or not height or not width or height < 0 or width < 0:
+            return None, "undecodable"
+        if channels not in (1, 3, 4):
+            return None, f"{channels} channels"
+        if len(data) != height * width * channels:
+            return None, f"{len(data)} bytes"
         pixels = np.frombuffer(data, dtype=np.uint8).reshape(-1, channels)
         if channels == 1:
-            return np.repeat(pixels, 3, axis=1).tobytes()
-        return np.ascontiguousarray(pixels[:, 2::-1]).tobytes()
+            return np.repeat(pixels, 3, axis=1).tobytes(), None
+        return np.ascontiguousarray(pixels[:, 2::-1]).tobytes(), None
 
     def run(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for record in records:
             for start in range(0, record.num_rows, _FILES_PER_BATCH):
                 part = record.slice(start, _FILES_PER_BATCH)
-                channels = part.column("nChannels").to_pylist()
-                data = [rgb(b, c) for b, c in zip(part.column("data").to_pylist(), channels)]
+                done = [rgb(*x) for x in zip(*(part.column(c).to_pylist() for c in ("data", "nChannels", "height", "width")))]
                 columns = {n: part.column(n) for n in names}
-                columns["data"] = pa.array(data, pa.binary())
-                columns["nChannels"] = pa.array([3] * part.num_rows, pa.int32())
-                yield pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
+                columns["data"] = pa.array([x for x, _ in done], pa.binary())
+                columns["nChannels"] = pa.array([3 if x is not None else None for x, _ in done], pa.int32())
+                columns["reason"] = pa.array([r for _, r in done], pa.string())
+                yield pa.RecordBatch.from_arrays([columns[n] for n in (*names, "reason")], names=[*names, "reason"])
 
     return df.mapInArrow(run, schema)
 
 
 def read_images(spark: SparkSession, folder: str) -> DataFrame:
-    """Decoded images as RGB bytes: (stem, height, width, nChannels, data); undecodable files are dropped."""
-    images = spark.read.format("image").option("dropInvalid", True).load(folder).select("image.*")
+    """Decoded images as RGB bytes: (stem, height, width, nChannels, data, reason); undecodable files have a reason."""
+    images = spark.read.format("image").option("dropInvalid", False).load(folder).select("image.*")
     return to_rgb(images.select(
         stem_of(file_name("origin")).alias("stem"), "height", "width", "nChannels", "data"
     ))

@@ -2,17 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CORPUS_COLUMNS = ("stem", "height", "width", "nChannels", "data", "points")
+from meshframe.session import ensure_checkpoint_dir
+
 _INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+# Folders of a landed corpus; a record's folder follows from its key.
+BUCKETS = 64
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    location = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(location)
+
 
+def land_corpus(df: DataFrame, path: str, key: str = "stem", points: str = "points", buckets: int = BUCKETS) -> None:
+    """Land image records, one per key whatever is landed again; one whose landmarks failed has null points.
 
-def land_corpus(df: DataFrame, path: str) -> None:
-    """Append image records; an image whose landmarks failed is kept with null points."""
-    df.write.mode("append").parquet(path)
+    Of several records of a key one with points wins, then the new one over the landed one, then the larger.
+    Only the folders of the keys at hand are read and replaced. Records without a key can't be found again and
+    are refused.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    keyed = df.withColumn(key, F.coalesce(F.col(key), F.raise_error(F.lit("record without a key")).cast(df.schema[key].dataType)))
+    fresh = keyed.withColumns({"_bucket": F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"), "_new": F.lit(True)})
+    merged = fresh = one_per_key(fresh, key, points).checkpoint()
+    if path_exists(spark, path):
+        touched = [r["_bucket"] for r in fresh.select("_bucket").distinct().collect()]
+        landed = spark.read.parquet(path).where(F.col("_bucket").isin(touched)).withColumn("_new", F.lit(False))
+        merged = one_per_key(fresh.unionByName(landed), key, points).checkpoint()
+    (
+        merged.drop("_new").repartition("_bucket").write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(path)
+    )
+
+
+def one_per_key(df: DataFrame, key: str, points: str) -> DataFrame:
+    rest = [c for c in df.columns if c != key]
+    rank = F.struct(F.col(points).isNotNull(), "_new", F.xxhash64(*[c for c in rest if c not in ("_new", "_bucket")]))
+    return df.groupBy(key).agg(F.max_by(F.struct(*rest), rank).alias("_r")).select(key, "_r.*")
+
+
+def read_corpus(spark: SparkSession, path: str) -> DataFrame:
+    """The landed records."""
+    return spark.read.parquet(path).drop("_bucket")
 
 
 def landed_keys(df: DataFrame, key: str = "stem", points: str = "points") -> tuple[DataFrame, DataFrame]:
@@ -37,16 +73,11 @@ def obj_lines(verts: DataFrame, faces: DataFrame | None = None, key: str = "sid"
     for corner in "abc":
         if not isinstance(faces.schema[corner].dataType, _INTEGERS):
             raise TypeError(f"face corner {corner} must be an integer column")
-    count = faces.count()
-    shared = F.broadcast(faces) if count <= 1_000_000 else faces
-    # The mesh's first vertex stands for the mesh; its face lines fan out by index.
-    meshes = verts.filter(F.col("v") == 0).select(
-        key, F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("f")
-    ) if count else verts.select(key, F.lit(0).alias("f")).limit(0)
+    # One row with all faces, as a mesh is of fixed size; every mesh's key meets it once.
     text = F.format_string("f %d %d %d", *[(F.col(c) + 1).cast("bigint") for c in "abc"])
-    return lines.unionByName(meshes.join(shared, "f").select(
-        key, F.lit(1).alias("section"), F.col("f").cast("int").alias("ord"), text.alias("line")
-    ))
+    listed = faces.agg(F.array_sort(F.collect_list(F.struct(F.col("f").cast("int").alias("ord"), text.alias("line")))).alias("_f"))
+    meshes = verts.select(key).distinct().select(key, F.lit(1).alias("section"), F.inline(listed.scalar()))
+    return lines.unionByName(meshes)
 
 
 def export_obj(verts: DataFrame, faces: DataFrame | None, path: str, key: str = "sid") -> None:
@@ -62,6 +93,14 @@ def export_obj(verts: DataFrame, faces: DataFrame | None, path: str, key: str =
     )
 
 
+def export_obj_buckets(verts: DataFrame, faces: DataFrame | None, path: str, buckets: int, key: str = "sid") -> None:
+    """Meshes as Parquet rows (key, text), whole meshes in each of ``buckets`` files, for numbers of meshes that
+    would be too many files."""
+    line = F.array_sort(F.collect_list(F.struct("section", "ord", "line")))
+    text = F.concat(F.array_join(F.transform(line, lambda x: x["line"]), "\n"), F.lit("\n"))
+    obj_lines(verts, faces, key).groupBy(key).agg(text.alias("text")).repartition(buckets, key).write.mode("overwrite").parquet(path)
+
+
 def write_metrics(df: DataFrame, path: str) -> None:
     """Append scalar log rows (tag, step, value)."""
     df.select("tag", F.col("step").cast("bigint"), F.col("value").cast("double")).write.mode("append").parquet(path)

@@ -1,30 +1,23 @@
-"""Resumable landing: the same filter and sink as the batch job, over newly arrived records only."""
+"""Resumable landing: the same sink as the batch job, over newly arrived records only."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from meshframe.operators.curation import pending
-from meshframe.sources.sinks import land_corpus, landed_keys
+from meshframe.sources.sinks import land_corpus
 
 
 def land_pending(records: DataFrame, path: str, key: str = "stem", points: str = "points") -> None:
-    """Append the records that are not landed with image and landmarks yet."""
-    spark = records.sparkSession
-    fresh = records
-    location = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    files = location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if files.exists(location):
-        images, landmarks = landed_keys(spark.read.parquet(path), key, points)
-        fresh = pending(records, images, landmarks, key)
-    land_corpus(fresh, path)
+    """Land the records; those that are landed with landmarks already stay as they are unless new ones have them too."""
+    land_corpus(records, path, key, points)
 
 
 def land_stream(records: DataFrame, path: str, checkpoint: str, key: str = "stem", points: str = "points") -> StreamingQuery:
     """Process everything that has arrived since the last run, then stop.
 
-    The resume filter makes a repeated micro-batch harmless: what it already landed is skipped.
+    Landing keeps one record per key, so a repeated micro-batch changes nothing; it reads only the folders of
+    the keys it brings.
     """
     return (
         records.writeStream.foreachBatch(lambda batch, _: land_pending(batch, path, key, points))

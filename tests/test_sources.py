@@ -60,7 +60,9 @@ def test_read_images_as_rgb(spark, tmp_path):
     (tmp_path / "gray.png").write_bytes(png(color[..., :1]))
     (tmp_path / "broken.png").write_bytes(b"no image")
     got = {r.stem: r for r in files.read_images(spark, str(tmp_path)).collect()}
-    assert set(got) == {"color", "alpha", "gray"}
+    assert set(got) == {"color", "alpha", "gray", "broken"}
+    broken = got.pop("broken")
+    assert broken.data is None and broken.reason == "undecodable"
     assert bytes(got["color"].data) == color.tobytes() == bytes(got["alpha"].data)
     assert bytes(got["gray"].data) == np.repeat(color[..., :1], 3, axis=2).tobytes()
     assert (got["color"].height, got["color"].width, got["gray"].nChannels) == (2, 3, 3)
@@ -175,7 +177,7 @@ def test_stream_lands_new_records_once(spark, tmp_path):
     spark.createDataFrame([("b", [2.0]), ("c", None)], schema).write.mode("append").parquet(str(source))
     run(0)
     run(1)
-    assert sorted(r.stem for r in spark.read.parquet(path).collect()) == ["a", "b", "c", "c"]
+    assert sorted(r.stem for r in spark.read.parquet(path).collect()) == ["a", "b", "c"]
 
 
 def test_metric_sink(spark, tmp_path):
