@@ -250,10 +250,10 @@ def train(cands: DataFrame) -> DataFrame:
 
 def decide(cands: DataFrame, model: DataFrame) -> DataFrame:
     """Adds ``spans``: the base spans and the candidates that the classifier accepts, by start and kind."""
-    accepted = model.where(F.col("probability") >= SURE).agg(F.collect_set("code").alias("_accepted"))
+    accepted = model.where(F.col("probability") >= SURE).agg(F.collect_set("code")).scalar()
     wanted = lambda c: c["base"] | (
         (F.aggregate(c["votes"], F.lit(0), lambda s, v: s + v) >= MAJORITY) & F.array_contains("_accepted", _code(c)))
-    return cands.join(F.broadcast(accepted)).withColumn("spans", F.filter("cands", wanted)).drop("_accepted")
+    return cands.withColumn("_accepted", accepted).withColumn("spans", F.filter("cands", wanted)).drop("_accepted")
 
 
 def render(spans: Column) -> Column:

@@ -129,15 +129,14 @@ def select_cutoffs(features: DataFrame, stratum: str, good: str, max_false_rejec
     # At most one entry per cutoff in each list.
     cells = counts.groupBy("stratum", "rule").agg(
         F.collect_list(F.struct("level", "good", "bad")).alias("levels"), F.sum("good").alias("n_good"))
-    tests = cells.agg(F.count("*").alias("tests"))
+    tests = cells.agg(F.count("*")).scalar()
     upto = lambda j, what: F.aggregate(
         "levels", F.lit(0).cast("bigint"), lambda s, x: s + F.when(x["level"] <= j, x[what]).otherwise(0))
     tried = (
         cells.select("*", F.explode(F.sequence(F.lit(1), F.lit(n_cutoffs))).alias("j"))
         .withColumns({"n_false": upto(F.col("j"), "good"), "n_caught": upto(F.col("j"), "bad")})
         .withColumn("tail", binomial_tail(F.col("n_false"), F.col("n_good"), per_rule))
-        .join(F.broadcast(tests))
-        .withColumn("certified", F.col("tail") * F.col("tests") <= delta)
+        .withColumn("certified", F.col("tail") * tests <= delta)
     )
     worth = F.col("n_caught") - COST * F.col("n_false")
     chosen = (

@@ -41,9 +41,9 @@ def slot_records(records: DataFrame, key: Column, size: Column, tie: Column, sha
         "_piece": F.pmod(F.xxhash64(tie, F.monotonically_increasing_id()), F.lit(PIECES)).cast("int"),
     }))
     per_slot = sized.groupBy("_slot").agg(F.sum("_bytes").alias("_sum"))
-    total = per_slot.agg(F.sum("_sum").alias("_total"))
+    total = per_slot.agg(F.sum("_sum")).scalar()
     hot = (
-        per_slot.join(F.broadcast(total), F.col("_sum") * shards * HOT_SHARE > F.col("_total"))
+        per_slot.where(F.col("_sum") * shards * HOT_SHARE > total)
         .select("_slot", (F.row_number().over(Window.orderBy("_slot")) - 1).alias("_nth"))
     )
     return (
