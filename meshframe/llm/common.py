@@ -35,6 +35,16 @@ def pin(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def salted_join(rows: DataFrame, few: DataFrame, keys: list[str], by: str, salts: int = 16) -> DataFrame:
+    """Inner join of ``rows`` with the fewer rows of ``few``, one per key, where a key may hold a third of ``rows``.
+
+    Rows of a key are dealt over ``salts`` tasks by a hash of ``by``; ``few`` is sent to all of them.
+    """
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)))
+    copied = few.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
+    return dealt.join(copied, [*keys, "_salt"]).drop("_salt")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of the undirected ``edges`` (columns a, b): rows (id, component).
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshframe.llm.common import components, pin, table
+from meshframe.llm.common import components, pin, salted_join, table
 from meshframe.llm.wordhash import chunks, mix, window_hashes, word_hashes, words
 from meshframe.session import broadcast_if_small
 
@@ -157,7 +157,7 @@ def _classes(docs: DataFrame, key: str, text: str, threshold: float) -> DataFram
     reps = pin(signed.groupBy("t1", "t2").agg(F.min(F.struct("id", "bands")).alias("r")).select("t1", "t2", "r.*"))
     rows = reps.select("id", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last")
-    members = pin(rows.join(shared.select("bucket", "lead"), "bucket").select("bucket", "id", "lead").distinct())
+    members = pin(salted_join(rows, shared.select("bucket", "lead"), ["bucket"], "id").select("bucket", "id", "lead").distinct())
     wanted = members.select("id").distinct()
     mark = broadcast_if_small(
         wanted.join(reps.select("id", "t1", "t2"), "id"), members.agg(F.count_distinct("id")).first()[0], 48)
@@ -171,7 +171,7 @@ def _classes(docs: DataFrame, key: str, text: str, threshold: float) -> DataFram
     placed = members.select("bucket", "id").join(groups, "id", "left").select(
         "bucket", "id", F.coalesce("component", "id").alias("component"))
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
-    placed = pin(placed.join(mixed.select("bucket"), "bucket"))
+    placed = pin(salted_join(placed, mixed.select("bucket"), ["bucket"], "id"))
     more = _block_links(placed, sets, threshold)
     groups = pin(components(links.select("a", "b").union(more.select("a", "b"))))
 
@@ -234,9 +234,9 @@ def _block_links(placed: DataFrame, sets: DataFrame, threshold: float) -> DataFr
     per = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     largest = per.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("m")).select(
         "bucket", F.col("m.component").alias("largest"))
-    stray = placed.join(largest, "bucket").where("component <> largest").select("id").distinct().withColumn("stray", F.lit(True))
+    stray = salted_join(placed, largest, ["bucket"], "id").where("component <> largest").select("id").distinct().withColumn("stray", F.lit(True))
     lead = placed.groupBy("bucket").agg(F.min("id").alias("a"))
-    regions = components(placed.join(lead, "bucket").select("a", F.col("id").alias("b")))
+    regions = components(salted_join(placed, lead, ["bucket"], "id").select("a", F.col("id").alias("b")))
     texts = pin(
         placed.select("id", "component").distinct()
         .join(regions.select("id", F.col("component").alias("region")), "id").join(stray, "id", "left").join(sets, "id")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meshframe.llm.common import table
+from meshframe.llm.common import salted_join, table
 from meshframe.llm.wordhash import chunks, mix, window_hashes, word_hashes, words
 
 WIDTH = 35
@@ -168,7 +168,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
         "k": F.xxhash64(key, "text"), "k2": F.hash(key, "text"), "t1": F.xxhash64("text"), "t2": F.xxhash64("text", F.lit(1))})
     copies = rows.groupBy("t1", "t2").agg(F.count("*").alias("n"), F.min("k").alias("first")).where("n > 1").drop("n")
     flags = (
-        rows.select("k", "k2", "t1", "t2").join(copies, ["t1", "t2"])
+        salted_join(rows.select("k", "k2", "t1", "t2"), copies, ["t1", "t2"], "k")
         .groupBy("k").agg(F.collect_set(F.struct("k2", (F.col("k") == F.col("first")).alias("first"))).alias("flags"))
     )
     own_flags = F.filter("flags", lambda x: x["k2"] == F.col("k2"))
