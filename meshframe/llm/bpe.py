@@ -248,26 +248,36 @@ def _split_docs(pattern: str, hot, key: str, key_type: pa.DataType):
     return run
 
 
-def _encode_rare(shared):
-    """Per text of a slice of the partition: d2, then place, number of ids and ids of each of its rare words, packed."""
-    def by_text(d: np.ndarray, d2: np.ndarray, at: np.ndarray, tails: list[np.ndarray]) -> pa.RecordBatch:
-        order = np.lexsort((d2, d))
-        d, d2 = d[order], d2[order]
-        first = np.flatnonzero((np.diff(d, prepend=d[0]) != 0) | (np.diff(d2, prepend=d2[0]) != 0) | (np.arange(len(d)) == 0))
-        opens = np.zeros(len(d), bool)
-        opens[first] = True
-        parts = []
-        for i, opening, check in zip(order.tolist(), opens.tolist(), (d2.astype(np.int64) & 0xFFFFFFFF).tolist()):
-            parts.append([check, at[i]] if opening else [at[i]])
-            parts.append(tails[i])
-        numbers = np.concatenate(parts).astype(np.int64)
-        lengths = np.array([len(tails[i]) for i in order]) + 1 + opens
-        bounds = np.concatenate([[0], np.cumsum(_packed_sizes(numbers))])
-        starts = bounds[(np.cumsum(lengths) - lengths)[first]]
-        packed = _pack(numbers)
-        blobs = [packed[a:b] for a, b in zip(starts, [*starts[1:], len(packed)])]
-        return pa.RecordBatch.from_arrays([pa.array(d[first]), pa.array(blobs, pa.binary())], names=["owner", "found"])
+def _by_text(d: np.ndarray, d2: np.ndarray, at: np.ndarray, ids: list[np.ndarray]) -> pa.RecordBatch:
+    """Occurrences of rare words put together by text: packed numbers, namely d2, how many there are, their places,
+    their numbers of ids, and all ids."""
+    order = np.lexsort((d2, d))
+    d, d2, at = d[order], d2[order], at[order]
+    length = np.array([len(ids[i]) for i in order])
+    flat = np.concatenate([ids[i] for i in order])
+    new = np.ones(len(d), bool)
+    new[1:] = (d[1:] != d[:-1]) | (d2[1:] != d2[:-1])
+    first = np.flatnonzero(new)
+    many = np.diff(np.append(first, len(d)))
+    total = np.add.reduceat(length, first)
+    size = 2 + 2 * many + total
+    start = np.cumsum(size) - size
+    of = np.repeat(np.arange(len(first)), many)
+    place = start[of] + 2 + np.arange(len(d)) - first[of]
+    numbers = np.empty(size.sum(), np.int64)
+    numbers[start] = d2[first].astype(np.int64) & 0xFFFFFFFF
+    numbers[start + 1] = many
+    numbers[place] = at
+    numbers[place + many[of]] = length
+    numbers[np.repeat(start + 2 + 2 * many - np.cumsum(total) + total, total) + np.arange(len(flat))] = flat
+    bounds = np.concatenate([[0], np.cumsum(_packed_sizes(numbers))])[np.append(start, len(numbers))]
+    packed = _pack(numbers)
+    blobs = [packed[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+    return pa.RecordBatch.from_arrays([pa.array(d[first]), pa.array(blobs, pa.binary())], names=["owner", "found"])
+
 
+def _encode_rare(shared):
+    """Ids of each rare word, sent back by text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # All occurrences of a word are in this partition, so it is encoded once.
         ranks, known = rank_table(shared.value), {}
@@ -280,16 +290,15 @@ def _encode_rare(shared):
             for w in part.column(part.schema.get_field_index("word")).to_pylist():
                 x = known.get(w)
                 if x is None:
-                    ids = encode_word(w.encode(), ranks)
-                    x = known[w] = np.array([len(ids), *ids], np.int32)
+                    x = known[w] = np.array(encode_word(w.encode(), ranks), np.int32)
                 tails.append(x)
             for values, name in zip(columns, ("d", "d2", "at")):
                 values.append(part.column(part.schema.get_field_index(name)).to_numpy(zero_copy_only=False))
             if len(tails) >= BACK_ROWS:
-                yield by_text(*map(np.concatenate, columns), tails)
+                yield _by_text(*map(np.concatenate, columns), tails)
                 columns, tails = ([], [], []), []
         if tails:
-            yield by_text(*map(np.concatenate, columns), tails)
+            yield _by_text(*map(np.concatenate, columns), tails)
 
     return run
 
@@ -306,20 +315,25 @@ def _assemble(shared, hot, key: str):
             col = lambda name, part=part: part.column(part.schema.get_field_index(name))
             codes = [_unpack(zlib.decompress(bodies[i])) for i in rows]
             # Rare words of these texts get codes behind the frequent ones.
-            rare, next_code = [], len(words.length)
-            for c, d2, found in zip(codes, col("d2").to_pylist(), col("found").to_pylist()):
-                for values in map(_unpack, found or ()):
-                    if values[0] != d2 & 0xFFFFFFFF:
-                        continue
-                    listed, i = values.tolist(), 1
-                    while i < len(listed):
-                        n = listed[i + 1]
-                        c[listed[i]] = next_code
-                        rare.append(values[i + 2:i + 2 + n].astype(np.int32))
-                        next_code += 1
-                        i += 2 + n
-            length = np.concatenate([words.length, np.array([len(r) for r in rare], np.int64)])
-            all_ids = np.concatenate([words.ids, *rare])
+            rare, rare_length, next_code = [], [], len(words.length)
+            found = [x or [] for x in col("found").to_pylist()]
+            packed = [x for blobs in found for x in blobs]
+            numbers = _unpack(b"".join(packed))
+            # Numbers of a blob end where its bytes do.
+            ends_of = np.cumsum([0, *map(len, packed)])
+            stops = iter(np.searchsorted(np.flatnonzero(np.frombuffer(b"".join(packed), np.uint8) < 128), ends_of).tolist())
+            low = next(stops)
+            for c, d2, blobs in zip(codes, col("d2").to_pylist(), found):
+                for _ in blobs:
+                    part_of, low = numbers[low:(high := next(stops))], high
+                    if part_of[0] == d2 & 0xFFFFFFFF:
+                        m = int(part_of[1])
+                        c[part_of[2:2 + m]] = np.arange(next_code, next_code + m)
+                        rare_length.append(part_of[2 + m:2 + 2 * m])
+                        rare.append(part_of[2 + 2 * m:])
+                        next_code += m
+            length = np.concatenate([words.length, *rare_length])
+            all_ids = np.concatenate([words.ids, *rare]).astype(np.int32)
             start = np.concatenate([ends - words.length, len(words.ids) + np.cumsum(length[len(ends):]) - length[len(ends):]])
             flat = np.concatenate(codes)
             size = length[flat]
