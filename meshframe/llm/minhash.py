@@ -275,3 +275,29 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents; an empty table gives no rows."""
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+# All pairs by definition, without buckets.
+OP10_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+rep AS (SELECT text, min(doc_id) AS doc_id FROM w WHERE len(ws) > 0 GROUP BY text),
+sh AS (SELECT doc_id, array_to_string(ws[s:s + 4], ' ') AS g, count(*)::DOUBLE AS x
+       FROM w JOIN rep USING (doc_id), unnest(range(1, greatest(len(ws) - 3, 2))) u(s) GROUP BY ALL),
+total AS (SELECT doc_id, sum(x) AS t FROM sh GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(a.x) AS xa, sum(b.x) AS xb
+           FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+near AS (SELECT a, b FROM shared JOIN total ta ON ta.doc_id = a JOIN total tb ON tb.doc_id = b
+         WHERE xa >= 0.8 * ta.t - 1e-6 AND xb >= 0.8 * tb.t - 1e-6),
+both_ AS (SELECT a, b, g, sum(xa) AS xa, sum(xb) AS xb FROM (
+            SELECT a, b, g, x AS xa, 0e0 AS xb FROM near JOIN sh ON doc_id = a UNION ALL
+            SELECT a, b, g, 0e0, x FROM near JOIN sh ON doc_id = b) GROUP BY ALL),
+share AS (SELECT i.a, i.b, i.g, 1 / sum(greatest(j.xa / i.xa, j.xb / i.xb)) AS p
+          FROM both_ i JOIN both_ j ON i.a = j.a AND i.b = j.b WHERE i.xa > 0 AND i.xb > 0 GROUP BY ALL),
+link AS (SELECT a, b FROM share GROUP BY a, b HAVING sum(p) >= 0.8 - 1e-9),
+edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach(x, y) AS (SELECT doc_id, doc_id FROM rep UNION SELECT x, b FROM reach JOIN edge ON a = y),
+class AS (SELECT text, min(y) AS class_id FROM reach JOIN rep ON doc_id = x GROUP BY text)
+SELECT doc_id, coalesce(class_id, doc_id) AS class_id, doc_id = coalesce(class_id, doc_id) AS kept
+FROM w LEFT JOIN class ON class.text = w.text
+"""
