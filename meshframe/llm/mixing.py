@@ -94,7 +94,7 @@ def _fill(lumps: DataFrame, thresholds: DataFrame, n_sources: int) -> DataFrame:
     comes nearer than none. A source has at most 8 * 63 candidates.
     """
     side = broadcast_if_small(thresholds.withColumnRenamed("source", "_s"), n_sources, 64)
-    power = F.floor(F.log2("size")).cast("int")
+    power = F.length(F.bin("size"))
     candidates = (
         lumps.join(side, F.col("source").eqNullSafe(F.col("_s")))
         .where((F.col("hash") >= F.col("threshold")) & (F.col("size") > 0) & (F.col("size") < 2 * F.col("rest")))
@@ -128,13 +128,13 @@ def mix(records: DataFrame, source: Column, size: Column, key: Column, weights:
     A source takes all its records as often as its target holds it whole, and once more those below a
     hash threshold. Thresholds come from nested histograms; nothing is sorted. Records whose ``key`` and
     source are equal share one hash and are taken alike. A null source is a source of its own; records
-    of size 0 are taken as often as the whole source; an empty table gives none. ``key`` decides the
-    order, so reruns agree. The records are read twice, once for their sums and once to be marked, and never
+    of size 0 are taken as often as the whole source, or once more; an empty table gives none. ``key``, a
+    string, decides the order, so reruns agree. The records are read twice, once for their sums and once to be marked, and never
     shuffled.
     """
     sized = records.withColumns({
         "_source": source, "size": size.cast("bigint"),
-        "_hash": F.shiftrightunsigned(F.xxhash64(key), 64 - _HASH_BITS),
+        "_hash": F.conv(F.substring(F.md5(F.coalesce(key, F.lit("")).cast("binary")), 1, _HASH_BITS // 4), 16, 10).cast("bigint"),
     })
     lumps = sized.groupBy(F.col("_source").alias("source"), F.col("_hash").alias("hash")).agg(F.sum("size").alias("size"))
     lumps = pin(lumps)
@@ -151,7 +151,8 @@ def mix(records: DataFrame, source: Column, size: Column, key: Column, weights:
         .join(_fill(lumps, thresholds, n), F.col("source").eqNullSafe(F.col("_s")), "left")
         .select(F.col("source").alias("_s"), "source_size", "target", "whole", "threshold", "picks")
     )
-    more = (F.col("_hash") < F.col("threshold")) | F.coalesce(F.array_contains("picks", F.col("_hash")), F.lit(False))
+    below = (F.col("_hash") < F.col("threshold")) | F.coalesce(F.array_contains("picks", F.col("_hash")), F.lit(False))
+    more = below & (F.col("whole") < most)
     return (
         sized.drop("source_size", "target", "copies")
         .join(broadcast_if_small(plan, n, 1024), F.col("_source").eqNullSafe(F.col("_s")))
@@ -160,10 +161,54 @@ def mix(records: DataFrame, source: Column, size: Column, key: Column, weights:
     )
 
 
+def document_key(doc_id: str, text: str) -> Column:
+    """What tells documents apart that share an id, or have none."""
+    return F.concat_ws("|", F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.coalesce(F.md5(F.col(text).cast("binary")), F.lit("")))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with the words that the mix takes of each; a document is taken whole, up to twice."""
     docs = table(spark, sf_dir, "documents").select(
-        "doc_id", "source", F.size(words("text")).alias("_words"), F.xxhash64("text").alias("_text"))
-    mixed = mix(docs, F.col("source"), F.col("_words"), F.struct("doc_id", "_text"))
+        "doc_id", "source", F.size(words("text")).alias("_words"), document_key("doc_id", "text").alias("_key"))
+    mixed = mix(docs, F.col("source"), F.col("_words"), F.col("_key"))
     return mixed.select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source")
+
+
+OP2_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    ('0x' || left(md5(coalesce(doc_id::VARCHAR, '') || '|' || coalesce(md5(text), '')), 15))::BIGINT AS h FROM documents),
+lump AS (SELECT source, h, sum(size)::BIGINT AS size FROM d GROUP BY ALL),
+src AS (SELECT source, sum(size)::BIGINT AS ss, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w
+        FROM lump GROUP BY source),
+levels AS (SELECT 2e0 * ss / w AS b, row_number() OVER o AS k,
+    ((SELECT sum(ss) FROM src) * 1.5e0 - coalesce(sum(2 * ss) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS unit
+  FROM src WINDOW o AS (ORDER BY 2e0 * ss / w, source)),
+unit AS (SELECT arg_min(unit, k) AS unit FROM levels WHERE unit <= b),
+goal AS (SELECT source, ss, least(unit * w, 2e0 * ss) AS target FROM src, unit),
+plan AS (SELECT *, CASE WHEN ss > 0 THEN floor(target / ss) ELSE 0 END AS whole FROM goal),
+ranked AS (SELECT lump.*, target - whole * ss AS rest, whole, sum(size) OVER (PARTITION BY lump.source ORDER BY h) AS upto
+           FROM lump JOIN plan ON lump.source IS NOT DISTINCT FROM plan.source),
+left_ AS (SELECT source, max(rest) - coalesce(max(upto) FILTER (upto <= rest), 0) AS r FROM ranked GROUP BY source),
+cand AS (SELECT ranked.source, length(bin(size)) AS p, min(h) AS h, arg_min(size, h) AS size, max(r) AS r
+  FROM ranked JOIN left_ ON ranked.source IS NOT DISTINCT FROM left_.source
+  WHERE upto > rest AND size > 0 AND size < 2 * r GROUP BY ranked.source, length(bin(size)), h % 8),
+queue AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY p DESC, h DESC) AS i FROM cand),
+fold(source, i, h, fits, r) AS (
+  SELECT DISTINCT source, 0::BIGINT, NULL::BIGINT, false, r FROM cand UNION ALL
+  SELECT f.source, q.i, q.h, q.size <= f.r, f.r - CASE WHEN q.size <= f.r THEN q.size ELSE 0 END
+  FROM fold f JOIN queue q ON q.source IS NOT DISTINCT FROM f.source AND q.i = f.i + 1),
+final AS (SELECT source, arg_max(r, i) AS r FROM fold GROUP BY source),
+spare AS (SELECT q.source, q.h, row_number() OVER (PARTITION BY q.source ORDER BY abs(q.size - final.r), q.h) AS n
+  FROM queue q JOIN final ON q.source IS NOT DISTINCT FROM final.source
+  WHERE q.size < 2 * final.r AND NOT EXISTS (
+    SELECT 1 FROM fold WHERE fold.source IS NOT DISTINCT FROM q.source AND fold.h = q.h AND fits)),
+pick AS (SELECT source, h FROM fold WHERE fits UNION ALL SELECT source, h FROM spare WHERE n = 1),
+often AS (SELECT source, h, whole + CASE WHEN whole < 2 AND (upto <= rest OR EXISTS (
+    SELECT 1 FROM pick WHERE pick.source IS NOT DISTINCT FROM ranked.source AND pick.h = ranked.h)) THEN 1 ELSE 0 END AS copies FROM ranked)
+SELECT doc_id, size, ss AS source_size, target, (size * copies)::BIGINT AS taken, d.source
+FROM d JOIN plan ON d.source IS NOT DISTINCT FROM plan.source
+JOIN often ON d.source IS NOT DISTINCT FROM often.source AND d.h = often.h
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from meshframe.llm.bpe import op5_byte_bpe
 from meshframe.llm.embeddings import OP1_SQL, op1_embedding_dedup
 from meshframe.llm.minhash import OP10_SQL, op10_near_dedup
-from meshframe.llm.mixing import op2_mixing
+from meshframe.llm.mixing import OP2_SQL, op2_mixing
 from meshframe.llm.pii import op6_pii
 from meshframe.llm.quality import op9_quality
 from meshframe.llm.sharding import op8_sharding
@@ -27,6 +27,7 @@ QUERIES = {
 }
 ORACLE = {
     "op1_embedding_dedup": OP1_SQL,
+    "op2_mixing": OP2_SQL,
     "op4_substring_dedup": OP4_SQL,
     "op7_url_filter": OP7_SQL,
     "op10_near_dedup": OP10_SQL,

@@ -118,7 +118,7 @@ def test_quality_edges(spark):
 
 def mixed(spark, rows):
     df = spark.createDataFrame(rows, "doc_id long, source string, n int, size string")
-    return mixing.mix(df, F.col("source"), F.col("n"), F.col("doc_id"))
+    return mixing.mix(df, F.col("source"), F.col("n"), F.col("doc_id").cast("string"))
 
 
 def test_mix_meets_targets(spark):
