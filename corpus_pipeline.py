@@ -45,8 +45,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as often as the mix takes them: a row for each time."""
-    rows = docs.select(F.struct("*").alias("row"), "source", F.size(words("text")).alias("n"), F.struct(
-        "doc_id", F.xxhash64("text").alias("t")).alias("key"))
+    rows = docs.select(F.struct("*").alias("row"), "source", F.size(words("text")).alias("n"),
+                       mixing.document_key("doc_id", "text").alias("key"))
     mixed = mixing.mix(rows, F.col("source"), F.col("n"), F.col("key"))
     return mixed.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
