@@ -146,22 +146,26 @@ def _tally(pattern: str):
     return run
 
 
-def frequent_words(docs: DataFrame, text: str, pattern: str, most: int = HOT_WORDS) -> DataFrame:
-    """Up to ``most`` of the most frequent words of all texts with their counts, as far as tasks noticed them.
+def word_counts(docs: DataFrame, text: str, pattern: str) -> DataFrame:
+    """Words of all texts with their counts, as far as tasks noticed them."""
+    tallied = docs.select(text).mapInArrow(_tally(pattern), "word string, n long")
+    return tallied.groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def frequent_words(counts: DataFrame, most: int = HOT_WORDS) -> DataFrame:
+    """Up to ``most`` of the most frequent words with their counts.
 
     They decide only which words need no shuffle, not what any text becomes. The cut comes from a histogram of
     the counts' magnitudes, so nothing is sorted and no task gathers the words.
     """
-    counts = docs.select(text).mapInArrow(_tally(pattern), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    counts = counts.withColumn("magnitude", F.floor(F.log(F.col("n").cast("double")) * 16).cast("int")).persist()
+    counts = counts.withColumn("magnitude", F.floor(F.log(F.col("n").cast("double")) * 16).cast("int"))
     room, cut = most, None
     for row in sorted(counts.groupBy("magnitude").count().collect(), reverse=True):
         room -= row["count"]
         if room < 0:
             break
         cut = row["magnitude"]
-    hot = counts.where(F.col("magnitude") >= (cut if cut is not None else 1 << 30)).select("word", "n")
-    return hot
+    return counts.where(F.col("magnitude") >= (cut if cut is not None else 1 << 30)).select("word", "n")
 
 
 def _encode_words(shared):
@@ -364,9 +368,10 @@ def encode_decode(docs: DataFrame, ranks_path: str, key: str = "doc_id", text: s
     spark = docs.sparkSession
     with open(ranks_path, "rb") as f:
         shared = spark.sparkContext.broadcast(f.read())
-    frequent = frequent_words(docs, text, pattern)
-    hot = spark.sparkContext.broadcast(HotWords(
-        frequent.mapInArrow(_encode_words(shared), "word string, n long, ids array<int>").toArrow()))
+    counts = word_counts(docs, text, pattern).persist()
+    encoded = frequent_words(counts).mapInArrow(_encode_words(shared), "word string, n long, ids array<int>")
+    hot = spark.sparkContext.broadcast(HotWords(encoded.toArrow()))
+    counts.unpersist()
     rows = docs.select(
         F.xxhash64(key, text).alias("d"), F.hash(key, text).alias("d2"), F.col(text).alias("text"), F.col(key).alias(key))
     key_field = rows.schema[key]
