@@ -30,9 +30,9 @@ def resize_weights(src: int, dst: int) -> np.ndarray:
 
 
 def _prepared(pixels: np.ndarray, size: tuple[int, int], mean: np.ndarray, std: np.ndarray) -> np.ndarray:
-    """One image (h, w, 3) resized, rounded to whole levels, scaled, normalized, channel-first."""
-    down, across = resize_weights(pixels.shape[0], size[0]), resize_weights(pixels.shape[1], size[1])
-    planes = down @ pixels.transpose(2, 0, 1) @ across.T
+    """Images of one size (n, h, w, 3) resized, rounded to whole levels, scaled, normalized, channel-first."""
+    down, across = resize_weights(pixels.shape[1], size[0]), resize_weights(pixels.shape[2], size[1])
+    planes = down @ pixels.transpose(0, 3, 1, 2) @ across.T
     levels = np.floor(planes + 0.5).clip(0, 255) / 255.0
     return ((levels - mean[:, None, None]) / std[:, None, None]).astype(np.float32)
 
@@ -46,19 +46,28 @@ def prepare_images(df: DataFrame, size: tuple[int, int] = ENCODER_SIZE, mean: Se
     it gets one (h, w, 3) image and returns a (c, h, w) array.
     """
     means, stds = np.asarray(mean, dtype=np.float64), np.asarray(std, dtype=np.float64)
-    prepare = transform or (lambda pixels: _prepared(pixels.astype(np.float64), size, means, stds))
+
+    def prepare(images: list[np.ndarray]) -> list[np.ndarray]:
+        """The images prepared, those of one size together."""
+        if transform:
+            return [np.asarray(transform(im), dtype=np.float32) for im in images]
+        out: list[np.ndarray] = [None] * len(images)
+        for shape in {im.shape for im in images}:
+            places = [i for i, im in enumerate(images) if im.shape == shape]
+            for i, ready in zip(places, _prepared(np.stack([images[i] for i in places]).astype(np.float64), size, means, stds)):
+                out[i] = ready
+        return out
+
     key_type = df.schema[key].dataType.simpleString()
 
     def run(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for record in records:
             for start in range(0, record.num_rows, _IMAGES_PER_BATCH):
                 part = record.slice(start, _IMAGES_PER_BATCH)
-                images = [
-                    np.asarray(prepare(np.frombuffer(data, np.uint8).reshape(h, w, 3)), dtype=np.float32)
-                    for data, h, w in zip(
-                        part.column("data").to_pylist(), part.column("height").to_pylist(), part.column("width").to_pylist()
-                    )
-                ]
+                images = prepare([
+                    np.frombuffer(data, np.uint8).reshape(h, w, 3)
+                    for data, h, w in zip(*(part.column(c).to_pylist() for c in ("data", "height", "width")))
+                ])
                 shapes = np.array([im.shape for im in images], dtype=np.int32).reshape(-1, 3)
                 ends = np.concatenate([[0], np.cumsum([im.size for im in images])]).astype(np.int32)
                 flat = np.concatenate([im.reshape(-1) for im in images]) if images else np.zeros(0, np.float32)
