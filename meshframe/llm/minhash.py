@@ -243,12 +243,17 @@ def _block_links(placed: DataFrame, sets: DataFrame, threshold: float) -> DataFr
         .dropDuplicates(["id"]))
     entry = F.struct("id", "component", "shingles", "weights")
 
+    def sizes(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("region").agg(F.ceil(F.sum(F.length("shingles") + 64) / _BLOCK_BYTES).alias("blocks"))
+
     def blocks(rows: DataFrame, out: str) -> DataFrame:
-        count = rows.groupBy("region").agg(F.ceil(F.sum(F.length("shingles") + 64) / _BLOCK_BYTES).alias("blocks"))
-        return rows.join(count, "region").groupBy("region", F.pmod(F.xxhash64("id"), "blocks").alias("block")).agg(
-            F.collect_list(entry).alias(out)).drop("block")
+        return salted_join(rows, sizes(rows), ["region"], "id").groupBy("region", F.pmod(F.xxhash64("id"), "blocks").alias("block")).agg(
+            F.collect_list(entry).alias(out))
 
-    pairs = blocks(texts.where("stray"), "strays").join(blocks(texts, "others"), "region")
+    # Each block of strays goes to every block of its region, so that a large region is dealt over many tasks.
+    spread = blocks(texts.where("stray"), "strays").drop("block").join(sizes(texts), "region").select(
+        "region", "strays", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"))
+    pairs = spread.join(blocks(texts, "others"), ["region", "block"])
     return pairs.select("strays", "others").mapInArrow(_block_similar(threshold), "a long, b long, similarity double").distinct()
 
 
