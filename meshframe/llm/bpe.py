@@ -29,7 +29,7 @@ HOT_WORDS = 1 << 19
 # A task's tally of words is pruned of the rarest beyond this many.
 TALLY_WORDS = 1_000_000
 # Words that a task has seen less often are no candidates for the frequent ones.
-LOCAL_TIMES = 3
+LOCAL_TIMES = 2
 # Rare occurrences of a partition that are put together by text before they go back.
 BACK_ROWS = 400_000
 _CHUNK_BYTES = 1 << 21
