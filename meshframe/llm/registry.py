@@ -6,6 +6,7 @@ from meshframe.llm.bpe import op5_byte_bpe
 from meshframe.llm.embeddings import OP1_SQL, op1_embedding_dedup
 from meshframe.llm.minhash import OP10_SQL, op10_near_dedup
 from meshframe.llm.mixing import OP2_SQL, op2_mixing
+from meshframe.llm.pieces import op12_sentencepiece
 from meshframe.llm.pii import op6_pii
 from meshframe.llm.quality import op9_quality
 from meshframe.llm.sharding import op8_sharding
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_quality": op9_quality,
     "op10_near_dedup": op10_near_dedup,
+    "op12_sentencepiece": op12_sentencepiece,
 }
 ORACLE = {
     "op1_embedding_dedup": OP1_SQL,
