@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from meshframe.llm.alignment import op13_alignment
 from meshframe.llm.bpe import op5_byte_bpe
 from meshframe.llm.embeddings import OP1_SQL, op1_embedding_dedup
 from meshframe.llm.minhash import OP10_SQL, op10_near_dedup
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_near_dedup": op10_near_dedup,
     "op12_sentencepiece": op12_sentencepiece,
+    "op13_alignment": op13_alignment,
 }
 ORACLE = {
     "op1_embedding_dedup": OP1_SQL,
