@@ -13,6 +13,7 @@ from meshframe.llm.quality import op9_quality
 from meshframe.llm.sharding import op8_sharding
 from meshframe.llm.substring import OP4_SQL, op4_substring_dedup
 from meshframe.llm.tokens import op3_token_count
+from meshframe.llm.trie import OP11_SQL, op11_prefix_trie
 from meshframe.llm.url_filter import OP7_SQL, op7_url_filter
 
 QUERIES = {
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_quality": op9_quality,
     "op10_near_dedup": op10_near_dedup,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_sentencepiece": op12_sentencepiece,
     "op13_alignment": op13_alignment,
 }
@@ -35,4 +37,5 @@ ORACLE = {
     "op4_substring_dedup": OP4_SQL,
     "op7_url_filter": OP7_SQL,
     "op10_near_dedup": OP10_SQL,
+    "op11_prefix_trie": OP11_SQL,
 }
