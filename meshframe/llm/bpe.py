@@ -6,16 +6,17 @@ import base64
 import re
 import unicodedata
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
-from itertools import repeat
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,14 +25,11 @@ from meshframe.llm.common import table
 from meshframe.llm.wordhash import chunks
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-# Frequent words whose ids are sent to all workers: a fixed bound of some 20 MB.
-HOT_WORDS = 1 << 19
-# A task's tally of words is pruned of the rarest beyond this many.
-TALLY_WORDS = 1_000_000
-# Words that a task has seen less often are no candidates for the frequent ones.
-LOCAL_TIMES = 2
-# Rare occurrences of a partition that are put together by text before they go back.
-BACK_ROWS = 400_000
+# Neighbouring texts whose words are shuffled once for all of them: until they have so many bytes or different words.
+SLICE_BYTES = 16 << 20
+SLICE_WORDS = 1 << 19
+# Ids of so many words are remembered within a bucket of words; a bucket with more encodes some of them again.
+KNOWN_WORDS = 1 << 20
 _CHUNK_BYTES = 1 << 21
 
 # The splitting pattern knows letters, numbers and white space; the latter in Unicode's definition.
@@ -129,77 +127,11 @@ def encode_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-def _tally(pattern: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, seen = splitter(pattern), Counter()
-        for batch in batches:
-            for t in batch.column(0):
-                seen.update(split(t.as_py()))
-            if len(seen) > TALLY_WORDS:
-                seen = Counter({w: n for w, n in seen.items() if n >= LOCAL_TIMES})
-        often = [(w, n) for w, n in seen.items() if n >= LOCAL_TIMES]
-        for i in range(0, len(often), 50_000):
-            part = often[i:i + 50_000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([w for w, _ in part], pa.string()), pa.array([n for _, n in part], pa.int64())], names=["word", "n"])
-
-    return run
-
-
-def word_counts(docs: DataFrame, text: str, pattern: str) -> DataFrame:
-    """Words of all texts with their counts, as far as tasks noticed them."""
-    tallied = docs.select(text).mapInArrow(_tally(pattern), "word string, n long")
-    return tallied.groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def frequent_words(counts: DataFrame, most: int = HOT_WORDS) -> DataFrame:
-    """Up to ``most`` of the most frequent words with their counts.
-
-    They decide only which words need no shuffle, not what any text becomes. The cut comes from a histogram of
-    the counts' magnitudes, so nothing is sorted and no task gathers the words.
-    """
-    counts = counts.withColumn("magnitude", F.floor(F.log(F.col("n").cast("double")) * 16).cast("int"))
-    room, cut = most, None
-    for row in sorted(counts.groupBy("magnitude").count().collect(), reverse=True):
-        room -= row["count"]
-        if room < 0:
-            break
-        cut = row["magnitude"]
-    return counts.where(F.col("magnitude") >= (cut if cut is not None else 1 << 30)).select("word", "n")
-
-
-def _encode_words(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = rank_table(shared.value)
-        for batch in batches:
-            ids = [encode_word(w.encode(), ranks) for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], names=["word", "n", "ids"])
-
-    return run
-
-
-class HotWords:
-    """Frequent words, numbered from 1 by falling frequency, with their ids behind one another."""
-
-    def __init__(self, rows: pa.Table):
-        rows = rows.sort_by([("n", "descending"), ("word", "ascending")]).combine_chunks()
-        self.code = {w: i + 1 for i, w in enumerate(rows.column("word").to_pylist())}
-        ids = rows.column("ids")
-        self.length = np.concatenate([[0], *(x.value_lengths().to_numpy(zero_copy_only=False) for x in ids.chunks)]).astype(np.int64)
-        self.ids = np.concatenate([np.empty(0, np.int32), *(x.flatten().to_numpy(zero_copy_only=False) for x in ids.chunks)])
-
-
-def _packed_sizes(codes: np.ndarray) -> np.ndarray:
-    """Bytes that each number takes when packed."""
+def _pack(codes: np.ndarray) -> bytes:
+    """Numbers in seven-bit groups, low ones first, so small ones take one byte."""
     size = np.ones(len(codes), np.int64)
     for g in range(1, 5):
         size += codes >= 1 << (7 * g)
-    return size
-
-
-def _pack(codes: np.ndarray) -> bytes:
-    """Numbers in seven-bit groups, low ones first, so small ones take one byte."""
-    size = _packed_sizes(codes)
     groups = int(size.max(initial=1))
     out = np.zeros((len(codes), groups), np.uint8)
     for g in range(groups):
@@ -221,174 +153,188 @@ def _unpack(body: bytes) -> np.ndarray:
     return codes
 
 
-def _split_docs(pattern: str, hot, key: str, key_type: pa.DataType):
-    names = ["k", "d", "d2", "at", "word", "body", key]
+class _Codes(dict):
+    """Numbers of words in the order in which they first occur, so frequent words tend to get small ones."""
+
+    def __missing__(self, word: str) -> int:
+        out = self[word] = len(self)
+        return out
+
+
+class _Slice:
+    """Neighbouring texts as numbers of words, and their different words by bucket."""
+
+    def __init__(self, part: int):
+        self.codes, self.bodies, self.bytes = _Codes(), [], 0
+        # The id tells slices with other rows apart, should a lost task be run again over rows in another order.
+        self.digest = xxhash.xxh3_64(part.to_bytes(8, "little"))
+
+    def add(self, keys: pa.Array, texts: list[str | None], split: Splitter) -> None:
+        found = [list(map(self.codes.__getitem__, split(t))) for t in texts]
+        sizes = np.fromiter(map(len, found), np.int32, len(found))
+        flat = np.fromiter(chain.from_iterable(found), np.int64, int(sizes.sum()))
+        self.bodies.append((keys, sizes, zlib.compress(_pack(flat), 6)))
+        for t in texts:
+            self.digest.update(b"-" if t is None else t.encode())
+            self.bytes += len(t or "")
+
+    @property
+    def full(self) -> bool:
+        return self.bytes >= SLICE_BYTES or len(self.codes) >= SLICE_WORDS
+
+    def rows(self, buckets: int, key: str, key_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+        names = ["k", "slice", key, "sizes", "body", "words"]
+        number = self.digest.intdigest() - (1 << 63)
+        for keys, sizes, body in self.bodies:
+            yield pa.RecordBatch.from_arrays([
+                pa.array([number]), pa.array([number]), _one(keys), _one(pa.array(sizes)), pa.array([body], pa.binary()),
+                pa.nulls(1, pa.binary())], names=names)
+        raw = [w.encode() for w in self.codes]
+        bucket = np.fromiter(map(xxhash.xxh3_64_intdigest, raw), np.uint64, len(raw)) % np.uint64(buckets)
+        order = np.argsort(bucket, kind="stable")
+        used, first = np.unique(bucket[order], return_index=True)
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        blobs = []
+        for codes in np.split(order, first[1:]) if len(used) else []:
+            numbers = _pack(np.concatenate([[len(codes)], np.diff(codes, prepend=0), size[codes]]))
+            blobs.append(zlib.compress(len(numbers).to_bytes(4, "little") + numbers + b"".join(map(raw.__getitem__, codes.tolist())), 6))
+        n = len(blobs)
+        if n:
+            yield pa.RecordBatch.from_arrays([
+                pa.array(used.astype(np.int64)), pa.array(np.full(n, number)), pa.nulls(n, pa.list_(key_type)), pa.nulls(n, pa.list_(pa.int32())),
+                pa.nulls(n, pa.binary()), pa.array(blobs, pa.binary())], names=names)
+
 
+def _one(values: pa.Array) -> pa.ListArray:
+    """All values as one list."""
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
+def _split_docs(pattern: str, buckets: int, key: str, key_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, get = splitter(pattern), hot.value.code.get
+        split, part = splitter(pattern), TaskContext.get().partitionId() << 32
+        part_of = _Slice(part)
         for batch, texts in chunks(batches, "text", _CHUNK_BYTES):
-            col = lambda name, batch=batch: batch.column(batch.schema.get_field_index(name))
-            d, d2 = col("d").to_numpy(zero_copy_only=False), col("d2").to_numpy(zero_copy_only=False)
-            bodies, words, places, owners = [], [], [], []
-            for i, t in enumerate(texts):
-                found = split(t)
-                codes = np.array(list(map(get, found, repeat(0))), np.int64)
-                holes = np.flatnonzero(codes == 0)
-                words += [found[j] for j in holes]
-                places.append(holes)
-                owners.append(np.full(len(holes), i))
-                bodies.append(zlib.compress(_pack(codes), 1))
-            owner = np.concatenate(owners)
-            n, m = len(texts), len(owner)
-            words_column = pa.array(words, pa.string())
-            yield pa.RecordBatch.from_arrays([
-                pa.array(d), pa.array(d), pa.array(d2), pa.array(np.full(n, -1, np.int32)), pa.nulls(n, pa.string()),
-                pa.array(bodies, pa.binary()), col(key)], names=names)
-            if m:
-                yield pa.RecordBatch.from_arrays([
-                    pa.nulls(m, pa.int64()), pa.array(d[owner]), pa.array(d2[owner]), pa.array(np.concatenate(places).astype(np.int32)),
-                    words_column, pa.nulls(m, pa.binary()), pa.nulls(m, key_type)], names=names)
+            part_of.add(batch.column(batch.schema.get_field_index(key)), texts, split)
+            if part_of.full:
+                yield from part_of.rows(buckets, key, key_type)
+                part += 1
+                part_of = _Slice(part)
+        if part_of.bodies:
+            yield from part_of.rows(buckets, key, key_type)
 
     return run
 
 
-def _by_text(d: np.ndarray, d2: np.ndarray, at: np.ndarray, ids: list[np.ndarray]) -> pa.RecordBatch:
-    """Occurrences of rare words put together by text: packed numbers, namely d2, how many there are, their places,
-    their numbers of ids, and all ids."""
-    order = np.lexsort((d2, d))
-    d, d2, at = d[order], d2[order], at[order]
-    length = np.array([len(ids[i]) for i in order])
-    flat = np.concatenate([ids[i] for i in order])
-    new = np.ones(len(d), bool)
-    new[1:] = (d[1:] != d[:-1]) | (d2[1:] != d2[:-1])
-    first = np.flatnonzero(new)
-    many = np.diff(np.append(first, len(d)))
-    total = np.add.reduceat(length, first)
-    size = 2 + 2 * many + total
-    start = np.cumsum(size) - size
-    of = np.repeat(np.arange(len(first)), many)
-    place = start[of] + 2 + np.arange(len(d)) - first[of]
-    numbers = np.empty(size.sum(), np.int64)
-    numbers[start] = d2[first].astype(np.int64) & 0xFFFFFFFF
-    numbers[start + 1] = many
-    numbers[place] = at
-    numbers[place + many[of]] = length
-    numbers[np.repeat(start + 2 + 2 * many - np.cumsum(total) + total, total) + np.arange(len(flat))] = flat
-    bounds = np.concatenate([[0], np.cumsum(_packed_sizes(numbers))])[np.append(start, len(numbers))]
-    packed = _pack(numbers)
-    blobs = [packed[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
-    return pa.RecordBatch.from_arrays([pa.array(d[first]), pa.array(blobs, pa.binary())], names=["owner", "found"])
-
-
-def _encode_rare(shared):
-    """Ids of each rare word, sent back by text."""
+def _encode_words(shared):
+    """The different words of each slice that fall into a bucket: their numbers, how many ids each has, and the ids."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # All occurrences of a word are in this partition, so it is encoded once.
-        ranks, known = rank_table(shared.value), {}
-        columns, tails = ([], [], []), []
+        # All slices' words of a bucket follow each other in this partition, so each word is encoded once.
+        ranks, known, bucket = rank_table(shared.value), {}, None
         for batch in batches:
-            words = batch.column(batch.schema.get_field_index("word"))
-            part = batch.filter(words.is_valid())
-            if not part.num_rows:
-                continue
-            for w in part.column(part.schema.get_field_index("word")).to_pylist():
-                x = known.get(w)
-                if x is None:
-                    x = known[w] = np.array(encode_word(w.encode(), ranks), np.int32)
-                tails.append(x)
-            for values, name in zip(columns, ("d", "d2", "at")):
-                values.append(part.column(part.schema.get_field_index(name)).to_numpy(zero_copy_only=False))
-            if len(tails) >= BACK_ROWS:
-                yield _by_text(*map(np.concatenate, columns), tails)
-                columns, tails = ([], [], []), []
-        if tails:
-            yield _by_text(*map(np.concatenate, columns), tails)
+            col = lambda name, batch=batch: batch.column(batch.schema.get_field_index(name))
+            slices, out = [], []
+            for k, number, blob in zip(col("k").to_pylist(), col("slice").to_pylist(), col("words")):
+                if not blob.is_valid:
+                    continue
+                if k != bucket or len(known) > KNOWN_WORDS:
+                    known, bucket = {}, k
+                raw = zlib.decompress(blob.as_py())
+                at = 4 + int.from_bytes(raw[:4], "little")
+                numbers = _unpack(raw[4:at])
+                n = int(numbers[0])
+                ids = []
+                for size in numbers[1 + n:].tolist():
+                    w = raw[at:at + size]
+                    at += size
+                    x = known.get(w)
+                    if x is None:
+                        x = known[w] = encode_word(w, ranks)
+                    ids.append(x)
+                counts = np.fromiter(map(len, ids), np.int64, n)
+                flat = np.fromiter(chain.from_iterable(ids), np.int64, int(counts.sum()))
+                slices.append(number)
+                out.append(zlib.compress(_pack(np.concatenate([numbers[:1 + n], counts, flat])), 6))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(slices), pa.array(out, pa.binary())], names=["of", "found"])
 
     return run
 
 
-def _assemble(shared, hot, key: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, words = piece_table(shared.value), hot.value
-        ends = np.cumsum(words.length)
-        for batch, bodies in chunks(batches, "body", _CHUNK_BYTES):
-            rows = np.flatnonzero([b is not None for b in bodies])
-            if not len(rows):
-                continue
-            part = batch.take(pa.array(rows))
-            col = lambda name, part=part: part.column(part.schema.get_field_index(name))
-            codes = [_unpack(zlib.decompress(bodies[i])) for i in rows]
-            # Rare words of these texts get codes behind the frequent ones.
-            rare, rare_length, next_code = [], [], len(words.length)
-            found = [x or [] for x in col("found").to_pylist()]
-            packed = [x for blobs in found for x in blobs]
-            numbers = _unpack(b"".join(packed))
-            # Numbers of a blob end where its bytes do.
-            ends_of = np.cumsum([0, *map(len, packed)])
-            stops = iter(np.searchsorted(np.flatnonzero(np.frombuffer(b"".join(packed), np.uint8) < 128), ends_of).tolist())
-            low = next(stops)
-            for c, d2, blobs in zip(codes, col("d2").to_pylist(), found):
-                for _ in blobs:
-                    part_of, low = numbers[low:(high := next(stops))], high
-                    if part_of[0] == d2 & 0xFFFFFFFF:
-                        m = int(part_of[1])
-                        c[part_of[2:2 + m]] = np.arange(next_code, next_code + m)
-                        rare_length.append(part_of[2 + m:2 + 2 * m])
-                        rare.append(part_of[2 + 2 * m:])
-                        next_code += m
-            length = np.concatenate([words.length, *rare_length])
-            all_ids = np.concatenate([words.ids, *rare]).astype(np.int32)
-            start = np.concatenate([ends - words.length, len(words.ids) + np.cumsum(length[len(ends):]) - length[len(ends):]])
-            flat = np.concatenate(codes)
-            size = length[flat]
-            first = np.cumsum(size) - size
-            ids = all_ids[np.repeat(start[flat] - first, size) + np.arange(size.sum())]
-            bounds = np.concatenate([[0], np.cumsum(size)])[np.cumsum([0, *map(len, codes)])]
-            listed = ids.tolist()
-            decoded = [b"".join(map(pieces.__getitem__, listed[a:b])) for a, b in zip(bounds[:-1], bounds[1:])]
-            yield pa.RecordBatch.from_arrays([
-                col(key), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids)), pa.array(decoded, pa.binary()),
-            ], names=[key, "ids", "decoded"])
+def _assemble(shared, key: str, fields: T.StructType):
+    def run(docs: pa.Table, words: pa.Table) -> pa.Table:
+        bodies = [i for i, b in enumerate(docs.column("body")) if b.is_valid]
+        if not bodies:
+            return pa.Table.from_batches([], schema=pa.schema([
+                pa.field(key, docs.schema.field(key).type.value_type), ("ids", pa.list_(pa.int32())), ("decoded", pa.binary())]))
+        # Where each word's ids start in ``flat`` and how many they are, by the word's number.
+        codes, counts, flats = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for blob in words.column("found"):
+            numbers = _unpack(zlib.decompress(blob.as_py()))
+            n = int(numbers[0])
+            codes.append(np.cumsum(numbers[1:1 + n]))
+            counts.append(numbers[1 + n:1 + 2 * n])
+            flats.append(numbers[1 + 2 * n:])
+        codes, counts, flat = map(np.concatenate, (codes, counts, flats))
+        length, start = np.zeros((2, int(codes.max(initial=-1)) + 1), np.int64)
+        length[codes], start[codes] = counts, np.cumsum(counts) - counts
+        if len(codes) != len(length):
+            raise RuntimeError("the words of a slice are not complete: its rows came in another order when a task was run again")
+        pieces = piece_table(shared.value)
+        piece_size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        piece_start, piece_bytes = np.cumsum(piece_size) - piece_size, np.frombuffer(b"".join(pieces), np.uint8)
+        keys, out_ids, out_bytes = [], [], []
+        for i in bodies:
+            of = _unpack(zlib.decompress(docs.column("body")[i].as_py()))
+            sizes = docs.column("sizes")[i].values.to_numpy(zero_copy_only=False)
+            ids = flat[_spans(start[of], length[of])]
+            # Decoding: a join of the ids with the table of token bytes.
+            decoded = piece_bytes[_spans(piece_start[ids], piece_size[ids])]
+            of_words = np.concatenate([[0], np.cumsum(length[of])])[np.concatenate([[0], np.cumsum(sizes)])]
+            of_ids = np.concatenate([[0], np.cumsum(piece_size[ids])])[of_words]
+            keys.append(docs.column(key)[i].values)
+            out_ids.append(pa.ListArray.from_arrays(pa.array(of_words.astype(np.int32)), pa.array(ids.astype(np.int32))))
+            out_bytes.append(pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(of_ids.astype(np.int32)), pa.py_buffer(decoded)]))
+        return pa.Table.from_arrays([pa.chunked_array(keys), pa.chunked_array(out_ids), pa.chunked_array(out_bytes)], names=fields.names)
 
     return run
 
 
+def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All places from each start on, as many as its size."""
+    ends = np.cumsum(size)
+    return np.repeat(start - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
+
+
 def encode_decode(docs: DataFrame, ranks_path: str, key: str = "doc_id", text: str = "text",
-                  pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+                  pattern: str = public_tokenizers.PATTERN, buckets: int | None = None) -> DataFrame:
     """Key, ids (array of int) and decoded (the bytes that the ids stand for) of every row.
 
-    Null and empty texts have no ids; special strings are ordinary text; keys may repeat or be null.
+    Null and empty texts have no ids; special strings are ordinary text; keys may repeat or be null, and equal
+    rows give equal rows; no rows give none.
 
-    Texts are cut into words by the pattern. Frequent words (a bounded number) are encoded once and sent to the
-    workers. Every other word is exploded with its position and shuffled by the word, so all
-    its occurrences meet and it is encoded once; its ids go back to the text, whose frequent words have
-    waited as packed codes in the same shuffle, and are put in place by position. Decoding looks ids up in the table
-    of token bytes, which has a fixed size.
+    Texts are cut into words by the pattern. Neighbouring texts form a slice, in which every different word has a number;
+    a text is the row of its words' numbers, so positions stay with it. The different words of all slices are shuffled
+    by the word: each goes once from a slice to the bucket of its hash, and each is encoded once there. Its
+    ids are joined back to the slice, which has been shuffled in the same exchange, and put in place of the numbers. Decoding
+    joins the ids with the table of token bytes, which has a fixed size and is sent to the workers.
     """
     spark = docs.sparkSession
     with open(ranks_path, "rb") as f:
         shared = spark.sparkContext.broadcast(f.read())
-    counts = word_counts(docs, text, pattern).persist()
-    encoded = frequent_words(counts).mapInArrow(_encode_words(shared), "word string, n long, ids array<int>")
-    hot = spark.sparkContext.broadcast(HotWords(encoded.toArrow()))
-    counts.unpersist()
-    rows = docs.select(
-        F.xxhash64(key, text).alias("d"), F.hash(key, text).alias("d2"), F.col(text).alias("text"), F.col(key).alias(key))
+    buckets = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select(F.col(text).alias("text"), F.col(key).alias(key))
     key_field = rows.schema[key]
-    schema = T.StructType([
-        T.StructField("k", T.LongType()), T.StructField("d", T.LongType()), T.StructField("d2", T.IntegerType()),
-        T.StructField("at", T.IntegerType()), T.StructField("word", T.StringType()), T.StructField("body", T.BinaryType()),
-        T.StructField(key, key_field.dataType)])
     from pyspark.sql.pandas.types import to_arrow_type
 
-    # Texts go by their own hash, words by theirs.
-    parts = rows.mapInArrow(_split_docs(pattern, hot, key, to_arrow_type(key_field.dataType)), schema).withColumn(
-        "k", F.coalesce("k", F.hash("word").cast("bigint"))).repartition("k")
-    rare = parts.mapInArrow(_encode_rare(shared), "owner long, found binary").groupBy("owner").agg(
-        F.collect_list("found").alias("found"))
-    joined = parts.join(rare.hint("shuffle_hash"), parts["k"] == rare["owner"], "left").drop("owner")
-    return joined.mapInArrow(_assemble(shared, hot, key), T.StructType([
-        key_field, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())]))
+    schema = T.StructType([
+        T.StructField("k", T.LongType()), T.StructField("slice", T.LongType()), T.StructField(key, T.ArrayType(key_field.dataType)),
+        T.StructField("sizes", T.ArrayType(T.IntegerType())), T.StructField("body", T.BinaryType()), T.StructField("words", T.BinaryType())])
+    # Slices go by their own number, words by their bucket. Both readers below take all columns, so the exchange is one.
+    parts = rows.mapInArrow(_split_docs(pattern, buckets, key, to_arrow_type(key_field.dataType)), schema).repartition("k")
+    found = parts.sortWithinPartitions("k").mapInArrow(_encode_words(shared), "of long, found binary")
+    fields = T.StructType([key_field, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())])
+    return parts.groupBy("k").cogroup(found.groupBy("of")).applyInArrow(_assemble(shared, key, fields), fields)
 
 
 def digests(encoded: DataFrame) -> DataFrame:

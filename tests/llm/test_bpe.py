@@ -49,16 +49,41 @@ def test_packing():
     assert bpe._unpack(bpe._pack(codes[:0])).tolist() == []
 
 
-@pytest.mark.parametrize("hot", [bpe.HOT_WORDS, 5])
-def test_edge_texts(spark, library, hot, monkeypatch):
-    """Also with few frequent words, so that nearly all go through the shuffle."""
-    real = bpe.frequent_words
-    monkeypatch.setattr(bpe, "frequent_words", lambda *a: real(*a, most=hot))
-    texts = TEXTS + noise(300) + ["twice twice"] * 3
-    df = spark.createDataFrame([(i % 300 if i % 7 else None, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, ids string")
-    rows = bpe.encode_decode(df, PATH).collect()
-    expect = sorted((repr(i % 300 if i % 7 else None), library.encode_ordinary(t or ""), (t or "").encode()) for i, t in enumerate(texts))
-    assert sorted((repr(r["doc_id"]), r["ids"], bytes(r["decoded"])) for r in rows) == expect
+def expected(library, pairs):
+    return sorted((repr(k), library.encode_ordinary(t or ""), (t or "").encode()) for k, t in pairs)
+
+
+def got(rows):
+    return sorted((repr(r["doc_id"]), r["ids"], bytes(r["decoded"])) for r in rows.collect())
+
+
+@pytest.mark.parametrize("sizes", [(bpe.SLICE_BYTES, bpe.SLICE_WORDS, bpe.KNOWN_WORDS), (200, 1 << 19, 1 << 20), (1 << 24, 5, 3)])
+@pytest.mark.parametrize("buckets", [None, 1, 1000])
+def test_edge_texts(spark, library, sizes, buckets, monkeypatch):
+    """Also with small slices, few or many buckets and next to no memory of words."""
+    for name, value in zip(("SLICE_BYTES", "SLICE_WORDS", "KNOWN_WORDS"), sizes):
+        monkeypatch.setattr(bpe, name, value)
+    monkeypatch.setattr(bpe, "_CHUNK_BYTES", min(sizes[0], 500))
+    texts = TEXTS + noise(100) + ["twice twice"] * 3
+    pairs = [(i % 60 if i % 7 else None, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame([(*p, "clash") for p in pairs], "doc_id long, text string, ids string")
+    assert got(bpe.encode_decode(df, PATH, buckets=buckets)) == expected(library, pairs)
+
+
+def test_equal_rows_with_many_rare_words(spark, library):
+    rng = random.Random(6)
+    text = " ".join("".join(rng.choice("abcdefgh") for _ in range(9)) for _ in range(300))
+    df = spark.createDataFrame([(None, text)] * 1000, "doc_id long, text string")
+    rows = bpe.encode_decode(df, PATH).groupBy("doc_id", "ids", "decoded").count().collect()
+    assert [(r["doc_id"], r["ids"], r["count"]) for r in rows] == [(None, library.encode_ordinary(text), 1000)]
+
+
+def test_a_megabyte_and_struct_keys(spark, library):
+    rng = random.Random(7)
+    pairs = [(1, "word ing " * 200_000), (2, "".join(rng.choice("abc é1\n") for _ in range(1_000_000))), (3, None)]
+    df = spark.createDataFrame(pairs, "doc_id long, text string").selectExpr("struct(doc_id, 'x' as note) as key", "text")
+    rows = bpe.encode_decode(df, PATH, key="key").collect()
+    assert sorted((repr(r["key"]["doc_id"]), r["ids"], bytes(r["decoded"])) for r in rows) == expected(library, pairs)
 
 
 def test_query(spark, library):
