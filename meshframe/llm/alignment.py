@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import math
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -10,6 +12,8 @@ from itertools import chain
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import sentencepiece
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +21,6 @@ from pyspark.sql import types as T
 
 from meshframe.llm.bpe import encode_word, splitter
 from meshframe.llm.common import pin, table
-from meshframe.llm.pieces import CACHE_STRETCHES, PieceModel, piece_model
 from meshframe.llm.tokens import byte_symbols
 from meshframe.llm.wordhash import chunks
 
@@ -26,13 +29,17 @@ MODEL_B = "piece_bpe_32k.model"
 # Bytes of a stretch of one document that is advanced as a state of its own.
 LANE_BYTES = 512
 # Links of neighbouring documents whose pairs are counted together before they meet those of others.
-SLICE_LINKS = 4_000_000
-_CHUNK_BYTES = 1 << 21
+SLICE_LINKS = 2_000_000
+_CHUNK_BYTES = 1 << 20
 _TALLY_ROWS = 100_000
 
 
-class ByteWords(dict):
-    """Ids of each word of a byte-level vocabulary, filled as words are asked for."""
+# The merging library takes quadratic time for longer words.
+_LONG = re.compile(r"\S{1000}|\s{1000}")
+
+
+class ByteVocabulary:
+    """A byte-level vocabulary: what each id stands for, and the ids of a text, in which special strings are ordinary."""
 
     def __init__(self, raw: bytes):
         spec = json.loads(raw)
@@ -52,32 +59,54 @@ class ByteWords(dict):
             raise ValueError("ids do not follow the order of the merges")
         self.rank = {b: i for i, b in enumerate(self.bytes) if b}
         self.split = splitter(public_tokenizers.PATTERN)
+        self.library = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=self.rank, special_tokens={})
+
+    def encode(self, text: str) -> list[int]:
+        if _LONG.search(text):
+            return list(chain.from_iterable(encode_word(w.encode(), self.rank) for w in self.split(text)))
+        return self.library.encode_ordinary(text)
+
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        out = tuple(encode_word(word.encode(), self.rank))
-        if len(self) < CACHE_STRETCHES:
-            self[word] = out
-        return out
+class PieceVocabulary:
+    """A SentencePiece vocabulary, likewise."""
+
+    def __init__(self, raw: bytes):
+        self.library = sentencepiece.SentencePieceProcessor(model_proto=raw)
+        size = self.library.get_piece_size()
+        self.bytes = [
+            bytes([int(piece[3:5], 16)]) if self.library.is_byte(i)
+            else b"" if self.library.is_control(i) or self.library.is_unknown(i) else piece.replace("\u2581", " ").encode()
+            for i, piece in enumerate(self.library.id_to_piece(list(range(size))))]
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.__getitem__, self.split(text))))
+        return self.library.encode(text)
 
 
-@lru_cache(maxsize=2)
-def byte_words(raw: bytes) -> ByteWords:
-    return ByteWords(raw)
+class Pair:
+    """Both vocabularies of a worker, with the tables that batches are joined with."""
 
+    def __init__(self, raw_a: bytes, raw_b: bytes):
+        self.sides = ByteVocabulary(raw_a), PieceVocabulary(raw_b)
+        self.sizes = [np.fromiter(map(len, v.bytes), np.int64, len(v.bytes)) for v in self.sides]
+        self.count = [len(v.bytes) for v in self.sides]
+        #: Decimal ids with each mark that may follow: A with comma, A with bar, B with comma, B with semicolon.
+        self.marked = [f"{i}{mark}" for n, marks in zip(self.count, (",|", ",;")) for mark in marks for i in range(n)]
 
-def both(text: str | None, a: ByteWords, b: PieceModel) -> tuple[list[int], list[int]]:
-    """Ids of a text by both vocabularies; none where their bytes are not those of a space and the text."""
-    if not text:
-        return [], []
-    spaced = " " + text
-    whole = spaced.encode()
-    left, right = a.encode(spaced), b.encode(text)
-    if b"".join(map(a.bytes.__getitem__, left)) != whole or b"".join(map(b.bytes.__getitem__, right)) != whole:
-        return [], []
-    return left, right
+    def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids by A of a space and the text, and by B of the text; none where their bytes are not those of a space and the text."""
+        spaced = " " + (text or "")
+        whole, out = spaced.encode(), []
+        for vocabulary, t in zip(self.sides, (spaced, text or "")):
+            ids = vocabulary.encode(t) if text else []
+            if text and b"".join(map(vocabulary.bytes.__getitem__, ids)) != whole:
+                ids = []
+            out.append(np.array(ids, np.int32))
+        return (out[0], out[1]) if len(out[0]) and len(out[1]) else (out[0][:0], out[1][:0])
+
+
+@lru_cache(maxsize=2)
+def pair(raw_a: bytes, raw_b: bytes) -> Pair:
+    return Pair(raw_a, raw_b)
 
 
 def lockstep(ends_a: np.ndarray, ends_b: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,28 +142,15 @@ def lanes(sizes: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate([[0], ends, np.arange(0, ends[-1] if len(ends) else 0, LANE_BYTES)]))
 
 
-class Names:
-    """Decimal ids with each mark that may follow, as one list: A with comma, A with bar, B with comma, B with semicolon."""
-
-    def __init__(self, size_a: int, size_b: int):
-        self.a, self.b = size_a, size_b
-        self.texts = [f"{i}{mark}" for n, marks in ((size_a, ",|"), (size_b, ",;")) for mark in marks for i in range(n)]
-
-
-@lru_cache(maxsize=2)
-def names(size_a: int, size_b: int) -> Names:
-    return Names(size_a, size_b)
-
-
-def group_rows(a: np.ndarray, b: np.ndarray, link_a: np.ndarray, link_b: np.ndarray, named: Names) -> np.ndarray:
-    """Places in ``named`` of all tokens: by group, A before B."""
+def group_rows(a: np.ndarray, b: np.ndarray, link_a: np.ndarray, link_b: np.ndarray, count: list[int]) -> np.ndarray:
+    """Places in ``Pair.marked`` of all tokens: by group, A before B."""
     last_a, last_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
     last_a[link_a], last_b[link_b] = 1, 1
     # B tokens in front of each A token are those of the groups before; A tokens in front of a B token also those of its group.
     group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
-    out = np.empty(len(a) + len(b), np.int64)
-    out[np.arange(len(a)) + np.concatenate([[0], link_b + 1])[group_a]] = a + named.a * last_a
-    out[np.arange(len(b)) + (link_a + 1)[group_b]] = b + 2 * named.a + named.b * last_b
+    out = np.empty(len(a) + len(b), np.int32)
+    out[np.arange(len(a)) + np.concatenate([[0], link_b + 1])[group_a]] = a + count[0] * last_a
+    out[np.arange(len(b)) + (link_a + 1)[group_b]] = b + 2 * count[0] + count[1] * last_b
     return out
 
 
@@ -156,17 +172,18 @@ def align(docs: DataFrame, path_a: str, path_b: str, text: str = "text") -> Data
     shared = spark.sparkContext.broadcast(raw)
     others = [c for c in docs.columns if c != text]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in others] or [F.lit(None).alias("none")]).alias("row"), F.col(f"`{text}`").alias("text"))
-    codes = T.ArrayType(T.LongType())
+    # Codes of most vocabularies fit 32 bits.
+    small = _codes(*raw) <= 1 << 31
+    codes, times = T.ArrayType(T.IntegerType() if small else T.LongType()), T.ArrayType(T.LongType())
+    code_type = pa.int32() if small else pa.int64()
     schema = T.StructType([
         rows.schema["row"], T.StructField("slice", T.LongType()), T.StructField("n_a", T.LongType()), T.StructField("n_b", T.LongType()),
         T.StructField("n_groups", T.LongType()), T.StructField("groups", T.StringType()), T.StructField("links", codes),
-        T.StructField("codes", codes), T.StructField("times", codes)])
+        T.StructField("codes", codes), T.StructField("times", times)])
     schema["row"].nullable = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = byte_words(shared.value[0]), piece_model(shared.value[1])
-        long_a, long_b = (np.array(list(map(len, t.bytes)), np.int64) for t in (a, b))
-        named = names(len(a.bytes), len(b.bytes))
+        both = pair(*shared.value)
         part = TaskContext.get().partitionId() << 32
         seen, room = [], SLICE_LINKS
         row_type = None
@@ -175,28 +192,28 @@ def align(docs: DataFrame, path_a: str, path_b: str, text: str = "text") -> Data
             found, times = np.unique(np.concatenate(seen), return_counts=True) if seen else ((), ())
             for i in range(0, len(found), _TALLY_ROWS):
                 columns = [pa.nulls(1, row_type), pa.array([part]), *(pa.nulls(1, pa.int64()) for _ in range(3)), pa.nulls(1, pa.string()),
-                           pa.nulls(1, pa.list_(pa.int64())),
-                           *(_one_list(x[i:i + _TALLY_ROWS]) for x in (found, times))]
+                           pa.nulls(1, pa.list_(code_type)),
+                           *(_one_list(x[i:i + _TALLY_ROWS], t) for x, t in ((found, code_type), (times, pa.int64())))]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
         for batch, texts in chunks(batches, "text", _CHUNK_BYTES):
             row_type = batch.schema.field("row").type
-            ids = [both(t, a, b) for t in texts]
-            sizes = np.array([[len(x), len(y), sum(map(len, map(a.bytes.__getitem__, x)))] for x, y in ids], np.int64)
-            ids_a, ids_b = (np.fromiter(chain.from_iterable(x[k] for x in ids), np.int64, int(sizes[:, k].sum())) for k in (0, 1))
-            link_a, link_b = lockstep(np.cumsum(long_a[ids_a]), np.cumsum(long_b[ids_b]), lanes(sizes[:, 2]))
-            bounds_a, bounds_b = (np.concatenate([[0], np.cumsum(sizes[:, k])]) for k in (0, 1))
+            ids = [both.encode(t) for t in texts]
+            flat = [np.concatenate([x[k] for x in ids]) for k in (0, 1)]
+            bounds_a, bounds_b = (np.cumsum([0, *(len(x[k]) for x in ids)]) for k in (0, 1))
+            ends_a, ends_b = (np.cumsum(both.sizes[k][flat[k]]) for k in (0, 1))
+            link_a, link_b = lockstep(ends_a, ends_b, lanes(np.diff(np.concatenate([[0], ends_a])[bounds_a])))
             bounds = np.searchsorted(link_a, bounds_a)
-            placed = group_rows(ids_a, ids_b, link_a, link_b, named)
+            placed = group_rows(*flat, link_a, link_b, both.count)
             ends = (bounds_a + bounds_b).tolist()
-            groups = ["".join(map(named.texts.__getitem__, placed[lo:hi].tolist()))[:-1] for lo, hi in zip(ends[:-1], ends[1:])]
-            code = ids_a[link_a] * named.b + ids_b[link_b]
+            groups = ["".join(map(both.marked.__getitem__, placed[lo:hi].tolist()))[:-1] for lo, hi in zip(ends[:-1], ends[1:])]
+            code = (flat[0][link_a].astype(np.int64) * both.count[1] + flat[1][link_b]).astype(code_type.to_pandas_dtype())
             n = len(texts)
             yield pa.RecordBatch.from_arrays([
-                batch.column(batch.schema.get_field_index("row")), pa.array(np.full(n, part)), pa.array(sizes[:, 0].copy()), pa.array(sizes[:, 1].copy()),
+                batch.column(batch.schema.get_field_index("row")), pa.array(np.full(n, part)), pa.array(np.diff(bounds_a)), pa.array(np.diff(bounds_b)),
                 pa.array(np.diff(bounds)), pa.array(groups, pa.string()),
                 pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(code)),
-                pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.int64()))], names=schema.names)
+                pa.nulls(n, pa.list_(code_type)), pa.nulls(n, pa.list_(pa.int64()))], names=schema.names)
             seen.append(code)
             room -= len(code)
             if room <= 0:
@@ -207,8 +224,13 @@ def align(docs: DataFrame, path_a: str, path_b: str, text: str = "text") -> Data
     return rows.mapInArrow(run, schema)
 
 
-def _one_list(values: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values.astype(np.int64)))
+def _one_list(values: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
+
+
+def _codes(raw_a: bytes, raw_b: bytes) -> int:
+    """How many codes there can be."""
+    return math.prod(pair(raw_a, raw_b).count)
 
 
 def pair_counts(aligned: DataFrame, n_b_ids: int) -> DataFrame:
@@ -258,8 +280,7 @@ def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     path_b = public_tokenizers.path(MODEL_B)
-    with open(path_b, "rb") as f:
-        n_b_ids = len(piece_model(f.read()).bytes)
+    n_b_ids = sentencepiece.SentencePieceProcessor(model_file=path_b).get_piece_size()
     digest = F.when(F.col("n_a") > 0, F.sha2(F.col("groups").cast("binary"), 256)).otherwise("")
     aligned = pin(align(docs, public_tokenizers.path(MODEL_A), path_b).withColumn("groups_sha256", digest).drop("groups"))
     return link_figures(aligned, n_b_ids).select(

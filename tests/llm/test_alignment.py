@@ -129,26 +129,32 @@ def test_query_on_given_documents(spark, plain):
         assert tuple(r)[1:] == want[r["doc_id"]]
 
 
-def test_a_megabyte_of_text_is_cut_into_lanes(plain):
-    text = "".join(random.Random(5).choice(["the ", "cation", "é", "日本", "xyz, ", "\n"]) for _ in range(300_000))
+def vocabularies():
     with open(PATH_A, "rb") as f, open(PATH_B, "rb") as g:
-        a, b = alignment.byte_words(f.read()), alignment.piece_model(g.read())
-    left, right = alignment.both(text, a, b)
-    size = len(text.encode()) + 1
-    x, y = alignment.lockstep(np.cumsum([len(a.bytes[i]) for i in left]), np.cumsum([len(b.bytes[i]) for i in right]), alignment.lanes(np.array([size])))
-    want = plain.document(text)
-    assert (len(left), len(right), [(left[i], right[j]) for i, j in zip(x, y)]) == (want[0], want[1], want[3])
+        return alignment.pair(f.read(), g.read())
+
+
+def test_a_megabyte_of_text_is_cut_into_lanes(plain):
+    rng = random.Random(5)
+    for text in ("".join(rng.choice(["the ", "cation", "é", "日本", "xyz, ", "\n"]) for _ in range(300_000)),
+                 "".join(rng.choice("abcdeinrst") for _ in range(1_000_000)), " " * 200_000 + "x"):
+        both = vocabularies()
+        left, right = both.encode(text)
+        size = len(text.encode()) + 1
+        x, y = alignment.lockstep(np.cumsum(both.sizes[0][left]), np.cumsum(both.sizes[1][right]), alignment.lanes(np.array([size])))
+        want = plain.document(text)
+        assert (len(left), len(right), list(zip(left[x].tolist(), right[y].tolist()))) == (want[0], want[1], want[3])
 
 
 def test_unfit_vocabularies_are_refused():
     with open(public_tokenizers.path("word_bpe_49k.json"), "rb") as f:
         with pytest.raises((ValueError, KeyError)):
-            alignment.ByteWords(f.read())
+            alignment.ByteVocabulary(f.read())
     with open(PATH_A, "rb") as f:
         spec = json.loads(f.read())
     spec["model"]["merges"].reverse()
     with pytest.raises(ValueError):
-        alignment.ByteWords(json.dumps(spec).encode())
+        alignment.ByteVocabulary(json.dumps(spec).encode())
 
 
 def test_no_rows(spark):
