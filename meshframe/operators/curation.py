@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshframe.operators.numbering import number_rows
+from meshframe.operators.permutation import Permutation, dense_count, permuted
 
 BATCH_SIZE = 190
 LANDMARK_COUNT = 68
@@ -154,6 +155,19 @@ def batches(df: DataFrame, key: str, size: int = BATCH_SIZE, seed: int = 42, epo
     return df.join(numbered, key) if narrow else numbered
 
 
+def permuted_batches(df: DataFrame, ids: str, size: int = BATCH_SIZE, seed: int = 42, epoch: int = 0,
+                     n: int | None = None) -> DataFrame:
+    """Random order per epoch cut into batches, for rows numbered from 0 without gaps (the pair manifest's numbers).
+
+    Batch and slot follow from an id by arithmetic, so rows are neither sorted nor moved, and a sample's place can be told
+    without reading the others. ``n`` saves the aggregate that counts and checks the ids.
+    """
+    place = Permutation(dense_count(df, ids) if n is None else n, seed, epoch)
+    rest = [c for c in df.columns if c not in ("batch", "slot")]
+    return permuted(df, ids, place, "_place").select(
+        *rest, F.expr(f"_place div {size}").alias("batch"), (F.col("_place") % size).cast("int").alias("slot"))
+
+
 def collate(df: DataFrame, cols: Sequence[str], batch: str = "batch", slot: str = "slot") -> DataFrame:
     """One row per batch with arrays aligned by slot; a group never exceeds the batch size."""
     rows = F.sort_array(F.collect_list(F.struct(slot, *cols)))

@@ -4,6 +4,7 @@ rows and recombined by joins and sums, where the Spark side works on arrays."""
 from __future__ import annotations
 
 from meshframe.operators.losses import REGULARIZERS
+from meshframe.operators.permutation import PRIME, Permutation
 from meshframe.operators.quality import INDEX_KEYS
 from meshframe.operators.reporting import TRAINING_STAGES
 
@@ -21,15 +22,35 @@ def r6(text: str, name: str | None = None) -> str:
 
 
 def _with(*parts: str) -> str:
-    return "WITH " + ",\n".join(parts)
+    return "WITH RECURSIVE " + ",\n".join(parts)
 
 
 EMB = "emb AS (SELECT vec_id AS sid, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings)"
 VALS = "vals AS (SELECT sid, label, unnest(range(len(e))) AS i, unnest(e) AS x FROM emb)"
-BATCHED = """numbered AS (
-  SELECT vec_id AS sid, row_number() OVER (ORDER BY md5(CAST(vec_id AS VARCHAR) || '|42|0'), vec_id) - 1 AS n
-  FROM embeddings),
-batched AS (SELECT sid, CAST(n // 190 AS BIGINT) AS batch, CAST(n % 190 AS INTEGER) AS slot FROM numbered)"""
+
+
+def _pass(x: str) -> str:
+    """One pass of the keyed permutation over ``x``: its place is ``placed``."""
+    p = f"{PRIME}::BIGINT"
+    text, left, right = f"LATERAL (SELECT ({x}) // b AS l, ({x}) % b AS r) h", "h.l", "h.r"
+    for k, (u, v, w) in enumerate(Permutation(0, 42, 0).keys):
+        here, there, modulus = (right, left, "b") if k % 2 else (left, right, "a")
+        text += f""", LATERAL (SELECT ({there} + {u}) % {p} AS y) y{k}, LATERAL (SELECT (y{k}.y * y{k}.y + {v}) % {p} AS z) z{k},
+  LATERAL (SELECT ({here} + z{k}.z * z{k}.z % {p} * {w} % {p}) % {modulus} AS s) h{k}"""
+        left, right = (left, f"h{k}.s") if k % 2 else (f"h{k}.s", right)
+    return text + f", LATERAL (SELECT {left} * b + {right} AS placed) q"
+
+
+# A sample's place: passes of the permutation over its id until the result is an id again.
+BATCHED = f"""sized AS (
+  SELECT n, a, CAST(ceil(n / a) AS BIGINT) AS b FROM (
+    SELECT n, CAST(floor(sqrt(n - 1)) AS BIGINT) + 1 AS a FROM (SELECT count(*) AS n FROM embeddings))),
+walk AS (
+  SELECT vec_id AS sid, placed AS x FROM embeddings, sized, {_pass("vec_id")}
+  UNION ALL
+  SELECT sid, placed FROM walk, sized, {_pass("x")} WHERE x >= n),
+batched AS (
+  SELECT sid, CAST(x // 190 AS BIGINT) AS batch, CAST(x % 190 AS INTEGER) AS slot FROM walk, sized WHERE x < n)"""
 GROUP_CASE = "CASE " + " ".join(
     f"WHEN i BETWEEN {o} AND {o + w - 1} THEN '{g}'" for g, o, w in _GROUPS if w
 ) + " END"

@@ -62,7 +62,7 @@ def groups(spark: SparkSession, folder: str, layout: Layout = COMPACT_LAYOUT) ->
 
 
 def batched(spark: SparkSession, folder: str) -> DataFrame:
-    return curation.batches(samples(spark, folder), "sid")
+    return curation.permuted_batches(samples(spark, folder), "sid")
 
 
 def points_long(df: DataFrame, col: str, index: str) -> DataFrame:
