@@ -8,17 +8,18 @@ whatever the number of samples.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from functools import lru_cache
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from meshframe.functions.camera import Camera
 from meshframe.functions.rotations import IDENTITY3, rotation_stack
 from meshframe.functions.steps import array_sql, dot_sql, number_sql, numbers_sql, product_sql, run_steps
+from meshframe.operators.blocks import BLOCK_BYTES, map_blocks, packed_blocks
 from meshframe.operators.params import Layout, matrix_of
 from meshframe.session import BROADCAST_BYTES, broadcast_if_small, doubles
 from meshframe.sources.assets import FaceModel
@@ -29,6 +30,7 @@ LANDMARK_COUNT = 68
 # fewest samples at once, so that a large basis is not re-read for every few of them.
 _CHUNK_ROWS = 16_384
 _CHUNK_SAMPLES = 32
+POINTS = T.StructField("points", T.ArrayType(T.StructType([T.StructField(a, T.DoubleType()) for a in AXES])))
 
 
 # --- per-sample columns -------------------------------------------------------------------------
@@ -195,19 +197,20 @@ def _skinned(point: Sequence[str], n_joints: int, weights: str = "w", transforms
     ]
 
 
-def shape_verts(params: DataFrame, model: FaceModel, key: str = "sid", dense: bool = True) -> DataFrame:
-    """Template plus shape and expression offsets: (key, v, x, y, z)."""
+def shape_verts(params: DataFrame, model: FaceModel, key: str = "sid", dense: bool = True, budget: int | None = None) -> DataFrame:
+    """Template plus shape and expression offsets: (key, v, x, y, z). ``budget`` bounds the bytes of the model that a worker holds."""
     model.verify()
     parts = ("shape", "expression")
     rows = params.select(key, F.concat(*parts).alias("coeffs"))
     if dense:
-        return unroll_points(_dense_offsets(rows, vertex_table(model, parts), model, "coeffs", key), "v")
+        return unroll_blocks(_dense_offsets(rows, vertex_table(model, parts), model, "coeffs", key, budget), "v")
     table = broadcast_if_small(vertex_table(model, parts).drop("w"), model.n_vertices, vertex_bytes(model))
     df = _indexed(rows, model.n_vertices, "v").join(table, "v")
     return df.selectExpr(key, "v", *[f"{c} AS {a}" for a, c in zip(AXES, _blend())])
 
 
-def pose_offset(df: DataFrame, model: FaceModel, key: str = "sid", rots: str = "rots", dense: bool = True) -> DataFrame:
+def pose_offset(df: DataFrame, model: FaceModel, key: str = "sid", rots: str = "rots", dense: bool = True,
+                budget: int | None = None) -> DataFrame:
     """Pose-dependent offset of every vertex; zero when the basis does not fit the feature."""
     model.verify()
     rows = pose_feature(df, rots).select(key, "pose_feature")
@@ -215,39 +218,50 @@ def pose_offset(df: DataFrame, model: FaceModel, key: str = "sid", rots: str = "
         return _indexed(rows, model.n_vertices, "v").select(key, "v", *[F.lit(0.0).alias(a) for a in AXES])
     if dense:
         flat = model.pose_basis.select("v", *[F.lit(0.0).alias(a) for a in AXES], *[F.col(f"p{a}").alias(f"b{a}") for a in AXES])
-        return unroll_points(_dense_offsets(rows, flat, model, "pose_feature", key), "v")
+        return unroll_blocks(_dense_offsets(rows, flat, model, "pose_feature", key, budget), "v")
     table = broadcast_if_small(model.pose_basis, model.n_vertices, vertex_bytes(model))
     return _indexed(rows, model.n_vertices, "v").join(table, "v").selectExpr(
         key, "v", *[f"{dot_sql('pose_feature', f'p{a}')} AS {a}" for a in AXES])
 
 
-def _dense_offsets(rows: DataFrame, table: DataFrame, model: FaceModel, coeffs: str, key: str) -> DataFrame:
-    """Base point plus basis times coefficients for all vertices, one matrix product per Arrow batch and block.
+def _dense_offsets(rows: DataFrame, table: DataFrame, model: FaceModel, coeffs: str, key: str, budget: int | None = None) -> DataFrame:
+    """Base point plus basis times coefficients, one matrix product per Arrow batch: (key, first, points), the points
+    of the vertices from ``first`` on.
 
-    ``table`` is (v, x, y, z, bx, by, bz); result is (key, points).
+    ``table`` is (v, x, y, z, bx, by, bz). A table within the budget is broadcast; a larger one goes block by block, of which a
+    worker holds one.
     """
-    context, shared = rows.sparkSession.sparkContext, []
-    for start, stop in point_blocks(model, False):
-        data = table.where(F.col("v").between(start, stop - 1)).orderBy("v").toArrow()
+    step = _block_step(model, False, budget)
+    count = -(-model.n_vertices // step)
+    fields = T.StructType([rows.schema[key], T.StructField("first", T.IntegerType()), POINTS])
+
+    def arrays(data: pa.Table) -> dict[str, np.ndarray]:
         base = np.stack([data.column(a).to_numpy() for a in AXES], axis=1)
         lists = [data.column(f"b{a}").combine_chunks() for a in AXES]
+        lists = [x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in lists]
         width = len(lists[0].flatten()) // max(len(base), 1)
-        shared.append(context.broadcast((base, np.stack([matrix_of(x, width) for x in lists], axis=1))))
-    key_field = rows.schema[key]
+        return {"base": base, "basis": np.stack([matrix_of(x, width) for x in lists], axis=1)}
+
+    def offsets(m: dict[str, np.ndarray], record: pa.RecordBatch, first: int) -> Iterator[pa.RecordBatch]:
+        base, basis = m["base"], m["basis"]
+        few = max(_CHUNK_SAMPLES, _CHUNK_ROWS // max(len(base), 1))
+        for start in range(0, record.num_rows, few):
+            part = record.slice(start, few)
+            x = matrix_of(part.column(part.schema.get_field_index(coeffs)), basis.shape[2])
+            points = (x @ basis.reshape(-1, basis.shape[2]).T).reshape(len(x), -1, 3) + base
+            yield pa.RecordBatch.from_arrays([
+                part.column(part.schema.get_field_index(key)), pa.array(np.full(len(x), first, np.int32)), _points_column(points)], names=fields.names)
+
+    if count > 1:
+        return map_blocks(rows, packed_blocks(table, "v", step, arrays), count, lambda held, record: offsets(held[1], record, held[0]),
+                          fields, lambda block, m: (block * step, m))
+    shared = rows.sparkSession.sparkContext.broadcast(arrays(table.orderBy("v").toArrow()))
 
     def run(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = [b.value for b in shared]
-        step = max(_CHUNK_SAMPLES, _CHUNK_ROWS // sum(len(base) for base, _ in blocks))
         for record in records:
-            for start in range(0, record.num_rows, step):
-                part = record.slice(start, step)
-                x = matrix_of(part.column(coeffs), blocks[0][1].shape[2])
-                points = np.concatenate([
-                    (x @ basis.reshape(-1, basis.shape[2]).T).reshape(len(x), -1, 3) + base for base, basis in blocks
-                ], axis=1)
-                yield pa.RecordBatch.from_arrays([part.column(key), _points_column(points)], names=[key, "points"])
+            yield from offsets(shared.value, record, 0)
 
-    return rows.mapInArrow(run, f"`{key}` {key_field.dataType.simpleString()}, points array<struct<x:double,y:double,z:double>>")
+    return rows.mapInArrow(run, fields)
 
 
 def _points_column(points: np.ndarray) -> pa.ListArray:
@@ -357,44 +371,42 @@ def project(df: DataFrame, camera: Camera = Camera(), out: Sequence[str] = ("sx"
 # --- dense form ---------------------------------------------------------------------------------
 
 
-def point_blocks(model: FaceModel, landmarks: bool, budget: int | None = None) -> list[tuple[int, int]]:
-    """Ranges of vertex or landmark ids whose tables stay within the budget, one point each at least."""
-    count = model.n_landmarks if landmarks else model.n_vertices
-    step = max(1, (budget or BROADCAST_BYTES) // (vertex_bytes(model) * (3 if landmarks else 1)))
-    return [(start, min(start + step, count)) for start in range(0, count, step)]
+def _point_table(model: FaceModel, landmarks: bool) -> DataFrame:
+    table = vertex_table(model)
+    return corner_table(model).join(table, "v") if landmarks else table
 
 
-@lru_cache(maxsize=64)
-def _model_arrays(model: FaceModel, landmarks: bool, start: int, stop: int) -> dict[str, np.ndarray]:
-    """Model tables of a range of ids as matrices for the Arrow batches; the range bounds what is collected."""
-    table = vertex_table(model)
-    if landmarks:
-        table = corner_table(model).where(F.col("lmk").between(start, stop - 1)).join(table, "v").orderBy("lmk", "k")
-    else:
-        table = table.where(F.col("v").between(start, stop - 1)).orderBy("v")
-    data = table.toArrow()
-    # A point's id is its place in the arrays.
-    places = np.arange(start, stop)
-    if not np.array_equal(data.column("lmk" if landmarks else "v").to_numpy(), np.repeat(places, 3) if landmarks else places):
-        raise ValueError("every landmark needs three corners, every vertex one row")
+def _point_arrays(model: FaceModel, landmarks: bool) -> Callable[[pa.Table, int, int], dict[str, np.ndarray]]:
+    """How rows of the point table in a range of ids become matrices. Sizes are read here, so that tasks need no model."""
+    n_coeffs, n_joints = model.n_coeffs, model.n_joints
 
-    def lists(name: str, width: int) -> np.ndarray:
-        return matrix_of(data.column(name).combine_chunks(), width)
+    def arrays(data: pa.Table, start: int, stop: int) -> dict[str, np.ndarray]:
+        data = data.sort_by([("lmk", "ascending"), ("k", "ascending")] if landmarks else [("v", "ascending")])
+        # A point's id is its place in the arrays.
+        places = np.arange(start, stop)
+        if not np.array_equal(data.column("lmk" if landmarks else "v").to_numpy(), np.repeat(places, 3) if landmarks else places):
+            raise ValueError("every landmark needs three corners, every vertex one row")
+
+        def lists(name: str, width: int) -> np.ndarray:
+            return np.concatenate([matrix_of(c, width) for c in data.column(name).chunks])
+
+        out = {
+            "base": np.stack([data.column(a).to_numpy() for a in AXES], axis=1),
+            "basis": np.stack([lists(f"b{a}", n_coeffs) for a in AXES], axis=1),
+            "weights": lists("w", n_joints),
+        }
+        if landmarks:
+            out["bary"] = data.column("b").to_numpy().reshape(-1, 3)
+        return out
 
-    joints = np.array([[row[a] for a in AXES] for row in model.joint_basis])
-    arrays = {
-        "base": np.stack([data.column(a).to_numpy() for a in AXES], axis=1),
-        "basis": np.stack([lists(f"b{a}", model.n_coeffs) for a in AXES], axis=1),
-        "weights": lists("w", model.n_joints),
-        "joint_base": joints[:, :, 0],
-        "joint_basis": joints[:, :, 1:].reshape(3 * model.n_joints, -1),
-        "parents": np.array(model.parents),
-    }
-    if landmarks:
-        arrays["bary"] = data.column("b").to_numpy().reshape(-1, 3)
     return arrays
 
 
+def _joint_arrays(model: FaceModel) -> dict[str, np.ndarray]:
+    joints = np.array([[row[a] for a in AXES] for row in model.joint_basis])
+    return {"joint_base": joints[:, :, 0], "joint_basis": joints[:, :, 1:].reshape(3 * model.n_joints, -1), "parents": np.array(model.parents)}
+
+
 def _dense_motions(coeffs: np.ndarray, rots: np.ndarray, m: dict) -> tuple[np.ndarray, np.ndarray]:
     """Turn (samples, joints, 3, 3) and shift (samples, joints, 3) of every joint relative to rest."""
     rest = (coeffs @ m["joint_basis"].T).reshape(len(coeffs), -1, 3) + m["joint_base"]
@@ -429,45 +441,91 @@ def _dense_points(coeffs: np.ndarray, rots: np.ndarray, shift: np.ndarray, m: di
     return points
 
 
-def decode_dense(params: DataFrame, model: FaceModel, layout: Layout, key: str = "sid",
-                 keep: Sequence[str] = (), landmarks: bool = True) -> DataFrame:
-    """Posed landmarks or vertices as one array of points per sample, by matrix products per Arrow batch.
+def _block_step(model: FaceModel, landmarks: bool, budget: int | None) -> int:
+    """Points in a block; all of them where the whole table stays within the broadcast budget."""
+    count = model.n_landmarks if landmarks else model.n_vertices
+    size = vertex_bytes(model) * (3 if landmarks else 1)
+    if budget is None and size * count <= BROADCAST_BYTES:
+        return max(count, 1)
+    return max(1, (budget or BLOCK_BYTES) // size)
+
+
+def decode_blocks(params: DataFrame, model: FaceModel, layout: Layout, key: str = "sid", keep: Sequence[str] = (),
+                  landmarks: bool = True, budget: int | None = None) -> DataFrame:
+    """Posed landmarks or vertices by matrix products per Arrow batch: (key, keep, first, points), the points from
+    number ``first`` on.
 
     Rotations stay column arithmetic; joint regression, joint motions and the dense products run in
-    the batch, where each is one product for all its samples.
+    the batch, where each is one product for all its samples. A model within the budget is broadcast and gives one row
+    per sample. A larger one is cut into blocks of points, of which a worker holds one, and gives a row per sample and block.
     """
     if landmarks and model.lmk_embed is None:
         raise ValueError("the model has no landmark embedding")
     check_model(layout, model)
-    # Blocks of points of bounded size, so that a large model changes the plan and not the outcome.
-    context = params.sparkSession.sparkContext
-    shared = [context.broadcast(_model_arrays(model, landmarks, *block)) for block in point_blocks(model, landmarks)]
+    step = _block_step(model, landmarks, budget)
+    total = model.n_landmarks if landmarks else model.n_vertices
+    count = -(-total // step)
     n_coeffs, n_joints, uses_pose = model.n_shape + model.n_expr, model.n_joints, model.uses_pose
     shift = array_sql(f"coalesce(get(transl, {a}), 0D)" for a in range(3))
     flat = rotations(params, global_width=layout.width("global_pose")).selectExpr(
-        key, *keep, "concat(shape, expression) AS coeffs", "flatten(rots) AS rots", f"{shift} AS shift"
+        f"`{key}`", *[f"`{c}`" for c in keep], "concat(shape, expression) AS coeffs", "flatten(rots) AS rots", f"{shift} AS shift"
     )
-    carried = [f for f in flat.schema.fields if f.name in (key, *keep)]
-    names = [f.name for f in carried]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in carried)
+    names = [key, *keep]
+    fields = T.StructType([*[flat.schema[n] for n in names], T.StructField("first", T.IntegerType()), POINTS])
+    joints, arrays = _joint_arrays(model), _point_arrays(model, landmarks)
+
+    def points_of(m: dict[str, np.ndarray], record: pa.RecordBatch, first: int) -> Iterator[pa.RecordBatch]:
+        few = max(_CHUNK_SAMPLES, _CHUNK_ROWS // max(len(m["base"]), 1))
+        for start in range(0, record.num_rows, few):
+            part = record.slice(start, few)
+            column = lambda name, part=part: part.column(part.schema.get_field_index(name))
+            points = _dense_points(
+                matrix_of(column("coeffs"), n_coeffs), matrix_of(column("rots"), n_joints * 9).reshape(-1, n_joints, 3, 3),
+                matrix_of(column("shift"), 3), m, uses_pose)
+            yield pa.RecordBatch.from_arrays(
+                [*[column(n) for n in names], pa.array(np.full(len(points), first, np.int32)), _points_column(points)], names=fields.names)
+
+    if count > 1:
+        table = packed_blocks(
+            _point_table(model, landmarks), "lmk" if landmarks else "v", step,
+            lambda data: arrays(data, data.column("block")[0].as_py() * step, min((data.column("block")[0].as_py() + 1) * step, total)))
+        return map_blocks(flat, table, count, lambda held, record: points_of(held[1], record, held[0]), fields,
+                          lambda block, m: (block * step, {**m, **joints}))
+    kept = model.__dict__.setdefault("_dense", {})
+    if landmarks not in kept:
+        # Within the broadcast budget; kept as long as the model is.
+        kept[landmarks] = {**arrays(_point_table(model, landmarks).toArrow(), 0, total), **joints}
+    shared = params.sparkSession.sparkContext.broadcast(kept[landmarks])
 
     def run(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = [b.value for b in shared]
-        step = max(_CHUNK_SAMPLES, _CHUNK_ROWS // sum(len(m["base"]) for m in blocks))
         for record in records:
-            for start in range(0, record.num_rows, step):
-                part = record.slice(start, step)
-                inputs = (
-                    matrix_of(part.column("coeffs"), n_coeffs),
-                    matrix_of(part.column("rots"), n_joints * 9).reshape(-1, n_joints, 3, 3),
-                    matrix_of(part.column("shift"), 3),
-                )
-                points = np.concatenate([_dense_points(*inputs, m, uses_pose) for m in blocks], axis=1)
-                yield pa.RecordBatch.from_arrays(
-                    [*[part.column(n) for n in names], _points_column(points)], names=[*names, "points"]
-                )
+            yield from points_of(shared.value, record, 0)
+
+    return flat.mapInArrow(run, fields)
+
+
+def decode_dense(params: DataFrame, model: FaceModel, layout: Layout, key: str = "sid",
+                 keep: Sequence[str] = (), landmarks: bool = True, budget: int | None = None) -> DataFrame:
+    """Posed landmarks or vertices as one array of points per sample: (key, keep, points).
+
+    Of a model in blocks the rows of a sample are put together by a shuffle, which the long form of :func:`decode`
+    does without.
+    """
+    if _block_step(model, landmarks, budget) >= (model.n_landmarks if landmarks else model.n_vertices):
+        return decode_blocks(params, model, layout, key, keep, landmarks, budget).drop("first")
+    # Equal rows stay rows of their own.
+    numbered = params.withColumn("_row", F.monotonically_increasing_id())
+    found = decode_blocks(numbered, model, layout, key, [*keep, "_row"], landmarks, budget)
+    parts = F.array_sort(F.collect_list(F.struct("first", "points")))
+    return found.groupBy(key, "_row").agg(
+        *[F.any_value(c).alias(c) for c in keep], F.flatten(F.transform(parts, lambda p: p["points"])).alias("points")).drop("_row")
+
 
-    return flat.mapInArrow(run, f"{schema}, points array<struct<x:double,y:double,z:double>>")
+def unroll_blocks(df: DataFrame, index: str) -> DataFrame:
+    """Long form of rows with the points from number ``first`` on."""
+    rest = [c for c in df.columns if c not in ("first", "points")]
+    return df.select(*rest, "first", F.posexplode("points").alias("_at", "_p")).select(
+        *rest, (F.col("first") + F.col("_at")).alias(index), "_p.x", "_p.y", "_p.z")
 
 
 def unroll_points(df: DataFrame, index: str = "lmk", points: str = "points") -> DataFrame:
@@ -477,17 +535,17 @@ def unroll_points(df: DataFrame, index: str = "lmk", points: str = "points") ->
 
 
 def decode(params: DataFrame, model: FaceModel, layout: Layout, key: str = "sid", dense: bool = True,
-           on_missing: str = "raise") -> tuple[DataFrame, DataFrame]:
+           on_missing: str = "raise", budget: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Vertices (key, v, x, y, z) and landmarks (key, lmk, x, y, z) of a batch of parameter rows.
 
-    The dense form is several times faster; the native one needs no Python and no model that fits a
-    broadcast.
+    The dense form is several times faster; the native one needs no Python. ``budget`` bounds the bytes of the model
+    that a worker of the dense form holds.
     """
     if dense:
-        verts = unroll_points(decode_dense(params, model, layout, key, landmarks=False), "v")
+        verts = unroll_blocks(decode_blocks(params, model, layout, key, landmarks=False, budget=budget), "v")
         if model.lmk_embed is None:
             return verts, no_landmarks(params, key, on_missing)
-        return verts, unroll_points(decode_dense(params, model, layout, key))
+        return verts, unroll_blocks(decode_blocks(params, model, layout, key, budget=budget), "lmk")
     return decode_vertices(params, model, layout, key), decode_landmarks(
         params, model, layout, key, on_missing=on_missing
     )

@@ -9,8 +9,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from meshframe.functions.arrays import as_doubles, dot
+from meshframe.operators.blocks import BLOCK_BYTES, map_blocks, pack
 from meshframe.session import BROADCAST_BYTES, broadcast_if_small, doubles
 
 # The 6D encoding of "no rotation".
@@ -129,24 +131,53 @@ def score_head(df: DataFrame, feat: str, head: DataFrame, n_out: int, n_in: int,
 
 
 def score_head_dense(df: DataFrame, feat: str, weights: np.ndarray, bias: np.ndarray,
-                     key: str = "sid", out: str = "coeffs") -> DataFrame:
-    """The same product, one matrix multiplication per Arrow batch, result as one array per row."""
+                     key: str = "sid", out: str = "coeffs", budget: int | None = None) -> DataFrame:
+    """The same product, one matrix multiplication per Arrow batch, result as one array per row.
+
+    A head within the budget is broadcast. A larger one, given as arrays on the driver, is cut into blocks of outputs, of which a
+    worker holds one; the outputs of a row are then put together by a shuffle.
+    """
     weights, bias = np.asarray(weights, dtype=np.float64), np.asarray(bias, dtype=np.float64)
-    # Blocks of outputs of bounded size, so that a large head changes the plan and not the outcome.
-    step = max(1, BROADCAST_BYTES // max(8 * weights.shape[1], 1))
-    context = df.sparkSession.sparkContext
-    shared = [context.broadcast((weights[i:i + step], bias[i:i + step])) for i in range(0, len(weights), step)]
+    size = 8 * (weights.shape[1] + 1)
+    step = len(weights) if budget is None and size * len(weights) <= BROADCAST_BYTES else max(1, (budget or BLOCK_BYTES) // size)
+    spark = df.sparkSession
     rows = df.select(key, as_doubles(feat).alias("_f"))
-    key_type = rows.schema[key].dataType.simpleString()
-
-    def run(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = [s.value for s in shared]
-        for record in records:
-            x = matrix_of(record.column("_f"), blocks[0][0].shape[1])
-            y = np.concatenate([x @ w.T + b for w, b in blocks], axis=1)
-            yield pa.RecordBatch.from_arrays([record.column(key), list_of(y)], names=[key, out])
-
-    return rows.mapInArrow(run, f"{key} {key_type}, {out} array<double>")
+    fields = T.StructType([rows.schema[key], T.StructField("first", T.IntegerType()), T.StructField(out, T.ArrayType(T.DoubleType()))])
+
+    def product(m: dict[str, np.ndarray], record: pa.RecordBatch, first: int) -> pa.RecordBatch:
+        x = matrix_of(record.column(record.schema.get_field_index("_f")), m["w"].shape[1])
+        return pa.RecordBatch.from_arrays([
+            record.column(record.schema.get_field_index(key)), pa.array(np.full(len(x), first, np.int32)), list_of(x @ m["w"].T + m["b"])],
+            names=[key, "first", out])
+
+    if step >= len(weights):
+        shared = spark.sparkContext.broadcast({"w": weights, "b": bias})
+
+        def run(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for record in records:
+                yield product(shared.value, record, 0)
+
+        return rows.mapInArrow(run, fields).drop("first")
+
+    def one(held: tuple[int, dict[str, np.ndarray]], record: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        yield product(held[1], record, held[0])
+
+    starts = range(0, len(weights), step)
+    blocks = spark.createDataFrame(pa.table({
+        "block": pa.array(range(len(starts)), pa.int32()),
+        "payload": pa.array([pack({"w": weights[i:i + step], "b": bias[i:i + step]}) for i in starts], pa.binary())}))
+    # Equal keys stay rows of their own.
+    named = rows.withColumn("_row", F.monotonically_increasing_id())
+    fields = T.StructType([named.schema[key], T.StructField("_row", T.LongType()), *fields.fields[1:]])
+
+    def numbered(held: tuple[int, dict[str, np.ndarray]], record: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for found in one(held, record):
+            columns = [found.column(0), record.column(record.schema.get_field_index("_row")), *found.columns[1:]]
+            yield pa.RecordBatch.from_arrays(columns, names=fields.names)
+
+    parts = map_blocks(named, blocks, len(starts), numbered, fields, lambda block, m: (block * step, m))
+    joined = F.array_sort(F.collect_list(F.struct("first", out)))
+    return parts.groupBy(key, "_row").agg(F.flatten(F.transform(joined, lambda p: p[out])).alias(out)).drop("_row")
 
 
 def matrix_of(column: pa.Array, width: int) -> np.ndarray:

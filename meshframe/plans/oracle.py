@@ -500,6 +500,13 @@ FROM event_terms e LEFT JOIN settings s ON s.epoch = e.epoch""",
 SELECT epoch, term, max(batch) AS last_batch, {r6('arg_max(value, batch)', 'last_value')}, {r6('avg(value)', 'mean_value')}
 FROM event_terms GROUP BY epoch, term""",
     "axis_stats": _stats("lineitem", ["l_quantity", "l_extendedprice", "l_discount"], "l_returnflag"),
+    "full_vertex_stats": _with(EMB, """wide AS (SELECT sid, (e || e)[1:100] AS e FROM emb),
+cells AS (
+  SELECT v, c, ((v * 7 + c * 3) % 11 - 5) / 50e0 AS t,
+    list_transform(range(100), lambda s: ((v * 5 + c * 2 + s * 3) % 13 - 6) / 100e0) AS b FROM range(5023) f(v), range(3) g(c)),
+moved AS (SELECT sid, c, t + list_dot_product(e, b) AS p FROM wide, cells)""") + f"""
+SELECT sid, CASE c WHEN 0 THEN 'x' WHEN 1 THEN 'y' ELSE 'z' END AS axis, {r6('avg(p)', 'mean')}, {r6('stddev_samp(p)', 'std')},
+  {r6('min(p)', 'min')}, {r6('max(p)', 'max')}, count(p) AS n FROM moved GROUP BY sid, c""",
     "vertex_stats": _with(*DECODED) + " " + _stats("verts", ["x", "y", "z"], "sid"),
     "group_stats": _with(EMB, VALS) + f"""
 SELECT grp, 'present' AS state, {r6('avg(x)', 'mean')}, {r6('stddev_samp(x)', 'std')}, {r6('min(x)', 'min')}, {r6('max(x)', 'max')}, count(*) AS n

@@ -35,6 +35,8 @@ EXPRESSION_LAYOUT = Layout((
 STAGES = reporting.TRAINING_STAGES
 FIRST_WEIGHTS = STAGES[0].weights
 HEAD_OUTPUTS = 8
+# Vertices of a face model as it is used for training.
+FULL_VERTICES = 5023
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -484,6 +486,19 @@ def decode(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(verts, *"xyz")
 
 
+def full_samples(spark: SparkSession, folder: str) -> DataFrame:
+    """Coefficient rows of the full width, each vector repeated until it fills one."""
+    wide = samples(spark, folder).withColumn("coeffs", F.slice(F.concat(*["coeffs"] * 4), 1, params.FULL_LAYOUT.total))
+    return params.split_vector(spread(wide), "coeffs", params.FULL_LAYOUT)
+
+
+def full_vertex_stats(spark: SparkSession, folder: str) -> DataFrame:
+    """Shaped vertices of a model of real size, 5,023 vertices with 100 coefficients, in blocks of a megabyte; statistics per sample."""
+    model = small_model(spark, n_shape=100, vertices=FULL_VERTICES)
+    verts = geometry.shape_verts(full_samples(spark, folder), model, budget=1 << 20)
+    return rounded(reporting.axis_stats(verts, ["x", "y", "z"], ["sid"]), "mean", "std", "min", "max")
+
+
 def decode_dense(spark: SparkSession, folder: str) -> DataFrame:
     verts, _ = geometry.decode(groups(spark, folder), small_model(spark), COMPACT_LAYOUT)
     return rounded(verts, *"xyz")
@@ -765,6 +780,7 @@ QUERIES: dict[str, Query] = {
     "screen_points": screen_points,
     "decode": decode,
     "decode_dense": decode_dense,
+    "full_vertex_stats": full_vertex_stats,
     "pixel_l1": pixel_l1,
     "landmark_mse": landmark_mse,
     "landmark_mse_joined": landmark_mse_joined,

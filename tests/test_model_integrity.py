@@ -77,9 +77,10 @@ def test_small_blocks_give_the_same_rows(spark, monkeypatch):
             geometry.shape_verts(cut, fresh), geometry.pose_offset(geometry.rotations(cut), fresh), head)]
 
     want = everything()
-    monkeypatch.setattr(geometry, "BROADCAST_BYTES", 8000)
-    monkeypatch.setattr(params, "BROADCAST_BYTES", 700)
-    assert len(geometry.point_blocks(model, False)) > 5 and len(geometry.point_blocks(model, True)) > 5
+    for module, size in ((geometry, 8000), (params, 700)):
+        monkeypatch.setattr(module, "BROADCAST_BYTES", size)
+        monkeypatch.setattr(module, "BLOCK_BYTES", size)
+    assert geometry._block_step(model, False, None) <= 5 and geometry._block_step(model, True, None) <= 5
     for a, b in zip(want, everything()):
         assert len(a) == len(b) and all(np.allclose(np.array(x[-3:], float) if len(x) > 2 else x[1], np.array(y[-3:], float) if len(y) > 2 else y[1]) for x, y in zip(a, b))
 
