@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from meshframe.operators.numbering import number_rows
 from meshframe.operators.permutation import Permutation, dense_count, permuted
+from meshframe.session import path_exists
 
 BATCH_SIZE = 190
 LANDMARK_COUNT = 68
@@ -83,6 +84,25 @@ def name_rows(df: DataFrame, order: Sequence[str | Column], out: str = "stem", p
     return df.join(number_rows(df.select(key), order, "_n").select(key, name), key)
 
 
+def name_new(df: DataFrame, path: str, order: Sequence[str | Column], key: str, out: str = "stem", prefix: str = "thumb_") -> DataFrame:
+    """Sequential names that go on where the last run ended: ``df`` with the names of its keys, new and old.
+
+    The names given so far lie under ``path`` as (key, number), which is only appended to. Keys found there keep their names;
+    only the others are ordered and numbered, from the count on. The key must be unique, the order consist of it, and one run be at work.
+    """
+    spark = df.sparkSession
+    require_unique(df, key)
+    fresh, start = df.select(key), 0
+    if path_exists(spark, path):
+        named = spark.read.parquet(path)
+        highest = named.agg(F.max("number")).first()[0]
+        start = 0 if highest is None else highest + 1
+        fresh = fresh.join(named.select(key), key, "left_anti")
+    numbered = number_rows(fresh, order, "number").withColumn("number", F.col("number") + F.lit(start))
+    numbered.write.mode("append").parquet(path)
+    return df.join(spark.read.parquet(path), key).select(*df.columns, F.format_string(f"{prefix}%05d", F.col("number")).alias(out))
+
+
 def first_detection(df: DataFrame, key: str, pos: str, images: DataFrame | None = None) -> DataFrame:
     """The detection at the lowest position of each image.
 

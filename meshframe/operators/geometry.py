@@ -272,10 +272,14 @@ def _points_column(points: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.arange(samples + 1, dtype=np.int32) * count), structs)
 
 
-def skin(verts: DataFrame, transforms: DataFrame, model: FaceModel, key: str = "sid") -> DataFrame:
-    """Skin given vertices (key, v, x, y, z) by the samples' joint motions."""
+def skin(verts: DataFrame, transforms: DataFrame, model: FaceModel, key: str = "sid", colocated: bool = False) -> DataFrame:
+    """Skin given vertices (key, v, x, y, z) by the samples' joint motions.
+
+    With ``colocated`` both are tables bucketed alike by the sample, whose merge join moves no row.
+    """
     weights = broadcast_if_small(model.skin, model.n_vertices, 8 * (model.n_joints + 4))
-    df = verts.join(transforms.select(key, "transforms"), key).join(weights, "v")
+    moves = transforms.select(key, "transforms")
+    df = verts.join(moves.hint("merge") if colocated else moves, key).join(weights, "v")
     return df.selectExpr(key, "v", *[f"{c} AS {a}" for a, c in zip(AXES, _skinned(AXES, model.n_joints))])
 
 
@@ -321,6 +325,37 @@ def landmarks3d(verts: DataFrame, model: FaceModel, key: str = "sid", on_missing
     return verts.join(corners, "v").groupBy(key, "lmk").agg(*sums)
 
 
+def gather_landmarks(df: DataFrame, model: FaceModel, points: str = "points", out: str = "landmarks") -> DataFrame:
+    """``df`` with the landmarks of each row's array of decoded vertices in place of the vertices.
+
+    Each row has all its vertices, so nothing is shuffled: the corners' numbers and weights, three for each landmark, are sent to the
+    workers, and only corner vertices are touched.
+    """
+    if model.lmk_embed is None:
+        raise ValueError("the model has no landmark embedding")
+    model.verify()
+    corners = corner_table(model).orderBy("lmk", "k").toArrow()
+    shared = df.sparkSession.sparkContext.broadcast(
+        (corners.column("v").to_numpy().astype(np.int64), corners.column("b").to_numpy().reshape(-1, 3)))
+    count = model.n_vertices
+    rest = [f for f in df.schema.fields if f.name not in (points, out)]
+
+    def run(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, weights = shared.value
+        for record in records:
+            column = record.column(record.schema.get_field_index(points))
+            if column.null_count or len(column.flatten()) != len(column) * count:
+                raise ValueError(f"expected {count} vertices a row")
+            places = (np.arange(len(column))[:, None] * count + where).reshape(-1)
+            flat = column.flatten()
+            found = np.stack([
+                (flat.field(a).to_numpy(zero_copy_only=False)[places].reshape(len(column), -1, 3) * weights).sum(axis=2) for a in AXES], axis=2)
+            yield pa.RecordBatch.from_arrays(
+                [*[record.column(record.schema.get_field_index(f.name)) for f in rest], _points_column(found)], names=[*[f.name for f in rest], out])
+
+    return df.mapInArrow(run, T.StructType([*rest, T.StructField(out, POINTS.dataType)]))
+
+
 def decode_landmarks(params: DataFrame, model: FaceModel, layout: Layout, key: str = "sid",
                      keep: Sequence[str] = (), truth: str | None = None,
                      on_missing: str = "raise") -> DataFrame:

@@ -7,7 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshframe.functions.pixels import CHANNEL_MEAN, CHANNEL_STD
@@ -39,12 +39,17 @@ def _prepared(pixels: np.ndarray, size: tuple[int, int], mean: np.ndarray, std:
 
 def prepare_images(df: DataFrame, size: tuple[int, int] = ENCODER_SIZE, mean: Sequence[float] = CHANNEL_MEAN,
                    std: Sequence[float] = CHANNEL_STD, key: str = "stem",
-                   transform: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+                   transform: Callable[[np.ndarray], np.ndarray] | None = None,
+                   batch_transform: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """RGB byte images to encoder inputs: (key, channels, height, width, pixels array<float>).
 
-    Input columns are key, height, width and data. ``transform`` replaces the standard preparation:
-    it gets one (h, w, 3) image and returns a (c, h, w) array.
+    Input columns are key, height, width and data. One of the hooks may replace the standard preparation: ``batch_transform`` gets
+    all images of one size in a batch, (n, h, w, 3), and returns (n, c, h', w'), ``transform`` one (h, w, 3) image and returns
+    (c, h', w'). For a hook in columns see :func:`transform_pixels`.
     """
+    if transform and batch_transform:
+        raise ValueError("one hook at a time")
+    together = batch_transform or (lambda images: _prepared(images.astype(np.float64), size, means, stds))
     means, stds = np.asarray(mean, dtype=np.float64), np.asarray(std, dtype=np.float64)
 
     def prepare(images: list[np.ndarray]) -> list[np.ndarray]:
@@ -54,8 +59,11 @@ def prepare_images(df: DataFrame, size: tuple[int, int] = ENCODER_SIZE, mean: Se
         out: list[np.ndarray] = [None] * len(images)
         for shape in {im.shape for im in images}:
             places = [i for i, im in enumerate(images) if im.shape == shape]
-            for i, ready in zip(places, _prepared(np.stack([images[i] for i in places]).astype(np.float64), size, means, stds)):
-                out[i] = ready
+            ready = np.asarray(together(np.stack([images[i] for i in places])), dtype=np.float32)
+            if ready.ndim != 4 or len(ready) != len(places):
+                raise ValueError(f"the hook gave shape {ready.shape} for {len(places)} images")
+            for i, image in zip(places, ready):
+                out[i] = image
         return out
 
     key_type = df.schema[key].dataType.simpleString()
@@ -81,6 +89,14 @@ def prepare_images(df: DataFrame, size: tuple[int, int] = ENCODER_SIZE, mean: Se
     return df.select(key, "height", "width", "data").mapInArrow(run, schema)
 
 
+def transform_pixels(df: DataFrame, transform: Callable[[Column], Column], pixels: str = "pixels") -> DataFrame:
+    """Prepared images with ``transform``, a function of columns, over their pixels; it must keep their number."""
+    changed = transform(F.col(pixels))
+    message = F.concat(F.lit("the hook gave "), F.size("_changed").cast("string"), F.lit(" pixels"))
+    kept = F.when(F.size("_changed") == F.size(pixels), F.col("_changed")).otherwise(F.raise_error(message).cast(df.schema[pixels].dataType))
+    return df.withColumn("_changed", changed.cast(df.schema[pixels].dataType)).withColumn(pixels, kept).drop("_changed")
+
+
 def rescale(df: DataFrame, src: tuple[float, float] = STORED_SIZE, dst: tuple[float, float] = ENCODER_SIZE,
             points: str = "points") -> DataFrame:
     """Map an array of points from one image size (width, height) to another.

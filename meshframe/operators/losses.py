@@ -82,9 +82,10 @@ def landmark_mse(df: DataFrame, by: Sequence[str], pred: Sequence[str] = ("sx",
 
 
 def align_landmarks(pred: DataFrame, truth: DataFrame, key: str = "sid") -> DataFrame:
-    """Predicted landmark rows with the truth (key, lmk, x, y) joined as tx, ty."""
+    """Predicted landmark rows with the truth (key, lmk, x, y) joined as tx, ty; null for a prediction without truth, so its
+    group still has a row in :func:`landmark_mse`."""
     given = truth.select(key, "lmk", F.col("x").alias("tx"), F.col("y").alias("ty"))
-    return pred.join(given, [key, "lmk"])
+    return pred.join(given, [key, "lmk"], "left")
 
 
 def loss_terms(params: DataFrame, weights: Mapping[str, float], by: Sequence[str] = ("batch",),
@@ -111,8 +112,11 @@ def loss_terms(params: DataFrame, weights: Mapping[str, float], by: Sequence[str
     pairs = F.array(*[F.struct(F.lit(t).alias("term"), F.col(t).alias("value")) for t in sums])
     terms = wide.select(*by, F.inline(pairs))
     if landmarks is not None:
-        points = landmark_mse(landmarks, by)
-        terms = terms.unionByName(points.select(*by, F.lit("landmark").alias("term"), "value"))
+        # A group none of whose samples has landmarks or truth counts 0, as in the fused form.
+        points = landmark_mse(landmarks, by).select(*[F.col(c).alias(f"_{c}") for c in by], F.col("value").alias("_value"))
+        same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+        given = wide.select(*by).join(points, same, "left")
+        terms = terms.unionByName(given.select(*by, F.lit("landmark").alias("term"), F.coalesce("_value", F.lit(0.0)).alias("value")))
     return terms
 
 

@@ -7,12 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meshframe.session import BROADCAST_BYTES
+
 # Names under which an array of landmark vertex indices is looked for, in order.
 INDEX_KEYS = (
     "static_landmark_vertex_ids", "vertex_ids_68", "landmark_vertex_ids", "landmark_indices",
     "lmk_idx", "ids", "v_idx_68",
 )
 BARY_KEYS = ("lmk_face_idx", "lmk_b_coords")
+# Buckets of keys that are compared by digest first, a bound on the rows that reach the driver; keys of one bitmap.
+DIGEST_BUCKETS = 4096
+BITMAP_BITS = 32768
 INTEGER_TYPES = ("tinyint", "smallint", "int", "bigint", "int8", "int16", "int32", "int64",
                  "uint8", "uint16", "uint32", "uint64")
 
@@ -93,7 +98,74 @@ def reconcile_summary(checked: DataFrame) -> DataFrame:
     return checked.groupBy("status").agg(F.count("*").alias("rows"), F.sum("diff").alias("diff"))
 
 
+def bucket_digests(df: DataFrame, keys: Sequence[str], cols: Sequence[str], quantum: float, buckets: int) -> DataFrame:
+    """(bucket, rows, mark, total, odd): a digest of each bucket of keys that does not depend on the order of rows.
+
+    Values count in steps of ``quantum``. ``odd`` are rows without a finite number somewhere, which no digest vouches for.
+    """
+    steps = [F.rint(F.col(c).cast("double") / F.lit(quantum)) + F.lit(0.0) for c in cols]
+    finite = [~F.coalesce(is_non_finite(F.col(c).cast("double")), F.lit(True)) for c in cols]
+    fine = finite[0]
+    for c in finite[1:]:
+        fine = fine & c
+    rows = df.select(F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias("bucket"), F.xxhash64(*keys, *steps).alias("h"), fine.alias("fine"))
+    return rows.groupBy("bucket").agg(
+        F.count("*").alias("rows"), F.bit_xor("h").alias("mark"), F.sum(F.col("h") % F.lit(1 << 31)).alias("total"), F.count_if(~F.col("fine")).alias("odd"))
+
+
+def reconcile_by_digest(stored: DataFrame, recomputed: DataFrame, keys: Sequence[str], cols: Sequence[str], tol: float = 1e-9,
+                        buckets: int = DIGEST_BUCKETS) -> DataFrame:
+    """The summary of :func:`reconcile` (status, rows, diff), full comparison only where it is needed.
+
+    Both sides are reduced to one digest per bucket of keys, so equal tables shuffle a row for each bucket and task instead of all rows.
+    Values within the same step of tolerance over columns are equal to the digest. Only buckets whose digests differ are
+    compared row by row. A matching row that no comparison has seen counts no difference. Keys are unique on each side.
+    """
+    quantum = tol / len(cols)
+    left, right = (bucket_digests(df, keys, cols, quantum, buckets) for df in (stored, recomputed))
+    names = [F.col(c).alias(f"_{c}") for c in right.columns]
+    same = (F.col("odd") + F.col("_odd") == 0) & (F.col("rows") == F.col("_rows")) & (F.col("mark") == F.col("_mark")) & (F.col("total") == F.col("_total"))
+    both = left.join(right.select(*names), F.col("bucket") == F.col("_bucket"), "full_outer").select(
+        F.coalesce("bucket", "_bucket").alias("bucket"), "rows", F.coalesce(same, F.lit(False)).alias("same"))
+    # One row per bucket.
+    judged = both.collect()
+    equal = sum(r["rows"] for r in judged if r["same"])
+    spark = stored.sparkSession
+    known = spark.createDataFrame([("match", equal, 0.0)] if equal else [], "status string, rows long, diff double")
+    differ = [r["bucket"] for r in judged if not r["same"]]
+    if not differ:
+        return known
+    chosen = F.broadcast(spark.createDataFrame([(b,) for b in differ], "_b int"))
+    sides = [df.join(chosen, F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int") == F.col("_b"), "left_semi") for df in (stored, recomputed)]
+    return reconcile_summary(reconcile(*sides, keys, cols, tol)).unionByName(known).groupBy("status").agg(
+        F.sum("rows").alias("rows"), F.sum("diff").alias("diff"))
+
+
+def key_bitmaps(target: DataFrame, key: str) -> DataFrame:
+    """(bucket, bits): which integer keys from 0 on exist, a bit each, in pieces of 4 KB; as many pieces as the keys' range needs."""
+    x = F.col(key).cast("bigint")
+    return target.where(x >= 0).groupBy(F.bitmap_bucket_number(x).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(x)).alias("bits"))
+
+
+def with_presence(refs: DataFrame, col: str, target: DataFrame, key: str, out: str = "present") -> DataFrame:
+    """``refs`` with whether each reference has a row in the target. Null and negative references have none.
+
+    Integer keys go into bitmaps, which are sent to the references where their pieces, bounded by the largest key, stay within the
+    broadcast budget; the references then stay where they are, and no key is looked up by a hash. Beyond it the pieces meet them by a join.
+    """
+    pieces = key_bitmaps(target, key)
+    highest = target.agg(F.max(F.col(key).cast("bigint"))).first()[0]
+    if ((highest or 0) // BITMAP_BITS + 2) * (BITMAP_BITS // 8 + 16) <= BROADCAST_BYTES:
+        pieces = F.broadcast(pieces)
+    x = F.col(col).cast("bigint")
+    place = F.bitmap_bit_position(x)
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("bigint")
+    found = F.coalesce((x >= 0) & (F.getbit(byte, (place % 8).cast("int")) == 1), F.lit(False))
+    named = pieces.select(F.col("bucket").alias("_bucket"), F.col("bits").alias("_bits"))
+    return refs.join(named, F.when(x >= 0, F.bitmap_bucket_number(x)) == F.col("_bucket"), "left").select(
+        *[F.col(f"`{c}`") for c in refs.columns if c != out], found.alias(out))
+
+
 def dangling(refs: DataFrame, col: str, target: DataFrame, key: str) -> DataFrame:
-    """Reference rows whose index is negative or has no row in the target."""
-    known = target.filter(F.col(key) >= 0).select(F.col(key).alias("_key")).distinct()
-    return refs.join(known, F.col(col) == F.col("_key"), "left_anti")
+    """Reference rows whose index is null, negative or has no row in the target."""
+    return with_presence(refs, col, target, key, "_present").where("NOT _present").drop("_present")

@@ -110,6 +110,38 @@ def axis_stats(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> Da
     return df.groupBy(*by).agg(F.array(*stats).alias("_stats")).select(*by, F.inline("_stats"))
 
 
+def moment_states(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """What :func:`axis_stats` needs of a batch, in a form that adds up: (by, axis, n, mean, m2, min, max).
+
+    ``m2`` is the sum of squared deviations from the batch's mean. States of several batches go into one table, are merged by
+    :func:`merge_states` at any time and in any order, and give the statistics of all rows without reading these again.
+    """
+    stats = [F.struct(
+        F.lit(c).alias("axis"), F.count(c).alias("n"), F.avg(c).alias("mean"),
+        (F.var_pop(c) * F.count(c)).alias("m2"), F.min(c).alias("min"), F.max(c).alias("max"),
+    ) for c in cols]
+    return df.groupBy(*by).agg(F.array(*stats).alias("_stats")).select(*by, F.inline("_stats"))
+
+
+def merge_states(states: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One state per group from any number of them. Deviations are taken from the joint mean, so large offsets cost no digits."""
+    keys = [*by, "axis"]
+    whole = states.groupBy(*keys).agg(F.sum("n").alias("_n"), F.try_divide(F.sum(F.col("n") * F.col("mean")), F.sum("n")).alias("_mean"))
+    whole = whole.select("_n", "_mean", *[F.col(k).alias(f"_{k}") for k in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    gap = F.col("mean") - F.col("_mean")
+    joined = states.join(whole, same).select(*keys, "n", "mean", "m2", "min", "max", "_n", "_mean")
+    return joined.groupBy(*keys, "_n", "_mean").agg(
+        F.sum(F.col("m2") + F.col("n") * gap * gap).alias("m2"), F.min("min").alias("min"), F.max("max").alias("max")
+    ).select(*keys, F.col("_n").alias("n"), F.col("_mean").alias("mean"), "m2", "min", "max")
+
+
+def stats_of_states(states: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The columns of :func:`axis_stats` from merged states."""
+    return states.select(
+        *by, "axis", "mean", F.when(F.col("n") > 1, F.sqrt(F.greatest("m2", F.lit(0.0)) / (F.col("n") - 1))).alias("std"), "min", "max", "n")
+
+
 def group_stats(df: DataFrame, col: str, layout: Layout, groups: Sequence[str] | None = None) -> DataFrame:
     """Statistics over all elements of each parameter group.
 

@@ -337,6 +337,13 @@ ORACLE: dict[str, str] = {
 files AS (SELECT *, regexp_extract(path, '([^/]*)$', 1) AS name FROM named WHERE path LIKE '%.html')
 SELECT left(name, length(name) - 5) AS stem, min(path) AS path, arg_min(length, (path, length)) AS length
 FROM files WHERE left(name, 1) NOT IN ('_', '.') GROUP BY 1""",
+    "listing_changes": """WITH pages AS (
+  SELECT url AS path, max(length(html))::BIGINT AS length, max(page_id) AS m FROM pages WHERE url IS NOT NULL GROUP BY url),
+old AS (SELECT * FROM pages WHERE m % 7 <> 3),
+new AS (SELECT path, length + CASE WHEN m % 5 = 2 THEN 1 ELSE 0 END AS length FROM pages WHERE m % 11 <> 5)
+SELECT coalesce(new.path, old.path) AS path, new.length,
+  CASE WHEN old.path IS NULL THEN 'added' WHEN new.path IS NULL THEN 'deleted' ELSE 'changed' END AS change
+FROM new FULL JOIN old ON new.path = old.path WHERE old.path IS NULL OR new.path IS NULL OR new.length <> old.length""",
     "rgb": _with(EMB, """levels AS (
   SELECT sid, sid % 3 AS kind, [1, 3, 4][sid % 3 + 1] AS ch, CASE sid % 3 WHEN 1 THEN 66 ELSE 64 END AS n,
     list_transform(e, lambda x: ((CAST(floor(x * 1000) AS BIGINT) % 256) + 256) % 256) AS b FROM emb)""",
@@ -366,11 +373,11 @@ FROM documents LEFT JOIN labels USING (doc_id)""",
     "obj_lines": _with(EMB, VALS, MODEL, SHAPED, f"verts AS ({_xyz('shaped', 'sid, v')})") + """
 SELECT sid, 0 AS section, CAST(v AS INTEGER) AS ord, printf('v %.6f %.6f %.6f', x, y, z) AS line FROM verts WHERE NOT (sid % 7 = 3 AND v = 0) UNION ALL
 SELECT sid, 1, CAST(f + 1 AS INTEGER), printf('f %d %d %d', f + 1, f + 2, f + 3) FROM emb, range(23) a(f)""",
-    "metric_rows": _with(EVENT_TERMS, SETTINGS) + """
+    **{name: _with(EVENT_TERMS, SETTINGS) + """
 SELECT 'Loss/train_' || term || '_epoch_last_batch' AS tag, CAST(epoch + 1 AS BIGINT) AS step, arg_max(value, batch) AS value
 FROM event_terms GROUP BY epoch, term
 UNION ALL SELECT 'Hyperparameters/learning_rate_epoch', CAST(epoch + 1 AS BIGINT), lr
-FROM settings WHERE epoch IN (SELECT epoch FROM event_terms)""",
+FROM settings WHERE epoch IN (SELECT epoch FROM event_terms)""" for name in ("metric_rows", "metric_log")},
     "pair": "SELECT DISTINCT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) ORDER BY 1",
     "orphans": """SELECT doc_id, 'left' AS side FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels)
 UNION ALL SELECT doc_id, 'right' FROM (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents)""",
@@ -381,6 +388,8 @@ SELECT count(*) FILTER (d.doc_id IS NOT NULL AND l.doc_id IS NOT NULL) AS paired
 FROM d FULL JOIN l ON d.doc_id = l.doc_id""",
     "pending": """SELECT doc_id, lang, n_chars FROM documents
 WHERE NOT EXISTS (SELECT 1 FROM labels WHERE labels.doc_id = documents.doc_id AND toxic = 0)""",
+    "name_new": """SELECT doc_id, lang,
+  printf('thumb_%05d', row_number() OVER (ORDER BY CASE WHEN lang = 'en' THEN 0 ELSE 1 END, doc_id) - 1) AS stem FROM documents""",
     "name_rows": """SELECT doc_id, source, printf('thumb_%05d', row_number() OVER (ORDER BY doc_id) - 1) AS stem FROM documents""",
     "first_detection": """SELECT conv_id, turn, role, text FROM conversations
 QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1""",
@@ -458,7 +467,7 @@ SELECT sid, CAST(v AS INTEGER) AS v, {r6('x', 'x')}, {r6('y', 'y')}, {r6('z', 'z
 SELECT sid, CAST(j AS INTEGER) AS j, {r6('x + e[59]', 'x')}, {r6('y + e[60]', 'y')}, {r6('z + e[61]', 'z')} FROM wide JOIN emb USING (sid)""",
     **{name: _with(*LANDMARKS) + f"""
 SELECT sid, CAST(lmk AS INTEGER) AS lmk, {r6('x', 'x')}, {r6('y', 'y')}, {r6('z', 'z')} FROM lmks"""
-       for name in ("landmarks", "landmarks_of_vertices", "landmarks_dense")},
+       for name in ("landmarks", "landmarks_of_vertices", "landmarks_of_long_vertices", "landmarks_dense")},
     "screen_points": _with(*SHOWN) + f"""
 SELECT sid, CAST(lmk AS INTEGER) AS lmk, {r6('sx', 'sx')}, {r6('sy', 'sy')} FROM screen""",
     **{name: _with(*DECODED) + f"""
@@ -469,6 +478,9 @@ SELECT a.label, {r6('avg(abs(a.x - b.x))', 'value')} FROM vals a JOIN vals b ON
     "landmark_mse": _with(*SHOWN) + f"""
 SELECT label, sid, {r6('sum((sx - tx) * (sx - tx) + (sy - ty) * (sy - ty)) / (2 * count(*))', 'value')}
 FROM screen JOIN truth USING (sid, lmk) JOIN emb USING (sid) GROUP BY label, sid""",
+    "landmark_mse_partial": _with(*SHOWN) + f"""
+SELECT label, {r6("coalesce(sum((sx - tx) * (sx - tx) + (sy - ty) * (sy - ty)) FILTER (label % 2 = 0) / (2 * count(*)), 0)", 'value')}
+FROM screen JOIN truth USING (sid, lmk) JOIN emb USING (sid) GROUP BY label""",
     "landmark_mse_joined": _with(*SHOWN) + f"""
 SELECT label, {r6('sum((sx - tx) * (sx - tx) + (sy - ty) * (sy - ty)) / (2 * count(*))', 'value')}
 FROM screen JOIN truth USING (sid, lmk) JOIN emb USING (sid) GROUP BY label""",
@@ -499,6 +511,7 @@ FROM event_terms e LEFT JOIN settings s ON s.epoch = e.epoch""",
     "last_batch": _with(EVENT_TERMS) + f"""
 SELECT epoch, term, max(batch) AS last_batch, {r6('arg_max(value, batch)', 'last_value')}, {r6('avg(value)', 'mean_value')}
 FROM event_terms GROUP BY epoch, term""",
+    "merged_stats": _stats("lineitem", ["l_quantity", "l_extendedprice", "l_discount"], "l_returnflag"),
     "axis_stats": _stats("lineitem", ["l_quantity", "l_extendedprice", "l_discount"], "l_returnflag"),
     "full_vertex_stats": _with(EMB, """wide AS (SELECT sid, (e || e)[1:100] AS e FROM emb),
 cells AS (
@@ -535,6 +548,17 @@ SELECT file, count(*) AS arrays FROM profiles WHERE file IN (SELECT file FROM ve
     ELSE 'match' END AS status FROM lmks)""") + """
 SELECT status, count(*) AS rows, CASE status WHEN 'recomputed_only' THEN NULL WHEN 'mismatch' THEN 0.25e0 * count(*) ELSE 0e0 END AS diff
 FROM marks GROUP BY status""",
+    "reconcile_digests": """WITH a AS (SELECT o_orderkey AS o, o_totalprice AS p FROM orders),
+b AS (
+  SELECT o, p + CASE WHEN o % 400 = 3 THEN 0.25 ELSE 0 END AS p FROM a WHERE o % 500 <> 7
+  UNION ALL SELECT -o, p FROM a WHERE o % 600 = 1),
+c AS (
+  SELECT CASE WHEN b.o IS NULL THEN 'stored_only' WHEN a.o IS NULL THEN 'recomputed_only' WHEN abs(a.p - b.p) > 1e-9 THEN 'mismatch' ELSE 'match' END
+    AS status, abs(a.p - b.p)::DOUBLE AS d FROM a FULL JOIN b ON a.o = b.o)
+SELECT status, count(*) AS rows, round(sum(d), 6) AS diff FROM c GROUP BY status""",
+    "presence": """SELECT p.p_partkey IS NOT NULL AS has_part, s.s_suppkey IS NOT NULL AS has_supplier, count(*) AS n
+FROM lineitem LEFT JOIN part p ON p.p_partkey = l_partkey + l_linenumber - 4 LEFT JOIN supplier s ON s.s_suppkey = l_suppkey - l_linenumber + 3
+GROUP BY 1, 2""",
     "dangling": """SELECT l_orderkey, l_linenumber, l_partkey + l_linenumber - 4 AS ref FROM lineitem
 WHERE l_partkey + l_linenumber - 4 < 0 OR l_partkey + l_linenumber - 4 NOT IN (SELECT p_partkey FROM part)""",
 }

@@ -89,6 +89,16 @@ def scan_files(spark: SparkSession, folder: str) -> DataFrame:
     return files.listed(pages, ".html")
 
 
+def listing_changes(spark: SparkSession, folder: str) -> DataFrame:
+    """The urls of pages as a listing, refreshed: some of them gone, some longer, all others as they were."""
+    state = f"{ensure_checkpoint_dir(spark)}/listing-{uuid.uuid4().hex}"
+    pages = table(spark, folder, "pages").groupBy(F.col("url").alias("path")).agg(
+        F.max(F.length("html")).cast("bigint").alias("length"), F.max("page_id").alias("modified")).where("path IS NOT NULL")
+    files.refresh_listing(pages.where("NOT (modified % 7 = 3)"), state)
+    later = pages.where("NOT (modified % 11 = 5)").withColumn("length", F.expr("IF(modified % 5 = 2, length + 1, length)"))
+    return files.refresh_listing(later, state).select("path", "length", "change")
+
+
 def rgb(spark: SparkSession, folder: str) -> DataFrame:
     """Images of one, three and four channels from the vectors, some of them broken, as RGB levels."""
     hexed = "lpad(hex(pmod(CAST(floor(x * 1000) AS bigint), 256)), 2, '0')"
@@ -210,6 +220,15 @@ def metric_rows(spark: SparkSession, folder: str) -> DataFrame:
     return reporting.metric_rows(last).unionByName(reporting.rate_rows(rates))
 
 
+def metric_log(spark: SparkSession, folder: str) -> DataFrame:
+    """The log after all epochs are written and the even ones written once more, their losses as they were."""
+    path = f"{ensure_checkpoint_dir(spark)}/metrics-{uuid.uuid4().hex}"
+    rows = metric_rows(spark, folder)
+    sinks.write_metrics(rows.withColumn("value", F.expr("IF(step % 2 = 0, value + 1, value)")), path)
+    sinks.write_metrics(rows.where("step % 2 = 0"), path)
+    return sinks.read_metrics(spark, path)
+
+
 # --- curation -----------------------------------------------------------------------------------
 
 
@@ -237,6 +256,14 @@ def name_rows(spark: SparkSession, folder: str) -> DataFrame:
     return curation.name_rows(docs, ["doc_id"], key="doc_id").select("doc_id", "source", "stem")
 
 
+def name_new(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents named in two runs, English ones first; the second run names only those that have no name yet."""
+    docs = table(spark, folder, "documents").select("doc_id", "lang")
+    path = f"{ensure_checkpoint_dir(spark)}/names-{uuid.uuid4().hex}"
+    curation.name_new(docs.where("lang = 'en'"), path, ["doc_id"], "doc_id")
+    return curation.name_new(docs, path, ["doc_id"], "doc_id")
+
+
 def first_detection(spark: SparkSession, folder: str) -> DataFrame:
     turns = table(spark, folder, "conversations")
     return curation.first_detection(turns, "conv_id", "turn").select("conv_id", "turn", "role", "text")
@@ -442,11 +469,15 @@ def pose_offset(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def skin(spark: SparkSession, folder: str) -> DataFrame:
-    """Shaped vertices skinned by a join to the samples' transforms, without the pose offset."""
+    """Shaped vertices skinned by a join to the samples' transforms, without the pose offset; both are written bucketed by
+    sample first."""
     model = small_model(spark)
     verts = geometry.shape_verts(groups(spark, folder), model)
-    moves = geometry.skin_transforms(framed(spark, folder, model.parents), model.n_joints)
-    return rounded(geometry.skin(verts, moves, model), *"xyz")
+    moves = geometry.skin_transforms(framed(spark, folder, model.parents), model.n_joints).select("sid", "transforms")
+    place = f"{ensure_checkpoint_dir(spark)}/skin-{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tables = [sinks.write_bucketed(df, f"{place}/{name}", "sid", buckets) for name, df in (("verts", verts), ("moves", moves))]
+    return rounded(geometry.skin(*tables, model, colocated=True), *"xyz")
 
 
 def translate(spark: SparkSession, folder: str) -> DataFrame:
@@ -464,7 +495,14 @@ def landmarks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def landmarks_of_vertices(spark: SparkSession, folder: str) -> DataFrame:
-    """Landmarks gathered from all decoded vertices."""
+    """Landmarks gathered from all decoded vertices of a sample's row."""
+    model = small_model(spark)
+    verts = geometry.decode_dense(groups(spark, folder), model, COMPACT_LAYOUT, landmarks=False)
+    return rounded(geometry.unroll_points(geometry.gather_landmarks(verts, model), points="landmarks"), *"xyz")
+
+
+def landmarks_of_long_vertices(spark: SparkSession, folder: str) -> DataFrame:
+    """The same from a table of vertices, one a row, as it is stored."""
     model = small_model(spark)
     verts, _ = geometry.decode(groups(spark, folder), model, COMPACT_LAYOUT)
     return rounded(geometry.landmarks3d(verts, model), *"xyz")
@@ -534,6 +572,17 @@ def landmark_mse_joined(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(losses.landmark_mse(losses.align_landmarks(shown, truth), ["label"]), "value")
 
 
+def landmark_mse_partial(spark: SparkSession, folder: str) -> DataFrame:
+    """Landmark errors by label with a truth table that lacks all samples of the odd labels: these count 0."""
+    rows = samples(spark, folder)
+    truth = with_truth(rows.where("label % 2 = 0").select("sid")).select("sid", F.posexplode("truth").alias("lmk", "p")).select(
+        "sid", "lmk", "p.x", "p.y"
+    )
+    found = geometry.decode_dense(groups(spark, folder), small_model(spark), COMPACT_LAYOUT, keep=["label"])
+    shown = geometry.project(geometry.unroll_points(found))
+    return rounded(losses.landmark_mse(losses.align_landmarks(shown, truth), ["label"]), "value")
+
+
 def regularizer(term: str) -> Query:
     def query(spark: SparkSession, folder: str) -> DataFrame:
         cut = params.split_vector(samples(spark, folder), "coeffs", COMPACT_LAYOUT)
@@ -636,6 +685,15 @@ def axis_stats(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(stats, "mean", "std", "min", "max")
 
 
+def merged_stats(spark: SparkSession, folder: str) -> DataFrame:
+    """Statistics of order lines by flag, merged from states by flag and month of shipment."""
+    cols = ["l_quantity", "l_extendedprice", "l_discount"]
+    lines = table(spark, folder, "lineitem").withColumn("month", F.trunc("l_shipdate", "month"))
+    states = reporting.moment_states(lines, cols, ["l_returnflag", "month"])
+    merged = reporting.merge_states(states.drop("month"), ["l_returnflag"])
+    return rounded(reporting.stats_of_states(merged, ["l_returnflag"]), "mean", "std", "min", "max")
+
+
 def vertex_stats(spark: SparkSession, folder: str) -> DataFrame:
     rows = geometry.decode_dense(groups(spark, folder), small_model(spark), COMPACT_LAYOUT, landmarks=False)
     stats = reporting.axis_stats(geometry.unroll_points(rows, "v"), ["x", "y", "z"], ["sid"])
@@ -723,6 +781,24 @@ def reconcile(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(quality.reconcile_summary(checked), "diff")
 
 
+def reconcile_digests(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders against a copy with some missing, added and moved, digests first."""
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    copy = orders.where("NOT (o_orderkey % 500 = 7)").withColumn(
+        "o_totalprice", F.expr("IF(o_orderkey % 400 = 3, o_totalprice + 0.25, o_totalprice)"))
+    extra = orders.where("o_orderkey % 600 = 1").withColumn("o_orderkey", -F.col("o_orderkey"))
+    checked = quality.reconcile_by_digest(orders, copy.unionByName(extra), ["o_orderkey"], ["o_custkey", "o_totalprice"])
+    return rounded(checked, "diff")
+
+
+def presence(spark: SparkSession, folder: str) -> DataFrame:
+    """Order lines by whether their shifted part, and their shifted supplier, exist."""
+    refs = table(spark, folder, "lineitem").selectExpr("l_partkey + l_linenumber - 4 AS part", "l_suppkey - l_linenumber + 3 AS supplier")
+    found = quality.with_presence(refs, "part", table(spark, folder, "part"), "p_partkey", "has_part")
+    found = quality.with_presence(found, "supplier", table(spark, folder, "supplier"), "s_suppkey", "has_supplier")
+    return found.groupBy("has_part", "has_supplier").agg(F.count("*").alias("n"))
+
+
 def dangling(spark: SparkSession, folder: str) -> DataFrame:
     refs = table(spark, folder, "lineitem").select(
         "l_orderkey", "l_linenumber", (F.col("l_partkey") + F.col("l_linenumber") - 4).alias("ref")
@@ -732,6 +808,7 @@ def dangling(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "scan_files": scan_files,
+    "listing_changes": listing_changes,
     "rgb": rgb,
     "model_tables": model_tables,
     "landmark_ingest": landmark_ingest,
@@ -740,11 +817,13 @@ QUERIES: dict[str, Query] = {
     "land_corpus": land_corpus,
     "obj_lines": obj_lines,
     "metric_rows": metric_rows,
+    "metric_log": metric_log,
     "pair": pair,
     "orphans": orphans,
     "pair_counts": pair_counts,
     "pending": pending,
     "name_rows": name_rows,
+    "name_new": name_new,
     "first_detection": first_detection,
     "classify": classify,
     "tally": tally,
@@ -776,6 +855,7 @@ QUERIES: dict[str, Query] = {
     "translate": translate,
     "landmarks": landmarks,
     "landmarks_of_vertices": landmarks_of_vertices,
+    "landmarks_of_long_vertices": landmarks_of_long_vertices,
     "landmarks_dense": landmarks_dense,
     "screen_points": screen_points,
     "decode": decode,
@@ -784,6 +864,7 @@ QUERIES: dict[str, Query] = {
     "pixel_l1": pixel_l1,
     "landmark_mse": landmark_mse,
     "landmark_mse_joined": landmark_mse_joined,
+    "landmark_mse_partial": landmark_mse_partial,
     **{term: regularizer(term) for term in losses.REGULARIZERS},
     "loss_gate": loss_gate,
     "term_table": term_table,
@@ -797,6 +878,7 @@ QUERIES: dict[str, Query] = {
     "with_settings": with_settings,
     "last_batch": last_batch,
     "axis_stats": axis_stats,
+    "merged_stats": merged_stats,
     "vertex_stats": vertex_stats,
     "group_stats": group_stats,
     "non_finite": non_finite,
@@ -807,5 +889,7 @@ QUERIES: dict[str, Query] = {
     "contract_types": contract_types,
     "contract_failures": contract_failures,
     "reconcile": reconcile,
+    "reconcile_digests": reconcile_digests,
+    "presence": presence,
     "dangling": dangling,
 }

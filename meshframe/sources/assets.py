@@ -48,39 +48,41 @@ class FaceModel:
         Every other step relies on it: ids run from 0 without gaps or repeats, each vertex has one row in
         every table, and references point at rows that exist.
         """
-        n = {"vertex": self.n_vertices, "joint": self.n_joints}
-        checks: dict[str, DataFrame] = {}
+        v = self.n_vertices
+        checks: list[tuple[DataFrame, dict[str, Column]]] = []
 
-        def ids(name: str, df: DataFrame, col: str, count: int | None) -> None:
-            found = df.agg(F.count("*").alias("rows"), F.count_distinct(col).alias("ids"), F.min(col).alias("low"), F.max(col).alias("high"))
-            size = F.lit(count) if count is not None else F.col("rows")
-            fine = (F.col("rows") == size) & (F.col("ids") == size) & (size == 0) | (
-                (F.col("rows") == size) & (F.col("ids") == size) & (F.col("low") == 0) & (F.col("high") == size - 1))
-            checks[f"{name}: ids are not 0 to {'rows' if count is None else count} - 1, once each"] = found.where(~F.coalesce(fine, F.lit(False)))
+        def ids(col: str, count: int | None) -> tuple[str, Column]:
+            rows = F.count("*")
+            size = F.lit(count) if count is not None else rows
+            fine = (rows == size) & (F.count_distinct(col) == size) & ((size == 0) | ((F.min(col) == 0) & (F.max(col) == size - 1)))
+            return f"ids are not 0 to {'rows' if count is None else count} - 1, once each", ~F.coalesce(fine, F.lit(False))
 
-        def inside(name: str, df: DataFrame, cols: Sequence[str], count: int) -> None:
+        def inside(cols: Sequence[str], count: int) -> tuple[str, Column]:
             bad = [F.col(c).isNull() | (F.col(c) < 0) | (F.col(c) >= count) for c in cols]
-            checks[f"{name}: reference outside 0 to {count} - 1"] = df.where(reduce(or_, bad))
+            return f"reference outside 0 to {count} - 1", F.count_if(reduce(or_, bad)) > 0
 
-        def width(name: str, df: DataFrame, cols: Sequence[str], size: int) -> None:
+        def width(cols: Sequence[str], size: int) -> tuple[str, Column]:
             bad = [F.coalesce(F.size(c), F.lit(-1)) != size for c in cols]
-            checks[f"{name}: not {size} numbers"] = df.where(reduce(or_, bad))
-
-        for name in ("template", "skin", "shape_basis", "expr_basis", "pose_basis"):
-            ids(name, getattr(self, name), "v", n["vertex"])
-        width("skin", self.skin, ["w"], n["joint"])
-        width("shape_basis", self.shape_basis, ["bx", "by", "bz"], self.n_shape)
-        width("expr_basis", self.expr_basis, ["bx", "by", "bz"], self.n_expr)
-        if self.uses_pose:
-            width("pose_basis", self.pose_basis, ["px", "py", "pz"], self.n_pose)
-        inside("joint_reg vertices", self.joint_reg, ["v"], n["vertex"])
-        ids("faces", self.faces, "f", None)
-        inside("faces", self.faces, ["a", "b", "c"], n["vertex"])
+            return f"not {size} numbers", F.count_if(reduce(or_, bad)) > 0
+
+        def check(name: str, df: DataFrame, *found: tuple[str, Column]) -> None:
+            checks.append((df, {f"{name}: {text}": bad for text, bad in found}))
+
+        basis = ["bx", "by", "bz"]
+        check("template", self.template, ids("v", v))
+        check("skin", self.skin, ids("v", v), width(["w"], self.n_joints))
+        check("shape_basis", self.shape_basis, ids("v", v), width(basis, self.n_shape))
+        check("expr_basis", self.expr_basis, ids("v", v), width(basis, self.n_expr))
+        check("pose_basis", self.pose_basis, ids("v", v), *([width(["px", "py", "pz"], self.n_pose)] if self.uses_pose else []))
+        check("joint_reg vertices", self.joint_reg, inside(["v"], v))
+        check("faces", self.faces, ids("f", None), inside(["a", "b", "c"], v))
         if self.lmk_embed is not None:
-            ids("lmk_embed", self.lmk_embed, "lmk", self.n_landmarks)
-            checks["lmk_embed: landmark without its face"] = self.lmk_embed.join(self.faces, "f", "left_anti")
-        marked = [df.limit(1).select(F.lit(name).alias("problem")) for name, df in checks.items()]
-        return sorted(r["problem"] for r in reduce(DataFrame.unionAll, marked).collect())
+            check("lmk_embed", self.lmk_embed, ids("lmk", self.n_landmarks))
+            lost = self.lmk_embed.join(self.faces, "f", "left_anti")
+            check("lmk_embed", lost, ("landmark without its face", F.count("*") > 0))
+        # One aggregate for each table, all in one job.
+        rows = [df.agg(F.array_compact(F.array(*[F.when(bad, F.lit(text)) for text, bad in found.items()])).alias("found")) for df, found in checks]
+        return sorted(text for r in reduce(DataFrame.unionAll, rows).collect() for text in r["found"])
 
     def verify(self) -> None:
         if self.problems:
@@ -179,16 +181,21 @@ def load_assets(spark: SparkSession, folder: str, n_shape: int, n_exp: int,
                 found[name] = spark.read.parquet(f"{folder}/{name}")
     template = found["template"]
     expr_given = "expr_basis" in found
-    sizes = template.agg(F.count("*").alias("v")).first()
-    skin_width = found["skin"].agg(F.max(F.size("w"))).first()[0]
-    pose_width = found["pose_basis"].agg(F.max(F.size("px"))).first()[0]
-    shape_width = found["shape_basis"].agg(F.max(F.size("bx"))).first()[0]
-    expr_width = found["expr_basis"].agg(F.max(F.size("bx"))).first()[0] if expr_given else n_exp
+    embed = found.get("lmk_embed")
+    # All sizes in one job.
+    asked = {"v": template.agg(F.count("*")), **{
+        name: found[name].agg(F.max(F.size(col)))
+        for name, col in (("skin", "w"), ("pose_basis", "px"), ("shape_basis", "bx"), ("expr_basis", "bx")) if name in found}}
+    if embed is not None:
+        asked["lmk_embed"] = embed.agg(F.count("*"))
+    rows = [df.toDF("n").select(F.lit(name).alias("name"), F.col("n").cast("bigint").alias("n")) for name, df in asked.items()]
+    sizes = {r["name"]: r["n"] for r in reduce(DataFrame.unionAll, rows).collect()}
+    skin_width, pose_width, shape_width = sizes["skin"], sizes["pose_basis"], sizes["shape_basis"]
+    expr_width = sizes["expr_basis"] if expr_given else n_exp
     parents = None
     if "joints" in found:
         rows = found["joints"].orderBy("j").limit(skin_width).collect()
         parents = {r["j"]: r["parent"] for r in rows}
-    embed = found.get("lmk_embed")
     model = FaceModel(
         template=template,
         shape_basis=cut_basis(found["shape_basis"], min(n_shape, shape_width)),
@@ -198,9 +205,9 @@ def load_assets(spark: SparkSession, folder: str, n_shape: int, n_exp: int,
         skin=found["skin"],
         faces=found["faces"],
         lmk_embed=embed,
-        n_landmarks=0 if embed is None else embed.count(),
+        n_landmarks=sizes.get("lmk_embed", 0),
         parents=tree_parents(parents, skin_width),
-        n_vertices=int(sizes["v"]),
+        n_vertices=sizes["v"],
         n_shape=min(n_shape, shape_width),
         n_expr=min(n_exp, expr_width) if expr_given else 0,
         n_pose=pose_width,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import re
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshframe.operators.curation import LANDMARK_COUNT, LANDMARK_DIM
+from meshframe.session import path_exists
 
 # File bytes travel to Python, so batches of files are kept small.
 _FILES_PER_BATCH = 64
@@ -47,6 +49,50 @@ def listed(files: DataFrame, ext: str) -> DataFrame:
     return named.groupBy("stem").agg(F.min(F.struct("path", "length")).alias("_f")).select("stem", "_f.*")
 
 
+def list_names(spark: SparkSession, folder: str, ext: str) -> DataFrame:
+    """Files of a folder with hidden ones (names that start with ``_`` or ``.``), which Spark's own sources pass over:
+    (path, length, modified). The names of one folder are asked for on the driver, contents are not read."""
+    location = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    found = location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(location)
+    rows = [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in found if f.isFile() and f.getPath().getName().endswith(ext)]
+    return spark.createDataFrame(rows, "path string, length long, modified long")
+
+
+def listed_files(spark: SparkSession, folder: str, ext: str, hidden: bool = False) -> DataFrame:
+    """Files of a folder ending in ``ext``: (path, length, modified in milliseconds)."""
+    if hidden:
+        return list_names(spark, folder, ext)
+    return _binary_files(spark, folder, ext).select("path", "length", F.unix_millis("modificationTime").alias("modified"))
+
+
+def listing_changes(listing: DataFrame, known: DataFrame) -> DataFrame:
+    """(path, length, modified, change): what a listing has ``added``, ``changed`` (length or time) or ``deleted`` since ``known``."""
+    old = known.select(F.col("path").alias("_path"), F.col("length").alias("_length"), F.col("modified").alias("_modified"))
+    moved = ~(F.col("length").eqNullSafe(F.col("_length")) & F.col("modified").eqNullSafe(F.col("_modified")))
+    change = F.when(F.col("_path").isNull(), "added").when(F.col("path").isNull(), "deleted").when(moved, "changed")
+    return listing.join(old, F.col("path") == F.col("_path"), "full_outer").withColumn("change", change).where("change IS NOT NULL").select(
+        F.coalesce("path", "_path").alias("path"), "length", "modified", "change")
+
+
+def known_files(spark: SparkSession, state: str) -> DataFrame:
+    """The listing as the state folder has it: the last word on each path, without deleted ones."""
+    if not path_exists(spark, state):
+        return spark.createDataFrame([], "path string, length long, modified long")
+    last = spark.read.parquet(state).groupBy("path").agg(F.max_by(F.struct("length", "modified", "change"), "run").alias("_s"))
+    return last.select("path", "_s.*").where("change <> 'deleted'").drop("change")
+
+
+def refresh_listing(listing: DataFrame, state: str) -> DataFrame:
+    """Changes of a listing (path, length, modified) since the last refresh, which are appended to the state folder.
+
+    The state grows by what changes and is never rewritten. The changes are read back from the state.
+    """
+    spark, run = listing.sparkSession, time.time_ns()
+    changes = listing_changes(listing, known_files(spark, state)).withColumn("run", F.lit(run))
+    changes.write.mode("append").parquet(state)
+    return spark.read.parquet(state).where(F.col("run") == run).drop("run")
+
+
 def decode_arrays(df: DataFrame, key: str = "stem", content: str = "content",
                   n: int = LANDMARK_COUNT, d: int = LANDMARK_DIM) -> DataFrame:
     """Array files to landmark points: (key, points, reason).

@@ -8,19 +8,14 @@ from pyspark.sql.streaming import StreamingQuery
 from meshframe.sources.sinks import land_corpus
 
 
-def land_pending(records: DataFrame, path: str, key: str = "stem", points: str = "points") -> None:
-    """Land the records; those that are landed with landmarks already stay as they are unless new ones have them too."""
-    land_corpus(records, path, key, points)
-
-
 def land_stream(records: DataFrame, path: str, checkpoint: str, key: str = "stem", points: str = "points") -> StreamingQuery:
     """Process everything that has arrived since the last run, then stop.
 
-    Landing keeps one record per key, so a repeated micro-batch changes nothing; it reads only the folders of
-    the keys it brings.
+    A micro-batch is appended; what is landed is neither read nor rewritten but for folders due for compaction. The corpus has one
+    record per key when it is read, so a repeated micro-batch changes nothing.
     """
     return (
-        records.writeStream.foreachBatch(lambda batch, _: land_pending(batch, path, key, points))
+        records.writeStream.foreachBatch(lambda batch, _: land_corpus(batch, path, key, points))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

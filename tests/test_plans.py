@@ -41,3 +41,12 @@ def test_losses_take_one_shuffle_after_batching(spark):
     plan = plan_of(spark, "batch_losses")
     assert len(re.findall(r"Exchange hashpartitioning\(batch", plan)) == 1
     assert plan.count("MapInArrow") == 1
+
+
+def test_colocated_skinning_moves_no_row(spark):
+    plan = plan_of(spark, "skin")
+    assert "SortMergeJoin" in plan and not re.findall(r"(?<!Broadcast)Exchange", plan)
+
+
+def test_batches_neither_sort_nor_shuffle(spark):
+    assert not re.findall(r"Exchange|Sort", plan_of(spark, "batches"))

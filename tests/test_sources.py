@@ -162,7 +162,7 @@ def test_landing_resumes(spark, tmp_path):
     path = str(tmp_path / "corpus")
     rows = spark.createDataFrame([("a", [1.0]), ("b", None)], "stem string, points array<double>")
     sinks.land_corpus(rows, path)
-    left = pending(rows, *sinks.landed_keys(spark.read.parquet(path)), "stem")
+    left = pending(rows, *sinks.landed_keys(sinks.read_corpus(spark, path)), "stem")
     assert [r.stem for r in left.collect()] == ["b"]
 
 
@@ -177,12 +177,75 @@ def test_stream_lands_new_records_once(spark, tmp_path):
     spark.createDataFrame([("b", [2.0]), ("c", None)], schema).write.mode("append").parquet(str(source))
     run(0)
     run(1)
-    assert sorted(r.stem for r in spark.read.parquet(path).collect()) == ["a", "b", "c"]
-
-
-def test_metric_sink(spark, tmp_path):
-    df = spark.createDataFrame([("Loss/x", 1, 0.5)], "tag string, step int, value double")
-    sinks.write_metrics(df, str(tmp_path / "m"))
-    sinks.write_metrics(df, str(tmp_path / "m"))
-    back = spark.read.parquet(str(tmp_path / "m"))
-    assert back.count() == 2 and dict(back.dtypes) == {"tag": "string", "step": "bigint", "value": "double"}
+    assert sorted(r.stem for r in sinks.read_corpus(spark, path).collect()) == ["a", "b", "c"]
+
+
+def test_a_retried_epoch_replaces_its_metrics(spark, tmp_path):
+    path = str(tmp_path / "m")
+    def log(*rows):
+        sinks.write_metrics(spark.createDataFrame(list(rows), "tag string, step int, value double"), path)
+    log(("Loss/x", 1, 0.5), ("Loss/x", 2, 0.4), ("Loss/y", 2, 0.1))
+    log(("Loss/x", 1, 0.5), ("Loss/x", 2, 0.4), ("Loss/y", 2, 0.1))
+    log(("Loss/x", 2, 0.3), ("Loss/x", 3, 0.2), ("Loss/x", 3, 0.1))
+    back = sinks.read_metrics(spark, path)
+    assert dict(back.dtypes) == {"tag": "string", "step": "bigint", "value": "double"}
+    assert sorted(map(tuple, back.collect())) == [("Loss/x", 1, 0.5), ("Loss/x", 2, 0.3), ("Loss/x", 3, 0.2), ("Loss/y", 2, 0.1)]
+
+
+def files_of(folder):
+    return {str(p.relative_to(folder)): p.stat().st_mtime_ns for p in folder.rglob("*.parquet") if "layout" not in str(p)}
+
+
+def test_landing_appends_and_leaves_landed_files_alone(spark, tmp_path):
+    path = tmp_path / "corpus"
+    landed = spark.range(20_000).selectExpr("concat('k', id) AS stem", "array(CAST(id AS double)) AS points")
+    sinks.land_corpus(landed, str(path), buckets=8)
+    before = files_of(path)
+    sinks.land_corpus(landed.limit(100).unionByName(spark.createDataFrame([("new", None)], "stem string, points array<double>")), str(path))
+    after = files_of(path)
+    assert all(after.get(name) == at for name, at in before.items()) and len(after) > len(before)
+    back = sinks.read_corpus(spark, str(path))
+    assert back.count() == 20_001 and back.select("stem").distinct().count() == 20_001
+    assert back.columns == ["stem", "points"]
+
+
+def test_the_better_record_of_a_key_wins_before_and_after_compaction(spark, tmp_path):
+    path, schema = str(tmp_path / "corpus"), "stem string, points array<double>, v int"
+    runs = [
+        [("a", [1.0], 1), ("b", None, 1), ("c", None, 1)], [("a", None, 2), ("b", [2.0], 2), ("d", None, 2)],
+        [("a", [3.0], 3), ("c", None, 3)], [("a", [3.0], 3), ("c", None, 3)]]
+    want = [("a", [3.0], 3), ("b", [2.0], 2), ("c", None, 3), ("d", None, 2)]
+    for share in (0.0, 0.5, 1e9):
+        where = f"{path}-{share}"
+        for rows in runs:
+            sinks.land_corpus(spark.createDataFrame(rows, schema), where, buckets=2, share=share)
+        assert sorted(map(tuple, sinks.read_corpus(spark, where).collect())) == want
+        sinks.compact(spark, where, share=0.0)
+        assert sorted(map(tuple, sinks.read_corpus(spark, where).collect())) == want
+
+
+def test_a_corpus_keeps_and_grows_its_folders(spark, tmp_path):
+    path = tmp_path / "corpus"
+    rows = spark.range(500).selectExpr("concat('k', id) AS stem", "array(1D) AS points")
+    sinks.land_corpus(rows, str(path), buckets=3)
+    sinks.land_corpus(rows.limit(10), str(path), buckets=7)
+    assert sinks.corpus_buckets(spark, str(path)) == 3
+    sinks.grow_corpus(spark, str(path), 5)
+    sinks.land_corpus(spark.createDataFrame([("x", None)], "stem string, points array<double>"), str(path))
+    assert sinks.corpus_buckets(spark, str(path)) == 5
+    assert {p.name.split("-")[1] for p in path.iterdir() if "-" in p.name} == {"5"}
+    assert sinks.read_corpus(spark, str(path)).count() == 501
+
+
+def test_records_without_a_key_are_refused(spark, tmp_path):
+    with pytest.raises(Exception, match="without a key"):
+        sinks.land_corpus(spark.createDataFrame([(None, [1.0])], "stem string, points array<double>"), str(tmp_path / "c"))
+
+
+def test_bucketed_tables_join_without_an_exchange(spark, tmp_path):
+    left = spark.range(300).selectExpr("id % 40 AS sid", "id AS v")
+    right = spark.range(40).selectExpr("id AS sid", "id * 2 AS w")
+    a, b = (sinks.write_bucketed(df, str(tmp_path / n), "sid", 4) for n, df in (("l", left), ("r", right)))
+    joined = a.join(b.hint("merge"), "sid")
+    assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, joined.collect())) == sorted((i % 40, i, i % 40 * 2) for i in range(300))
