@@ -18,18 +18,19 @@ MOST = 2
 # Each level of the histogram splits a range of hashes into 2 ** BITS buckets.
 BITS = 10
 _HASH_BITS = 60
+TOP_SHIFT = _HASH_BITS - BITS
 
 
-def source_targets(lumps: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = SHARE,
+def source_targets(sums: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = SHARE,
                    most: int = MOST) -> DataFrame:
-    """One row per source: weight, source_size and target.
+    """One row per source: weight, source_size and target, from partial sums (source, size).
 
     Sources are ordered by code point, null last, and take the weights in turn. Targets share ``share``
     of all sizes by weight; one that would exceed ``most`` times its source stops there, and the excess
     is shared again by weight among the rest. Only sums come to the driver.
     """
     sources = number_rows(
-        lumps.groupBy("source").agg(F.sum("size").alias("source_size")), [F.col("source").asc_nulls_last()], "_nth"
+        sums.groupBy("source").agg(F.sum("size").alias("source_size")), [F.col("source").asc_nulls_last()], "_nth"
     ).withColumn("weight", F.element_at(
         F.array(*[F.lit(w) for w in weights]), (F.pmod("_nth", F.lit(len(weights))) + 1).cast("int"))).drop("_nth")
     total = sources.agg(F.sum("source_size")).first()[0] or 0
@@ -48,25 +49,30 @@ def source_targets(lumps: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return sources.withColumn("target", target)
 
 
-def _thresholds(lumps: DataFrame, sources: DataFrame) -> DataFrame:
+def _histogram(rows: DataFrame, shift: int) -> DataFrame:
+    """Sizes by source and bucket of hashes, with the bucket's lowest and highest hash; sums meet before they are shuffled."""
+    return rows.groupBy("source", F.shiftright("hash", shift).alias("bucket")).agg(
+        F.sum("size").alias("size"), F.min("hash").alias("low"), F.max("hash").alias("high"))
+
+
+def _thresholds(rows: DataFrame, first: DataFrame, sources: DataFrame) -> DataFrame:
     """Per source the threshold: of the hashes below it the sizes come to at most ``rest``, and with the
     next hash they would pass it; ``rest`` becomes what is then still wanted.
 
-    Each level sums sizes by source and bucket and keeps only the rows of the bucket in which the sum
-    passes the budget, so a level reads some 2 ** BITS times fewer rows than the one before.
+    ``first`` is the histogram of all rows at the top level. Each level finds the bucket in which the sum passes the budget and
+    keeps only its rows for the next, some 2 ** BITS times fewer than before.
     """
     state = sources.select("source", "rest", F.lit(0).cast("bigint").alias("threshold"))
-    edge = lumps
-    for shift in range(_HASH_BITS - BITS, -1, -BITS):
-        bucket = F.shiftright("hash", shift)
-        hist = edge.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("size"), F.count("*").alias("n"))
+    edge, hist = rows, first
+    for shift in range(TOP_SHIFT, -1, -BITS):
         running = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
         crossing = (
             hist.withColumn("upto", F.sum("size").over(running))
             .join(state.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")))
             .where(F.col("upto") > F.col("rest"))
-            .groupBy("source").agg(F.min(F.struct("bucket", "upto", "size", "n", "rest")).alias("at"))
-            .select("source", "at.bucket", "at.n", (F.col("at.rest") - F.col("at.upto") + F.col("at.size")).alias("rest"))
+            .groupBy("source").agg(F.min(F.struct("bucket", "upto", "size", "low", "high", "rest")).alias("at"))
+            .select("source", "at.bucket", (F.col("at.low") < F.col("at.high")).alias("several"),
+                    (F.col("at.rest") - F.col("at.upto") + F.col("at.size")).alias("rest"))
         )
         crossing = pin(crossing)
         state = pin(
@@ -75,33 +81,39 @@ def _thresholds(lumps: DataFrame, sources: DataFrame) -> DataFrame:
             .select("source", F.coalesce("_rest", "rest").alias("rest"),
                     F.coalesce(F.shiftleft("bucket", shift), "threshold").alias("threshold"))
         )
-        rows, wide = crossing.agg(F.count("*"), F.count(F.when(F.col("n") > 1, 1))).first()
+        n, wide = crossing.agg(F.count("*"), F.count(F.when(F.col("several"), 1))).first()
         if not wide:
             # Each crossing bucket holds one hash, so its start splits the source as its hash would.
             break
-        marks = broadcast_if_small(crossing.select(F.col("source").alias("_s"), "bucket"), rows, 64)
+        marks = broadcast_if_small(crossing.select(F.col("source").alias("_s"), "bucket"), n, 64)
         edge = pin(edge.join(
-            marks, F.col("source").eqNullSafe(F.col("_s")) & (bucket == F.col("bucket"))
+            marks, F.col("source").eqNullSafe(F.col("_s")) & (F.shiftright("hash", shift) == F.col("bucket"))
         ).drop("_s", "bucket"))
+        hist = _histogram(edge, shift - BITS)
     return state
 
 
-def _fill(lumps: DataFrame, thresholds: DataFrame, n_sources: int) -> DataFrame:
+def _fill(rows: DataFrame, thresholds: DataFrame, n_sources: int) -> DataFrame:
     """Per source the hashes past the threshold that fill what is still wanted.
 
     Of each power of two of the sizes, the first hash past the threshold in each of eight classes of hashes
-    is a candidate; from large to small those that fit are taken, and at last the one that comes nearest to what then remains, if it
-    comes nearer than none. A source has at most 8 * 63 candidates.
+    is a candidate, with the sizes of all its rows; from large to small those that fit are taken, and at last the one that comes nearest
+    to what then remains, if it comes nearer than none. A source has at most 8 * 63 candidates.
     """
     side = broadcast_if_small(thresholds.withColumnRenamed("source", "_s"), n_sources, 64)
-    power = F.length(F.bin("size"))
-    candidates = (
-        lumps.join(side, F.col("source").eqNullSafe(F.col("_s")))
+    first = (
+        rows.join(side, F.col("source").eqNullSafe(F.col("_s")))
         .where((F.col("hash") >= F.col("threshold")) & (F.col("size") > 0) & (F.col("size") < 2 * F.col("rest")))
-        .groupBy("source", power.alias("power"), F.pmod("hash", F.lit(8)).alias("eighth"))
-        .agg(F.min(F.struct("hash", "size")).alias("c"), F.first("rest").alias("rest"))
-        .groupBy("source").agg(
-            F.sort_array(F.collect_list(F.struct("power", "c.hash", "c.size")), asc=False).alias("cs"),
+        .groupBy("source", F.length(F.bin("size")).alias("power"), F.pmod("hash", F.lit(8)).alias("eighth"))
+        .agg(F.min("hash").alias("hash"), F.first("rest").alias("rest"))
+    )
+    first = pin(first.select(F.col("source").alias("_s"), "power", F.col("hash").alias("_h"), "rest"))
+    # Rows of a hash are equal and of one power.
+    whole = rows.join(broadcast_if_small(first, 8 * 63 * n_sources, 64), F.col("source").eqNullSafe(F.col("_s")) & (F.col("hash") == F.col("_h")))
+    candidates = (
+        whole.groupBy("source", "hash").agg(F.sum("size").alias("size"), F.first("power").alias("power"), F.first("rest").alias("rest"))
+        .where(F.col("size") < 2 * F.col("rest")).groupBy("source").agg(
+            F.sort_array(F.collect_list(F.struct("power", "hash", "size")), asc=False).alias("cs"),
             F.first("rest").alias("rest"))
     )
 
@@ -129,35 +141,37 @@ def mix(records: DataFrame, source: Column, size: Column, key: Column, weights:
     hash threshold. Thresholds come from nested histograms; nothing is sorted. Records whose ``key`` and
     source are equal share one hash and are taken alike. A null source is a source of its own; records
     of size 0 are taken as often as the whole source, or once more; an empty table gives none. ``key``, a
-    string, decides the order, so reruns agree. The records are read twice, once for their sums and once to be marked, and never
-    shuffled.
+    string, decides the order, so reruns agree. Columns of the records may have any names but size, source_size, target and copies, which are
+    replaced. The records are read twice, once for source, hash and size, once to be marked, and never shuffled: what is shuffled
+    are sums by source and bucket, and the rows of boundary buckets.
     """
     sized = records.withColumns({
         "_source": source, "size": size.cast("bigint"),
         "_hash": F.conv(F.substring(F.md5(F.coalesce(key, F.lit("")).cast("binary")), 1, _HASH_BITS // 4), 16, 10).cast("bigint"),
     })
-    lumps = sized.groupBy(F.col("_source").alias("source"), F.col("_hash").alias("hash")).agg(F.sum("size").alias("size"))
-    lumps = pin(lumps)
+    rows = pin(sized.select(F.col("_source").alias("source"), F.col("_hash").alias("hash"), "size"))
+    first = pin(_histogram(rows, TOP_SHIFT))
     sources = pin(
-        source_targets(lumps, weights, share, most)
+        source_targets(first, weights, share, most)
         .withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
         .withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
     )
     n = sources.count()
-    thresholds = _thresholds(lumps, sources)
+    thresholds = _thresholds(rows, first, sources)
     plan = pin(
         sources.drop("rest", "weight")
         .join(thresholds.select(F.col("source").alias("_t"), "threshold"), F.col("source").eqNullSafe(F.col("_t")))
-        .join(_fill(lumps, thresholds, n), F.col("source").eqNullSafe(F.col("_s")), "left")
-        .select(F.col("source").alias("_s"), "source_size", "target", "whole", "threshold", "picks")
+        .join(_fill(rows, thresholds, n), F.col("source").eqNullSafe(F.col("_s")), "left")
+        .select(F.col("source").alias("_s"), F.struct("source_size", "target", "whole", "threshold", "picks").alias("_plan"))
     )
-    below = (F.col("_hash") < F.col("threshold")) | F.coalesce(F.array_contains("picks", F.col("_hash")), F.lit(False))
-    more = below & (F.col("whole") < most)
+    below = (F.col("_hash") < F.col("_plan.threshold")) | F.coalesce(F.array_contains("_plan.picks", F.col("_hash")), F.lit(False))
+    more = below & (F.col("_plan.whole") < most)
     return (
         sized.drop("source_size", "target", "copies")
-        .join(broadcast_if_small(plan, n, 1024), F.col("_source").eqNullSafe(F.col("_s")))
-        .withColumn("copies", (F.col("whole") + more.cast("int")).cast("int"))
-        .drop("_source", "_s", "_hash", "whole", "threshold", "picks")
+        .join(broadcast_if_small(plan, n, 8192), F.col("_source").eqNullSafe(F.col("_s")))
+        .withColumns({"source_size": F.col("_plan.source_size"), "target": F.col("_plan.target"),
+                      "copies": (F.col("_plan.whole") + more.cast("int")).cast("int")})
+        .drop("_source", "_s", "_hash", "_plan")
     )
 
 
@@ -192,9 +206,12 @@ plan AS (SELECT *, CASE WHEN ss > 0 THEN floor(target / ss) ELSE 0 END AS whole
 ranked AS (SELECT lump.*, target - whole * ss AS rest, whole, sum(size) OVER (PARTITION BY lump.source ORDER BY h) AS upto
            FROM lump JOIN plan ON lump.source IS NOT DISTINCT FROM plan.source),
 left_ AS (SELECT source, max(rest) - coalesce(max(upto) FILTER (upto <= rest), 0) AS r FROM ranked GROUP BY source),
-cand AS (SELECT ranked.source, length(bin(size)) AS p, min(h) AS h, arg_min(size, h) AS size, max(r) AS r
-  FROM ranked JOIN left_ ON ranked.source IS NOT DISTINCT FROM left_.source
-  WHERE upto > rest AND size > 0 AND size < 2 * r GROUP BY ranked.source, length(bin(size)), h % 8),
+first_ AS (SELECT d.source, length(bin(d.size)) AS p, min(d.h) AS h, max(r) AS r
+  FROM d JOIN ranked ON ranked.source IS NOT DISTINCT FROM d.source AND ranked.h = d.h
+  JOIN left_ ON d.source IS NOT DISTINCT FROM left_.source
+  WHERE upto > rest AND d.size > 0 AND d.size < 2 * r GROUP BY d.source, length(bin(d.size)), d.h % 8),
+cand AS (SELECT first_.source, p, first_.h, size, r FROM first_
+  JOIN lump ON lump.source IS NOT DISTINCT FROM first_.source AND lump.h = first_.h WHERE size < 2 * r),
 queue AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY p DESC, h DESC) AS i FROM cand),
 fold(source, i, h, fits, r) AS (
   SELECT DISTINCT source, 0::BIGINT, NULL::BIGINT, false, r FROM cand UNION ALL
