@@ -18,7 +18,7 @@ MAX_REPEAT_PERCENT = 30
 RULES = ("symbol_share", "upper_share", "dup_line_share", "repeat_share")
 # Cutoffs tried for each rule, the most lenient first.
 CUTOFFS = (0.8, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1, 0.07, 0.05, 0.03, 0.02, 0.01)
-# At most this part of a stratum's good documents may be rejected by all rules together ...
+# At most this part of a stratum's good documents may be rejected by the rules ...
 MAX_FALSE_REJECTION = 0.02
 # ... in all strata at once, except with this probability.
 DELTA = 0.05
@@ -110,45 +110,62 @@ def select_cutoffs(features: DataFrame, stratum: str, good: str, max_false_rejec
     """Certified cutoffs: one row per stratum, a column per rule (null where no cutoff is certified).
 
     ``features`` are labelled rows (``good`` 1 or 0; rows with a null label, and those that the base rules
-    fail, take no part). The risk is split evenly over the rules, so that all together keep it. In each
-    stratum and rule the cutoffs are tested from lenient to strict, each by the exact binomial tail of
-    its false rejections, up to the first that isn't certified (fixed sequence, so no correction
-    within a rule); across strata and rules delta is divided by their number (Bonferroni). Among the certified
-    the one that catches most bad documents, less COST for each good one, is taken, the lenient on ties.
+    fail, take no part). All rules of a stratum tighten together, cutoff by cutoff from lenient to strict, and what is tested is whether
+    any of them rejects, so the whole risk is spent once. Each step is tested by the exact binomial tail of its false rejections, up to the first
+    that isn't certified (fixed sequence, so no correction within a stratum). Across strata delta is divided by the number of those
+    tested, and what a stratum does not need any more, as all its steps are certified, goes to the others (Holm's way). Among the certified
+    steps the one that catches most bad documents, less COST for each good one, is taken, the lenient on ties.
+
+    Strata whose good rows are too few to certify anything, even without a false rejection, are pooled: the bound then holds for the
+    pool as a whole, not for each of them.
     """
-    n_cutoffs, per_rule = len(CUTOFFS), max_false_rejection / len(RULES)
+    n_cutoffs = len(CUTOFFS)
     grid = F.array(*[F.lit(c) for c in CUTOFFS])
-    shares = F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("share")) for r in RULES])
-    long = (
+    # The first step at which some rule rejects.
+    share = F.greatest(*RULES)
+    level = n_cutoffs + 1 - F.size(F.filter(grid, lambda c: share > c))
+    counts = (
         features.where(F.col(good).isNotNull() & ~F.col("base_failed"))
-        .select(F.col(stratum).alias("stratum"), (F.col(good) == 1).alias("is_good"), F.inline(shares))
-        .withColumn("level", n_cutoffs + 1 - F.size(F.filter(grid, lambda c: F.col("share") > c)))
+        .select(F.col(stratum).alias("stratum"), (F.col(good) == 1).alias("is_good"), level.alias("level"))
+        .groupBy("stratum", "level").agg(
+            F.count(F.when(F.col("is_good"), 1)).alias("good"), F.count(F.when(~F.col("is_good"), 1)).alias("bad"))
     )
-    counts = long.groupBy("stratum", "rule", "level").agg(
-        F.count(F.when(F.col("is_good"), 1)).alias("good"), F.count(F.when(~F.col("is_good"), 1)).alias("bad"))
+    counts = pin(counts)
+    sizes = counts.groupBy("stratum").agg(F.sum("good").alias("n_good"))
+    strata = sizes.agg(F.count("*")).scalar()
+    # (1 - risk) ** n above its share of delta: no n rows could certify a step.
+    few = F.pow(F.lit(1 - max_false_rejection), F.col("n_good")) * strata > delta
+    marked = sizes.select(F.col("stratum").alias("_s"), few.alias("pooled"))
+    placed = counts.join(marked, F.col("stratum").eqNullSafe(F.col("_s"))).select(
+        F.col("pooled"), F.when(~F.col("pooled"), F.col("stratum")).alias("unit"), "level", "good", "bad")
     # At most one entry per cutoff in each list.
-    cells = counts.groupBy("stratum", "rule").agg(
+    cells = placed.groupBy("pooled", "unit", "level").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).groupBy("pooled", "unit").agg(
         F.collect_list(F.struct("level", "good", "bad")).alias("levels"), F.sum("good").alias("n_good"))
-    tests = cells.agg(F.count("*")).scalar()
     upto = lambda j, what: F.aggregate(
         "levels", F.lit(0).cast("bigint"), lambda s, x: s + F.when(x["level"] <= j, x[what]).otherwise(0))
-    tried = (
+    tried = pin(
         cells.select("*", F.explode(F.sequence(F.lit(1), F.lit(n_cutoffs))).alias("j"))
         .withColumns({"n_false": upto(F.col("j"), "good"), "n_caught": upto(F.col("j"), "bad")})
-        .withColumn("tail", binomial_tail(F.col("n_false"), F.col("n_good"), per_rule))
-        .withColumn("certified", F.col("tail") * tests <= delta)
+        .withColumn("tail", binomial_tail(F.col("n_false"), F.col("n_good"), max_false_rejection)).drop("levels")
     )
+    # A step counts with the worst of those before it. Units whose last step holds at delta over the units still open leave their share to them.
+    worst = tried.groupBy("pooled", "unit").agg(F.max("tail").alias("worst"))
+    ranked = worst.agg(F.array_sort(F.collect_list("worst")).alias("w"), F.count("*").alias("n"))
+    closed = F.aggregate("w", F.lit(0), lambda k, w: F.when(w * (F.col("n") - k) <= delta, k + 1).otherwise(k))
+    open_units = ranked.select(F.greatest(F.col("n") - closed, F.lit(1))).scalar()
+    tried = tried.withColumn("certified", F.col("tail") * open_units <= delta)
     worth = F.col("n_caught") - COST * F.col("n_false")
     chosen = (
-        tried.groupBy("stratum", "rule").agg(
+        tried.groupBy("pooled", "unit").agg(
             F.min(F.when(~F.col("certified"), F.col("j"))).alias("stop"),
             F.collect_list(F.struct(worth.alias("worth"), (-F.col("j")).alias("lenient"))).alias("options"))
         .withColumn("best", F.array_max(F.filter(
             "options", lambda o: (-o["lenient"] < F.coalesce("stop", F.lit(n_cutoffs + 1))) & (o["worth"] > 0))))
-        .withColumn("cutoff", F.get(grid, -F.col("best.lenient") - 1))
+        .select(F.col("pooled").alias("_p"), "unit", F.get(grid, -F.col("best.lenient") - 1).alias("cutoff"))
     )
-    return chosen.groupBy("stratum").agg(
-        *[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"max_{r}") for r in RULES])
+    same = (F.col("pooled") == F.col("_p")) & F.when(F.col("pooled"), F.lit(True)).otherwise(F.col("_s").eqNullSafe(F.col("unit")))
+    return marked.join(broadcast_if_small(chosen, 1024, 64), same).select(
+        F.col("_s").alias("stratum"), *[F.col("cutoff").alias(f"max_{r}") for r in RULES])
 
 
 def judge(features: DataFrame, cutoffs: DataFrame, stratum: str) -> DataFrame:
@@ -174,7 +191,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with their counts and verdict; strata are languages, a null language is one too.
 
     A null doc_id has no label and is judged like others; repeated rows are judged alike. Without
-    labels, or with too few in a stratum, only the base rules reject. An empty table gives no rows.
+    labels only the base rules reject; languages with too few are certified together, as a pool. An empty table gives no rows.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     features = pin(text_features(docs).drop("text"))
