@@ -2,6 +2,7 @@
 
 import math
 import random
+from fractions import Fraction
 
 import brute
 import pytest
@@ -99,16 +100,81 @@ def cutoffs(spark, rows):
         spark.createDataFrame(rows, f"lang string, quality int, base_failed boolean, {shares}"), "lang", "quality").collect()}
 
 
+def tail(k, n, p):
+    """P(X <= k), exactly."""
+    if k >= n * p:
+        return 1.0
+    return float(sum(math.comb(n, i) * Fraction(p) ** i * (1 - Fraction(p)) ** (n - i) for i in range(k + 1)))
+
+
+def plain_cutoffs(rows, risk=quality.MAX_FALSE_REJECTION, delta=quality.DELTA):
+    """Cutoff of each stratum from (stratum, good, base_failed, shares)."""
+    used = [(s, g == 1, max(shares)) for s, g, failed, *shares in rows if g is not None and not failed]
+    strata = {s for s, _, _ in used}
+    good = {s: sum(g for t, g, _ in used if t == s) for s in strata}
+    unit = {s: ("pool" if (1 - risk) ** good[s] * len(strata) > delta else "own", s) for s in strata}
+    unit = {s: ("pool", None) if u[0] == "pool" else u for s, u in unit.items()}
+    tails, steps = {}, {}
+    for u in set(unit.values()):
+        mine = [(g, x) for s, g, x in used if unit[s] == u]
+        steps[u] = [(sum(g and x > c for g, x in mine), sum(not g and x > c for g, x in mine)) for c in quality.CUTOFFS]
+        tails[u] = [tail(false, sum(g for g, _ in mine), risk) for false, _ in steps[u]]
+    still = len(tails)
+    for w in sorted(max(t) for t in tails.values()):
+        if w * still <= delta:
+            still -= 1
+        else:
+            break
+    out = {}
+    for u, t in tails.items():
+        fine = next((j for j, x in enumerate(t) if x * max(still, 1) > delta), len(t))
+        worth = [(caught - quality.COST * false, -j) for j, (false, caught) in enumerate(steps[u][:fine])]
+        best = max([w for w in worth if w[0] > 0], default=None)
+        out[u] = quality.CUTOFFS[-best[1]] if best else None
+    return {s: out[unit[s]] for s in strata}
+
+
 def test_cutoffs_need_enough_labels_and_keep_the_risk(spark):
     assert cutoffs(spark, labelled_rows(3000, 50, 0.35)) == {"x": 0.3}
-    assert cutoffs(spark, labelled_rows(300, 50, 0.35)) == {"x": None}
-    # 1 % of the good ones look bad: more than the risk of one rule, so no cutoff is certified.
-    mixed = labelled_rows(3000, 50, 0.35) + [("x", 1, False, 0.35, 0.0, 0.0, 0.0)] * 30
-    assert cutoffs(spark, mixed) == {"x": 0.4} or cutoffs(spark, mixed) == {"x": None}
+    assert cutoffs(spark, labelled_rows(300, 50, 0.35)) == {"x": 0.3}
+    assert cutoffs(spark, labelled_rows(100, 50, 0.35)) == {"x": None}
+    # 1 % of the good ones look bad: within the risk, but not worth it; 3 %: beyond the risk.
+    assert cutoffs(spark, labelled_rows(3000, 50, 0.35) + [("x", 1, False, 0.35, 0.0, 0.0, 0.0)] * 30) == {"x": None}
+    assert cutoffs(spark, labelled_rows(3000, 900, 0.35) + [("x", 1, False, 0.35, 0.0, 0.0, 0.0)] * 30) == {"x": 0.3}
+    assert cutoffs(spark, labelled_rows(3000, 900, 0.35) + [("x", 1, False, 0.35, 0.0, 0.0, 0.0)] * 90) == {"x": None}
     assert cutoffs(spark, labelled_rows(3000, 50, 0.35, None)) == {None: 0.3}
     assert cutoffs(spark, []) == {}
 
 
+def test_small_strata_are_certified_together(spark):
+    rows = [r for s in "abcd" for r in labelled_rows(90, 10, 0.35, s)]
+    assert cutoffs(spark, rows) == dict.fromkeys("abcd", 0.3)
+    assert cutoffs(spark, rows[:100]) == {"a": None}
+    assert cutoffs(spark, rows + labelled_rows(5000, 20, 0.55, "z")) == {**dict.fromkeys("abcd", 0.3), "z": 0.5}
+
+
+def test_cutoffs_as_in_plain_python(spark):
+    rng = random.Random(8)
+    for trial in range(4):
+        rows = []
+        for s, n in (("en", 2500), ("de", 500), ("es", 320), ("fr", 60), (None, 80)):
+            for _ in range(n):
+                g = 1 if rng.random() < 0.85 else 0
+                share = lambda g=g: round(rng.choice([0.0, 0.01, 0.05]) if g and rng.random() > 0.003 * trial else rng.random() ** 2, 3)
+                rows.append((s, rng.choice([g] * 20 + [None]), rng.random() < 0.05, share(), share(), share(), share()))
+        assert cutoffs(spark, rows) == plain_cutoffs(rows), trial
+
+
+def test_uncertifiable_strata_stay_free_nearly_always():
+    """Strata with 2.5 % of good rows above every cutoff are certified in less than delta of all draws."""
+    rng = random.Random(9)
+    n, p, wrong = 1000, 0.025, 0
+    for _ in range(400):
+        false = sum(rng.random() < p for _ in range(n))
+        wrong += tail(false, n, quality.MAX_FALSE_REJECTION) <= quality.DELTA
+    assert wrong <= 0.05 * 400
+
+
 def test_quality_edges(spark):
     rows = quality.text_features(frame(spark, [None, "w " * 30, " ".join(f"w{i}" for i in range(40))]))
     none = quality.select_cutoffs(rows.limit(0).withColumns({"quality": F.lit(1), "lang": F.lit("x")}), "lang", "quality")
@@ -147,6 +213,21 @@ def test_mix_edges(spark):
     assert len(same) == 31 and len({r["copies"] for r in same if r["source"] == "a"}) == 1
 
 
+def test_mix_with_clashing_names_ties_and_repeats(spark):
+    names = ("whole", "threshold", "picks", "rest", "source_size", "target", "copies", "bucket", "power")
+    rows = [(i // 3, "a" if i % 4 else None, 7) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, n int").select("*", *[F.lit("x").alias(c) for c in names])
+    got = mixing.mix(df, F.col("source"), F.col("n"), F.col("doc_id").cast("string")).collect()
+    assert len(got) == 300 and got[0]["whole"] == got[0]["picks"] == "x"
+    taken = {}
+    for r in got:
+        taken.setdefault((r["source"], r["doc_id"]), set()).add(r["copies"])
+    assert all(len(c) == 1 for c in taken.values())
+    for source in ("a", None):
+        mine = [r for r in got if r["source"] == source]
+        assert abs(sum(r["size"] * r["copies"] for r in mine) - mine[0]["target"]) <= 21
+
+
 def test_mix_query(spark):
     rows = mixing.op2_mixing(spark, SF).collect()
     sizes: dict = {}
@@ -162,7 +243,8 @@ def test_mix_query(spark):
 
 def shards(spark, rows, n=8):
     df = spark.createDataFrame(rows, "doc_id long, size long, shard string")
-    slotted = sharding.slot_records(df.drop("shard"), F.col("doc_id"), F.col("size"), F.struct("doc_id", "size"), n)
+    slotted = sharding.slot_records(
+        df, F.col("doc_id").cast("string"), F.col("size"), F.concat_ws("|", F.col("doc_id").cast("string"), F.col("size")), n)
     slots = sharding.slot_map(slotted, n)
     return slotted, slots, sharding.place(slotted, slots, ["doc_id", "size"]).collect()
 
@@ -187,6 +269,70 @@ def test_hot_key_is_split(spark):
     assert len(got) == 4000 and max(loads(got)) <= 1.1 * sum(loads(got)) / 8
 
 
+def digest(text, modulus):
+    import hashlib
+
+    return int(hashlib.md5(text.encode()).hexdigest()[:8], 16) % modulus
+
+
+def plain_slots(rows, shards=8):
+    """Virtual slot of each (key, size, content); None where equal rows are dealt among slots of their own."""
+    total = sum(r[1] for r in rows)
+    slots, contents = {}, {}
+    for key, size, content in rows:
+        slots[digest(key, sharding.SLOTS)] = slots.get(digest(key, sharding.SLOTS), 0) + size
+    hot = {s for s, n in slots.items() if n * shards * sharding.HOT_SHARE > total}
+    for key, size, content in rows:
+        if digest(key, sharding.SLOTS) in hot:
+            contents[content] = contents.get(content, 0) + size
+    out = []
+    for key, _, content in rows:
+        slot, piece = digest(key, sharding.SLOTS), digest(content, sharding.PIECES)
+        if slot not in hot:
+            out.append(slot)
+        elif contents[content] * shards * sharding.HOT_SHARE <= total:
+            out.append(sharding.SLOTS + slot * sharding.PIECES + piece)
+        else:
+            out.append(None)
+    return out
+
+
+def plain_map(sizes, shards):
+    """Shard of each slot: large ones first, each to the emptiest shard."""
+    filled, out = [0] * shards, {}
+    for slot, size in sorted(sizes.items(), key=lambda x: (-x[1], x[0])):
+        least = filled.index(min(filled))
+        filled[least] += size
+        out[slot] = least
+    return out
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_slots_and_shards_as_in_plain_python(spark, parts):
+    rng = random.Random(2)
+    rows = [(rng.randint(0, 2000), rng.choice([1, 10, 500]), "x") for _ in range(2000)]
+    rows += [(None, 1 + i % 400, "x") for i in range(1200)] + [(5, 77, "x")] * 1500
+    df = spark.createDataFrame(rows, "doc_id long, size long, shard string").repartition(parts)
+    content = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "size")
+    slotted = sharding.slot_records(df, F.col("doc_id").cast("string"), F.col("size"), content, 8)
+    slots = sharding.slot_map(slotted, 8)
+    got = sharding.place(slotted, slots, ["doc_id", "size"]).collect()
+    assert len(got) == len(rows)
+    text = lambda d: "" if d is None else str(d)
+    plain = [(text(r["doc_id"]), r["size"], f"{text(r['doc_id'])}|{r['size']}") for r in got]
+    for r, want in zip(got, plain_slots(plain)):
+        assert r["virtual_slot"] == want if want is not None else r["virtual_slot"] >= sharding.SLOTS * (1 + sharding.PIECES)
+    assert len({r["virtual_slot"] for r in got if r["doc_id"] == 5 and r["size"] == 77}) == sharding.PIECES
+    sizes = {}
+    for r in got:
+        sizes[r["virtual_slot"]] = sizes.get(r["virtual_slot"], 0) + r["size"]
+    want = plain_map(sizes, 8)
+    assert all(r["shard"] == want[r["virtual_slot"]] for r in got)
+    for shard in range(8):
+        mine = sorted((r["virtual_slot"], r["slot"]) for r in got if r["shard"] == shard)
+        assert [slot for _, slot in mine] == list(range(len(mine)))
+
+
 def test_map_grows_into_the_new_shard_only(spark, tmp_path):
     _, slots, _ = shards(spark, [(i, 1 + i % 7, "x") for i in range(3000)])
     grown = sharding.grow_map(slots, 8)
@@ -198,7 +344,9 @@ def test_map_grows_into_the_new_shard_only(spark, tmp_path):
     assert 0.9 * total / 9 <= got <= total / 9
     sharding.write_map(slots, str(tmp_path / "map"))
     sharding.write_map(grown, str(tmp_path / "map"))
-    assert spark.read.parquet(str(tmp_path / "map")).where("version = 1").count() == len(old)
+    path = str(tmp_path / "map")
+    assert sharding.read_map(spark, path, 1).count() == len(old)
+    assert {r["version"] for r in sharding.read_map(spark, path).collect()} == {2}
 
 
 def test_shards_without_rows(spark):
@@ -215,3 +363,6 @@ def test_shard_query(spark):
         raw = (docs[r["doc_id"]] or "").encode()
         assert (r["size"], r["text_crc32"]) == (len(raw) + 1, zlib.crc32(raw))
     assert max(loads(rows)) <= 1.05 * sum(loads(rows)) / 8
+    # The edited map moves records into the new shard only.
+    assert all(r["next_shard"] in (r["shard"], 8) for r in rows)
+    assert sum(r["size"] for r in rows if r["next_shard"] == 8) > 0.8 * sum(loads(rows)) / 9
