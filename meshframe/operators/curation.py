@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from meshframe.operators.numbering import number_rows
 from meshframe.operators.permutation import Permutation, dense_count, permuted
+from meshframe.operators.quality import dangling, with_presence
 from meshframe.session import path_exists
 
 BATCH_SIZE = 190
@@ -64,6 +65,18 @@ def pending(df: DataFrame, images: DataFrame, landmarks: DataFrame, key: str) ->
     return df.join(done, key, "left_anti")
 
 
+def pending_ids(df: DataFrame, images: DataFrame, landmarks: DataFrame, key: str) -> DataFrame:
+    """:func:`pending` for keys that are numbers from 0 on: rows are tested against bitmaps of the two sides and stay where they are."""
+    marked = with_presence(with_presence(df, key, images, key, "_image"), key, landmarks, key, "_landmarks")
+    return marked.where("NOT (_image AND _landmarks)").drop("_image", "_landmarks")
+
+
+def orphan_ids(refs: DataFrame, target: DataFrame, key: str) -> DataFrame:
+    """Keys of ``refs`` that ``target`` lacks, for keys that are numbers from 0 on; the larger side is best taken as ``refs``, which stays
+    where it is."""
+    return dangling(refs.select(key), key, target, key)
+
+
 def require_unique(df: DataFrame, key: str) -> None:
     """Fail where a key repeats; repeats collapse before the shuffle."""
     if not df.groupBy(key).count().where("count > 1").isEmpty():

@@ -358,13 +358,15 @@ def gather_landmarks(df: DataFrame, model: FaceModel, points: str = "points", ou
 
 def decode_landmarks(params: DataFrame, model: FaceModel, layout: Layout, key: str = "sid",
                      keep: Sequence[str] = (), truth: str | None = None,
-                     on_missing: str = "raise") -> DataFrame:
+                     on_missing: str = "raise", dense: bool = True) -> DataFrame:
     """Posed landmarks (key, lmk, x, y, z) straight from the parameters, without a shuffle.
 
-    ``truth`` names an array of points that is unrolled alongside as tx, ty.
+    ``truth`` names an array of points that is unrolled alongside as tx, ty; this and ``dense=False`` take the native form.
     """
     if model.lmk_embed is None:
         return no_landmarks(params, key, on_missing, keep)
+    if dense and truth is None:
+        return unroll_blocks(decode_blocks(params, model, layout, key, keep), "lmk")
     carried = [*keep, *([truth] if truth else [])]
     rows = posed(params, model, layout, [key, *carried])
     if truth:
@@ -582,5 +584,5 @@ def decode(params: DataFrame, model: FaceModel, layout: Layout, key: str = "sid"
             return verts, no_landmarks(params, key, on_missing)
         return verts, unroll_blocks(decode_blocks(params, model, layout, key, budget=budget), "lmk")
     return decode_vertices(params, model, layout, key), decode_landmarks(
-        params, model, layout, key, on_missing=on_missing
+        params, model, layout, key, on_missing=on_missing, dense=False
     )

@@ -386,7 +386,10 @@ SELECT count(*) FILTER (d.doc_id IS NOT NULL AND l.doc_id IS NOT NULL) AS paired
   count(*) FILTER (l.doc_id IS NULL) AS left_only, count(*) FILTER (d.doc_id IS NULL) AS right_only,
   CASE WHEN count(*) FILTER (d.doc_id IS NOT NULL AND l.doc_id IS NOT NULL) = 0 THEN 'no matching pairs' END AS warning
 FROM d FULL JOIN l ON d.doc_id = l.doc_id""",
+    "orphan_ids": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "pending": """SELECT doc_id, lang, n_chars FROM documents
+WHERE NOT EXISTS (SELECT 1 FROM labels WHERE labels.doc_id = documents.doc_id AND toxic = 0)""",
+    "pending_ids": """SELECT doc_id, lang, n_chars FROM documents
 WHERE NOT EXISTS (SELECT 1 FROM labels WHERE labels.doc_id = documents.doc_id AND toxic = 0)""",
     "name_new": """SELECT doc_id, lang,
   printf('thumb_%05d', row_number() OVER (ORDER BY CASE WHEN lang = 'en' THEN 0 ELSE 1 END, doc_id) - 1) AS stem FROM documents""",
@@ -467,7 +470,7 @@ SELECT sid, CAST(v AS INTEGER) AS v, {r6('x', 'x')}, {r6('y', 'y')}, {r6('z', 'z
 SELECT sid, CAST(j AS INTEGER) AS j, {r6('x + e[59]', 'x')}, {r6('y + e[60]', 'y')}, {r6('z + e[61]', 'z')} FROM wide JOIN emb USING (sid)""",
     **{name: _with(*LANDMARKS) + f"""
 SELECT sid, CAST(lmk AS INTEGER) AS lmk, {r6('x', 'x')}, {r6('y', 'y')}, {r6('z', 'z')} FROM lmks"""
-       for name in ("landmarks", "landmarks_of_vertices", "landmarks_of_long_vertices", "landmarks_dense")},
+       for name in ("landmarks", "landmarks_native", "landmarks_of_vertices", "landmarks_of_long_vertices", "landmarks_dense")},
     "screen_points": _with(*SHOWN) + f"""
 SELECT sid, CAST(lmk AS INTEGER) AS lmk, {r6('sx', 'sx')}, {r6('sy', 'sy')} FROM screen""",
     **{name: _with(*DECODED) + f"""

@@ -251,6 +251,16 @@ def pending(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def pending_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """The same as ``pending`` by bitmaps of the document numbers."""
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    return curation.pending_ids(docs.select("doc_id", "lang", "n_chars"), docs.select("doc_id"), labels.filter("toxic = 0"), "doc_id")
+
+
+def orphan_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return curation.orphan_ids(table(spark, folder, "documents"), table(spark, folder, "labels"), "doc_id")
+
+
 def name_rows(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "source")
     return curation.name_rows(docs, ["doc_id"], key="doc_id").select("doc_id", "source", "stem")
@@ -494,6 +504,12 @@ def landmarks(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(rows, *"xyz")
 
 
+def landmarks_native(spark: SparkSession, folder: str) -> DataFrame:
+    """The same in column arithmetic alone."""
+    rows = geometry.decode_landmarks(groups(spark, folder), small_model(spark), COMPACT_LAYOUT, dense=False)
+    return rounded(rows, *"xyz")
+
+
 def landmarks_of_vertices(spark: SparkSession, folder: str) -> DataFrame:
     """Landmarks gathered from all decoded vertices of a sample's row."""
     model = small_model(spark)
@@ -822,6 +838,8 @@ QUERIES: dict[str, Query] = {
     "orphans": orphans,
     "pair_counts": pair_counts,
     "pending": pending,
+    "pending_ids": pending_ids,
+    "orphan_ids": orphan_ids,
     "name_rows": name_rows,
     "name_new": name_new,
     "first_detection": first_detection,
@@ -854,6 +872,7 @@ QUERIES: dict[str, Query] = {
     "skin": skin,
     "translate": translate,
     "landmarks": landmarks,
+    "landmarks_native": landmarks_native,
     "landmarks_of_vertices": landmarks_of_vertices,
     "landmarks_of_long_vertices": landmarks_of_long_vertices,
     "landmarks_dense": landmarks_dense,

@@ -30,7 +30,7 @@ def landmark_rows(params: DataFrame, model: FaceModel, layout: Layout, keep: Seq
         ).select(*keep, key, "lmk", "_p.points.x", "_p.points.y", "_p.points.z",
                  F.col("_p.truth.x").cast("double").alias("tx"), F.col("_p.truth.y").cast("double").alias("ty"))
     else:
-        rows = decode_landmarks(params, model, layout, key, keep=keep, truth=truth)
+        rows = decode_landmarks(params, model, layout, key, keep=keep, truth=truth, dense=False)
     return project(rows, camera).select(*keep, key, "lmk", "sx", "sy", "tx", "ty")
 
 

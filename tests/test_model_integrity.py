@@ -35,7 +35,7 @@ def test_a_model_of_seventy_landmarks(spark):
     embed = spark.createDataFrame(pa.table({
         "lmk": pa.array(lmk.astype(np.int32)), "f": pa.array((lmk % 23).astype(np.int32)), "b0": np.full(70, 0.2), "b1": np.full(70, 0.3), "b2": np.full(70, 0.5)}))
     model = load(spark, lmk_embed=embed)
-    native = points(geometry.decode_landmarks(rows(spark), model, COMPACT_LAYOUT))
+    native = points(geometry.decode_landmarks(rows(spark), model, COMPACT_LAYOUT, dense=False))
     dense = points(geometry.unroll_points(geometry.decode_dense(rows(spark), model, COMPACT_LAYOUT)))
     assert len(native) == 210 and native.keys() == dense.keys()
     assert all(np.allclose(native[k], dense[k], atol=1e-9) for k in native)
