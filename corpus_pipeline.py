@@ -17,7 +17,9 @@ from meshframe.llm.common import pin, table, words
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base rules nor a certified cutoff of their language rejects.
 
-    Cutoffs come from the labelled ones among these documents.
+    Cutoffs come from the labelled ones among these documents. Null and empty texts fail the base rules. A null doc_id has no label
+    and is judged like others; repeated rows are judged alike; without labels only the base rules reject; no documents give none.
+    Columns of any names pass through, as the row travels in a struct.
     """
     labels = table(spark, sf_dir, "labels").where("quality is not null")
     known = docs.select("doc_id", "lang", "text").join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
@@ -28,12 +30,20 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates, the one with the smallest id."""
+    """One document of each class of near-duplicates, the one with the smallest id.
+
+    Null and empty texts are no duplicates of others with another id; of rows equal in id and text one stays; no documents give none.
+    Columns of any names pass through.
+    """
     return minhash.drop_near_duplicates(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with a tag in place of each span of personal data and n_chars as the text then has."""
+    """All documents, with a tag in place of each span of personal data and n_chars as the text then has.
+
+    A null text stays null and an empty one empty; texts without a span keep text and n_chars. Repeated rows stay and are treated
+    alike; other columns pass through; no documents give none.
+    """
     model = pin(pii.train(pin(pii.candidates(docs.select("text")).select("cands"))))
     found = pii.decide(pii.candidates(docs.select(F.struct("*").alias("row"), "text")), model)
     out = found.withColumn("redacted", pii.redact(F.col("text"), F.col("spans")))
@@ -44,7 +54,11 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as often as the mix takes them: a row for each time."""
+    """The documents as often as the mix takes them: a row for each time.
+
+    A null source is a source of its own; texts without words count 0 and are taken as their whole source is. Rows equal in id and text are
+    taken alike; ties cannot arise, as the order is a digest's. Columns of any names pass through; no documents give none.
+    """
     rows = docs.select(F.struct("*").alias("row"), "source", F.size(words("text")).alias("n"),
                        mixing.document_key("doc_id", "text").alias("key"))
     mixed = mixing.mix(rows, F.col("source"), F.col("n"), F.col("key"))
@@ -52,7 +66,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every row, with the digests of ids and of the bytes they decode to."""
+    """Token ids of every row, with the digests of ids and of the bytes they decode to.
+
+    Null and empty texts have no ids. Keys may be null or repeat, and repeated rows give as many rows; no documents give none.
+    """
     keyed = docs.select(F.struct("doc_id", "source", "lang").alias("key"), "text")
     encoded = bpe.encode_decode(keyed, public_tokenizers.path(bpe.RANKS), key="key")
     return bpe.digests(encoded.withColumn("token_ids", F.col("ids"))).select(

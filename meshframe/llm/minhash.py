@@ -266,7 +266,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that stand for their class, whole; of rows equal in key and text one stays."""
+    """The rows of ``docs`` that stand for their class, whole; of rows equal in key and text one stays, whichever its other columns.
+    Columns of any names are carried along; no rows give none."""
     at = {"_null": F.col("_id").isNull(), "_id": F.coalesce("_id", F.lit(0).cast("bigint"))}
     kept = _classes(docs, key, text, threshold).where("kept").select(
         F.col("id").alias("_id"), F.col("t1").alias("_t1"), F.col("t2").alias("_t2")).withColumns(at).distinct()
@@ -278,7 +279,12 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Near-duplicate classes of all documents; an empty table gives no rows."""
+    """Near-duplicate classes of all documents.
+
+    Null and empty texts, and texts without a shingle that equal no other, are classes of their own. Equal texts are one class whatever their
+    ids; of a class the smallest id is kept, and of rows that repeat an id all carry the same verdict. A null id stays null. Texts of any
+    length are compared whole; other columns are not read; an empty table gives no rows.
+    """
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 

@@ -198,7 +198,11 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents without the words of repeated windows."""
+    """All documents without the words of repeated windows.
+
+    Null, empty and short texts have no window and keep their words. Equal rows repeat each other, so each loses its windows; ties do
+    not arise, as windows are judged on the input. Texts of any length are one row; other columns are not read; an empty table gives no rows.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return remove_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
 

@@ -129,6 +129,12 @@ def apply_rules(urls: DataFrame, rules: DataFrame, url: str = "url", default: st
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's url; without a fitting rule it is allowed.
+
+    A null url, or one without ``://``, has empty host and path and no rule. Of several fitting rules the longest (host and path) wins; two
+    of them can't be equally long, as both fit one url. Repeated rows are judged alike, null page_ids kept; other columns
+    are not read; an empty table gives no rows.
+    """
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return apply_rules(pages, rule_table(spark)).select("page_id", "host", "path", "rule", "verdict")
 
